@@ -168,7 +168,8 @@ def components(edges: DataFrame) -> DataFrame:
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
         edges = durable(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct())
-    return edges.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("component"))
+    named = edges.unionByName(edges.select(F.col("v").alias("u"), "v"))  # the least node of each has no smaller one
+    return named.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("component"))
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
