@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, media, sharding, simhash
+from . import bpe, decontam, licence, media, sharding, simhash, toxicity
 from .common import table
 
 SHARDS = 24
@@ -20,6 +20,28 @@ def tokenizer_path() -> str:
     return public_tokenizers.path(TOKENIZER)
 
 
+def op1_licence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = licence.scan(table(spark, sf_dir, "documents"))
+    place = lambda name: F.transform("phrases", lambda p: p[name])
+    base = F.array_distinct(F.transform("phrases", lambda p: p["label"]))
+    every = F.array_distinct(F.concat(base, F.transform("spans", lambda s: s["label"])))
+    found = F.coalesce(F.array_max(F.transform("spans", lambda s: s["coverage"])), F.lit(0.0))
+    return out.select(
+        "doc_id",
+        "n_words",
+        F.size("phrases").cast("long").alias("n_base"),
+        F.array_min(place("first")).alias("first_word"),
+        F.array_max(place("first")).alias("last_word"),
+        F.array_join(F.array_sort(base), ",").alias("base_labels"),
+        F.array_join(F.array_sort(every), ",").alias("labels"),
+        F.when(F.size("phrases") > 0, 1.0).otherwise(F.least(found, F.lit(1.0))).alias("score"),
+    )
+
+
+def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = sharding.shuffled_shards(table(spark, sf_dir, "documents"), SHARDS)
     return out.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
@@ -44,5 +66,19 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op3_sharding, op4_media, op6_bpe, op7_simhash)}
+def held_out(id_col: str = "doc_id"):
+    """Whether a row is of the fold that is never learnt from."""
+    return F.crc32(F.col(id_col).cast("string").cast("binary")) % 5 == 0
+
+
+def toxicity_model(spark: SparkSession, sf_dir: str) -> toxicity.Model:
+    return toxicity.train(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels").where(~held_out()))
+
+
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = toxicity.score(table(spark, sf_dir, "documents"), toxicity_model(spark, sf_dir))
+    return out.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_licence, op2_decontamination, op3_sharding, op4_media, op6_bpe, op7_simhash, op8_toxicity)}
 ORACLE: dict[str, str] = {}
