@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontam, licence, media, sharding, simhash, toxicity
+from . import bpe, decontam, licence, lines, media, sharding, simhash, toxicity
 from .common import table
 
 SHARDS = 24
@@ -52,13 +52,7 @@ def op4_media(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = bpe.encode_decode(table(spark, sf_dir, "documents"), tokenizer_path())
-    return out.select(
-        "doc_id",
-        F.size("ids").cast("long").alias("n_tokens"),
-        F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"),
-        F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"),
-    )
+    return token_digests(bpe.encode_decode(table(spark, sf_dir, "documents"), tokenizer_path()))
 
 
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -80,5 +74,19 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_licence, op2_decontamination, op3_sharding, op4_media, op6_bpe, op7_simhash, op8_toxicity)}
+def op10_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines.line_classes(table(spark, sf_dir, "documents")).drop("text_hash")
+
+
+def token_digests(encoded: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """n_tokens and the hashes of ids and decoded text, of rows of ``bpe.encode_decode``."""
+    return encoded.select(
+        id_col,
+        F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"),
+        F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"),
+    )
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_licence, op2_decontamination, op3_sharding, op4_media, op6_bpe, op7_simhash, op8_toxicity, op10_lines)}
 ORACLE: dict[str, str] = {}

@@ -26,6 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import durable, text_chunks, utf8
+from .graph import components
 
 SHINGLE = 4
 SEED = 42
@@ -153,25 +154,6 @@ def links(distinct: DataFrame) -> DataFrame:
     return pairs.unionByName(long)
 
 
-def components(edges: DataFrame) -> DataFrame:
-    """(node, component): the smallest node reachable, for every node of the links (a, b)."""
-    edges = durable(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct())
-    state = None
-    while True:
-        now = tuple(edges.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.hash("u", "v").cast("long")), F.lit(0)), F.coalesce(F.sum(F.hash("v", "u", F.lit(1)).cast("long")), F.lit(0))).first())
-        if now == state or not now[0]:
-            break
-        state = now
-        both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
-        edges = durable(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct())
-    named = edges.unionByName(edges.select(F.col("v").alias("u"), "v"))  # the least node of each has no smaller one
-    return named.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("component"))
-
-
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, ``fp`` (long) and ``component_id`` (smallest id reachable over links) of every row."""
     fps = durable(fingerprints(docs, id_col, text_col))
@@ -181,3 +163,15 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     named = group.join(least.groupBy("component").agg(F.min("least_id").alias("component_id")), "component").select(F.col("node").alias("fp"), "component_id")
     label = classes.join(named, "fp", "left").select("fp", F.coalesce("component_id", "least_id").alias("component_id"))
     return fps.join(label, "fp").select(id_col, "fp", "component_id")
+
+
+def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row of each component, with all columns: that of the least id; of rows that share it, any one."""
+    named = durable(near_duplicates(docs, id_col, text_col))
+    kept = named.where(F.col(id_col).eqNullSafe(F.col("component_id"))).groupBy(F.col(id_col).alias("_kept")).agg(F.count(F.lit(1)).alias("_rows"))
+    kept = durable(kept)
+    semi = lambda ids: docs.join(ids, F.col(id_col).eqNullSafe(F.col("_kept")), "left_semi")
+    repeated = kept.where("_rows > 1")
+    if repeated.isEmpty():
+        return semi(kept)
+    return semi(kept.where("_rows = 1")).unionByName(semi(repeated).dropDuplicates([id_col]))
