@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontam, licence, lines, media, sharding, simhash, toxicity
+from . import bpe, chat, decontam, licence, lines, media, quality, sharding, simhash, toxicity
 from .common import table
 
 SHARDS = 24
@@ -51,6 +51,10 @@ def op4_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.text_media(table(spark, sf_dir, "documents")).withColumn("tile_sha256", F.sha2("tile", 256)).drop("tile")
 
 
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_digests(bpe.encode_decode(table(spark, sf_dir, "documents"), tokenizer_path()))
 
@@ -74,6 +78,14 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+def op9_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations told as raw transcripts, whose roles are recovered from the lines alone."""
+    rows = table(spark, sf_dir, "conversations")
+    lines_ = chat.split_lines(rows, "conv_id", "turn", chat.raw_form(F.col("role"), F.col("text"), F.col("conv_id")))
+    out = chat.parse(lines_, chat.train(rows))
+    return out.select(F.col("conv").alias("conv_id"), "turn", F.col("line_no").cast("long").alias("line_no"), "role", "begins", F.sha2("rendered", 256).alias("rendered_sha256"))
+
+
 def op10_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.line_classes(table(spark, sf_dir, "documents")).drop("text_hash")
 
@@ -88,5 +100,5 @@ def token_digests(encoded: DataFrame, id_col: str = "doc_id") -> DataFrame:
     )
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_licence, op2_decontamination, op3_sharding, op4_media, op6_bpe, op7_simhash, op8_toxicity, op10_lines)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_licence, op2_decontamination, op3_sharding, op4_media, op5_quality, op6_bpe, op7_simhash, op8_toxicity, op9_chat, op10_lines)}
 ORACLE: dict[str, str] = {}
