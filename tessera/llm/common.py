@@ -59,3 +59,14 @@ def text_chunks(batch, id_at: int, text_at: int, limit: int):
 
 def null_to_empty(name: str):
     return F.coalesce(F.col(name), F.lit(""))
+
+
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """The names, with underscores in front until none is a column of df."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name = f"_{name}"
+        out.append(name)
+    return out

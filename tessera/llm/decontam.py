@@ -56,6 +56,8 @@ def templates(texts: list[str], vocabulary: dict[bytes, int] | None = None):
 
     With a vocabulary, words outside it get the id 0; it must not hold placeholders.
     """
+    if not texts:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), [], np.zeros(0, np.uint64), np.zeros(0, bool)
     blob = b" . ".join(utf8(t).translate(_CASED).replace(b"\x00", b" ") + b" . \x00 " for t in texts)
     words = blob.replace(b".", b" . ").split()
     flat = np.frombuffer(b" ".join(words) + b"  ", np.uint8)

@@ -6,7 +6,8 @@ the least such range that holds N; values of N or more walk on along their cycle
 gives shard p mod n and slot p div n, so shards differ by at most one row (the law ``rows``).
 
 Only ids, sizes and checksums move. Rows that are equal in all three are counted per input task
-before the shuffle and numbered together, so a row repeated without end fills no task. The offsets
+before the shuffle and numbered together, so a row repeated without end fills no task; which of equal
+rows gets which of their numbers makes no difference. The offsets
 of the ``BUCKETS`` hash buckets are the only broadcast: at most BUCKETS rows.
 
 Defined cases: a null text has no bytes (size 8, checksum 0); a null id is a value like any other;
@@ -57,7 +58,7 @@ def permuted(numbers: np.ndarray, n: int, seed: int) -> np.ndarray:
 def row_numbers(rows: DataFrame, keys: list[str]) -> DataFrame:
     """``rows`` with ``row_number`` (0 .. N-1, in no partition's order) and ``n_rows``."""
     counted = rows.groupBy(*keys, (F.spark_partition_id() % SALTS).alias("_salt")).agg(F.count(F.lit(1)).alias("_copies"))
-    counted = counted.withColumn("_bucket", F.pmod(F.xxhash64(*keys, "_salt"), F.lit(BUCKETS)).cast("int"))
+    counted = counted.withColumn("_bucket", F.pmod(F.xxhash64(*keys), F.lit(BUCKETS)).cast("int"))
     one = Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)  # over BUCKETS rows at most
     offsets = counted.groupBy("_bucket").agg(F.sum("_copies").alias("_n"))
     offsets = offsets.select("_bucket", F.coalesce(F.sum("_n").over(one), F.lit(0)).alias("_offset"), F.sum("_n").over(Window.orderBy().rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)).alias("n_rows"))

@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import durable, text_chunks, utf8
+from .common import durable, fresh, text_chunks, utf8
 from .graph import components
 
 SHINGLE = 4
@@ -167,11 +167,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row of each component, with all columns: that of the least id; of rows that share it, any one."""
+    own, rows = fresh(docs, "_kept", "_rows")
     named = durable(near_duplicates(docs, id_col, text_col))
-    kept = named.where(F.col(id_col).eqNullSafe(F.col("component_id"))).groupBy(F.col(id_col).alias("_kept")).agg(F.count(F.lit(1)).alias("_rows"))
+    kept = named.where(F.col(id_col).eqNullSafe(F.col("component_id"))).groupBy(F.col(id_col).alias(own)).agg(F.count(F.lit(1)).alias(rows))
     kept = durable(kept)
-    semi = lambda ids: docs.join(ids, F.col(id_col).eqNullSafe(F.col("_kept")), "left_semi")
-    repeated = kept.where("_rows > 1")
+    semi = lambda ids: docs.join(ids, F.col(id_col).eqNullSafe(F.col(own)), "left_semi")
+    repeated = kept.where(F.col(rows) > 1)
     if repeated.isEmpty():
         return semi(kept)
-    return semi(kept.where("_rows = 1")).unionByName(semi(repeated).dropDuplicates([id_col]))
+    return semi(kept.where(F.col(rows) == 1)).unionByName(semi(repeated).dropDuplicates([id_col]))
