@@ -7,7 +7,8 @@ one of them stands unchanged in any line within the threshold, and by the multi-
 only few places and lengths have to be probed for it. Segments and probes are hashed with their
 length and number; a hash that two different lines share makes them candidates. Only candidates'
 texts are gathered. A list's indexed lines are held in chunks, and each probe is compared with a
-chunk in one row, so pairs of a long list are never rows of their own before they are verified.
+chunk in one row, so pairs of a long list are never rows of their own before they are verified. Before
+that, 64 parity bits of character pairs reject most lines that differ in more than the threshold.
 
 Verification cuts the common ends off and runs a banded bit-parallel automaton over the rest: bit d
 of word k says whether the diagonal d of the band can be reached with k edits.
@@ -25,13 +26,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import durable
+from .common import durable, fresh
 from .graph import components
 
 THRESHOLD = 2
 NEAR_CHARS = 30
 EXACT_CHARS = 16
-CHUNKS = 32
+CHUNKS = 8
+#: Letters after which an alignment that has died is given up.
+FIRST_LETTERS = 16
 BUCKETS = 1 << 20
 LINE_SPAN = 1 << 31
 
@@ -83,9 +86,8 @@ def edit_distance(a: Column, b: Column, threshold: int) -> Column:
     width = 2 * threshold + 1
     full = (1 << width) - 1
 
-    def banded(pair: Column) -> Column:
-        x, y = pair["x"], pair["y"]
-        n, m = F.size(x), F.size(y)
+    def automaton(x: Column, y: Column) -> Column:
+        """State after all letters of y, of the alignments of y with prefixes of x."""
 
         def matches(j: Column) -> Column:
             c = F.get(y, j - 1)
@@ -105,17 +107,27 @@ def edit_distance(a: Column, b: Column, threshold: int) -> Column:
             return out
 
         begin = sum(sum(1 << threshold + d for d in range(k + 1)) << width * k for k in range(threshold + 1))
-        end = F.aggregate(F.transform(F.sequence(F.lit(1), m), matches), F.lit(begin).cast("long"), step)
-        # shiftright takes no column as its distance: divide by a power of two instead
-        bit = lambda k: F.floor(end / F.pow(F.lit(2.0), F.lit(width * k + threshold) + n - m)).cast("long") % 2 == 1
-        found = F.lit(threshold + 1)
-        for k in range(threshold, -1, -1):
-            found = F.when(bit(k), k).otherwise(found)
-        return F.when(F.abs(n - m) > threshold, threshold + 1).when(F.least(n, m) == 0, F.greatest(n, m)).otherwise(found)
+        return F.aggregate(F.transform(F.sequence(F.lit(1), F.size(y)), matches), F.lit(begin).cast("long"), step)
 
     def letters(s: Column) -> Column:
         return F.when(F.length(s) == 0, F.array().cast("array<string>")).otherwise(F.transform(F.sequence(F.lit(1), F.length(s)), lambda i: F.substring(s, i, F.lit(1))))
 
+    def banded(e: Column) -> Column:
+        n, m = F.length(e["x"]), F.length(e["y"])
+
+        def least(end: Column) -> Column:
+            # shiftright takes no column as its distance: divide by a power of two instead
+            found = F.lit(threshold + 1)
+            for k in range(threshold, -1, -1):
+                bit = F.floor(end / F.pow(F.lit(2.0), F.lit(width * k + threshold) + n - m)).cast("long") % 2 == 1
+                found = F.when(bit, k).otherwise(found)
+            return found
+
+        head = lambda s, k: letters(F.substring(s, 1, k))
+        dead = (m > FIRST_LETTERS) & (automaton(head(e["x"], FIRST_LETTERS + threshold), head(e["y"], FIRST_LETTERS)) == 0)
+        found = F.transform(F.array(automaton(letters(e["x"]), letters(e["y"]))), least)[0]
+        return F.when(F.abs(n - m) > threshold, threshold + 1).when(F.least(n, m) == 0, F.greatest(n, m)).when(dead, threshold + 1).otherwise(found)
+
     def inner(s: Column) -> Column:
         # each step once: the values of a struct in a one-element array are bound by a lambda
         def without_ends(e: Column) -> Column:
@@ -125,13 +137,23 @@ def edit_distance(a: Column, b: Column, threshold: int) -> Column:
 
         def cut(e: Column) -> Column:
             head = lambda t: F.substring(t, F.lit(1), F.length(t) - e["q"])
-            return F.struct(letters(head(e["x"])).alias("x"), letters(head(e["y"])).alias("y"))
+            return F.struct(head(e["x"]).alias("x"), head(e["y"]).alias("y"))
 
         return F.transform(F.transform(F.transform(F.array(s), without_ends), cut), banded)[0]
 
     return inner(F.struct(a.alias("a"), b.alias("b"), common_start(a, b).alias("p")))
 
 
+def parity(line: Column) -> Column:
+    """64 parity bits of a line's hashed character pairs: an edit changes four pairs at most, so two
+    lines within d edits differ in at most 4 * d bits."""
+    letters = F.split(line, "")
+    pairs = F.zip_with(letters, F.slice(letters, F.lit(2), F.greatest(F.length(line), F.lit(1))), lambda a, b: F.coalesce(F.xxhash64(F.concat(a, b)), F.lit(0).cast("long")))
+    bit = lambda h: F.element_at(F.array(*[F.lit(1 << k if k < 63 else -(1 << 63)).cast("long") for k in range(64)]), F.pmod(h, F.lit(64)).cast("int") + 1)
+    inner = F.slice(pairs, F.lit(1), F.greatest(F.length(line) - 1, F.lit(0)))
+    return F.aggregate(inner, F.lit(0).cast("long"), lambda acc, h: acc.bitwiseXOR(bit(h)))
+
+
 def links(lines: DataFrame, threshold: int = THRESHOLD, near_chars: int = NEAR_CHARS) -> DataFrame:
     """(a, b, distance): pairs of first places of different lines within the threshold, both ways round once."""
     long = lines.where(F.length("line") >= near_chars)
@@ -145,10 +167,16 @@ def links(lines: DataFrame, threshold: int = THRESHOLD, near_chars: int = NEAR_C
     bucket = F.pmod("h1", F.lit(BUCKETS)).cast("int").alias("bucket")
     near = long.withColumn("bucket", bucket).join(F.broadcast(wanted.select(bucket).distinct()), "bucket", "left_semi")  # BUCKETS rows at most
     texts = near.select("h1", "line", "pos").join(wanted, "h1", "left_semi").groupBy("h1", "line").agg(F.min("pos").alias("pos"))
+    texts = texts.withColumns({"parity": parity(F.col("line")), "n": F.length("line")})
     told = members.join(texts, "h1")
-    lists = told.where("indexed").groupBy("key", F.pmod(F.hash("pos"), F.lit(CHUNKS)).alias("chunk")).agg(F.collect_list(F.struct("pos", "line")).alias("list"))
-    met = told.where("not indexed").select("key", F.col("pos").alias("a"), "line").join(lists.select("key", "list"), "key")
-    found = F.filter(F.transform(F.filter("list", lambda e: e["pos"] != F.col("a")), lambda e: F.struct(e["pos"].alias("b"), edit_distance(F.col("line"), e["line"], threshold).alias("distance"))), lambda e: e["distance"] <= threshold)
+    lists = told.where("indexed").groupBy("key", F.pmod(F.hash("pos"), F.lit(CHUNKS)).alias("chunk")).agg(F.collect_list(F.struct("pos", "line", "parity", "n")).alias("list"))
+    met = told.where("not indexed").select("key", F.col("pos").alias("a"), "line", "parity", "n").join(lists.select("key", "list"), "key")
+
+    def may(e: Column) -> Column:
+        """Another line that the parity bits let through; lines of one length meet both ways, one is enough."""
+        return (F.bit_count(e["parity"].bitwiseXOR(F.col("parity"))) <= 4 * threshold) & ((e["n"] != F.col("n")) | (e["pos"] < F.col("a")))
+
+    found = F.filter(F.transform(F.filter("list", may), lambda e: F.struct(e["pos"].alias("b"), edit_distance(F.col("line"), e["line"], threshold).alias("distance"))), lambda e: e["distance"] <= threshold)
     pairs = met.select("a", F.explode(found).alias("e")).select(F.greatest("a", "e.b").alias("a"), F.least("a", "e.b").alias("b"), "e.distance")
     return pairs.groupBy("a", "b").agg(F.min("distance").alias("distance"))
 
@@ -171,12 +199,12 @@ def line_classes(docs: DataFrame, threshold: int = THRESHOLD, near_chars: int =
 def drop_duplicates(docs: DataFrame, threshold: int = THRESHOLD, near_chars: int = NEAR_CHARS, exact_chars: int = EXACT_CHARS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` without its duplicate lines, all columns kept; documents of which nothing but blank
     lines is left go. Rows without a duplicate line are unchanged."""
+    own, mark, lost, left = fresh(docs, "_id", "_hash", "_lost", "_left")
     gone = line_classes(docs, threshold, near_chars, exact_chars, id_col, text_col).where("not kept")
-    gone = gone.groupBy(F.col(id_col).alias("_gone_id"), F.col("text_hash").alias("_gone_hash")).agg(F.collect_set(F.col("line_no").cast("int")).alias("_gone"))
+    gone = gone.groupBy(F.col(id_col).alias(own), F.col("text_hash").alias(mark)).agg(F.collect_set(F.col("line_no").cast("int")).alias(lost))
     text = F.col(text_col).cast("string")
-    whole = docs.withColumn("_hash", F.xxhash64(text)).join(gone, (F.col(id_col) == F.col("_gone_id")) & (F.col("_hash") == F.col("_gone_hash")), "left")
-    lines = F.split(text, "\n")
-    left = F.transform(F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("_gone")), lambda i: F.get(F.col("_lines"), i))
-    whole = whole.withColumn("_lines", F.when(F.col("_gone").isNotNull(), lines)).withColumn("_left", F.when(F.col("_gone").isNotNull(), F.array_join(left, "\n")))
-    kept = whole.where(F.col("_left").isNull() | (F.length(F.trim(F.translate("_left", "\n\r\t", ""))) > 0))
-    return kept.withColumn(text_col, F.coalesce("_left", text)).select(*docs.columns)
+    whole = docs.join(gone, (F.col(id_col) == F.col(own)) & (F.xxhash64(text) == F.col(mark)), "left")
+    rest = F.transform(F.array(F.split(text, "\n")), lambda lines: F.array_join(F.transform(F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col(lost)), lambda i: F.get(lines, i)), "\n"))[0]
+    whole = whole.withColumn(left, F.when(F.col(lost).isNotNull(), rest))
+    kept = whole.where(F.col(left).isNull() | (F.length(F.trim(F.translate(left, "\n\r\t", ""))) > 0))
+    return kept.withColumn(text_col, F.coalesce(left, text)).select(*docs.columns)
