@@ -57,3 +57,10 @@ def traces(plans: DataFrame) -> DataFrame:
     item = F.struct("item_ix", F.concat(F.lit("item:"), "kind").alias("token"))
     body = plans.groupBy("id").agg(F.transform(F.array_sort(F.collect_list(item)), lambda x: x["token"]).alias("body"))
     return body.select("id", F.concat(F.array(F.lit("open")), "body", F.array(F.lit("close"))).alias("trace"))
+
+
+def corpus_hash(history: DataFrame) -> str:
+    """Hash of all streams' tokens and what stands before them, for a model's record of its training data."""
+    from tessera.sources.store import content_id
+
+    return content_id(history.select("stream", "token", context_text(F.col("back")).alias("back")))

@@ -171,5 +171,13 @@ def directives(rows: DataFrame) -> DataFrame:
     bits = F.lit(0).cast("bigint")
     for k, name in enumerate(FORMATS):
         bits = bits + F.when(on[name], 1 << k).otherwise(0)
+    #: Codes of what a choice rests on.
+    calm = ~flag("safety")
+    gentle = calm & (c("empathy") < 650)
+    because = {
+        1: flag("safety"), 2: calm & (c("empathy") >= 650), 3: gentle & (c("mode") == "Vent"), 4: gentle & (c("mode") != "Vent") & (c("directness") >= 700) & (c("politeness") <= 350),
+        10: flag("code"), 11: flag("math"), 12: flag("constraints"), 13: flag("request"), 14: asks, 15: c("byte_len") >= 300, 16: c("politeness") <= 350, 17: c("arousal") >= 650, 18: flag("problem_solve"), 19: flag("logic_puzzle"),
+    }
+    rationale = F.filter(F.array(*[F.when(condition, F.lit(code)) for code, condition in because.items()]), lambda x: x.isNotNull())
     by_tone = lambda *n: F.element_at(F.array(*[F.lit(x) for x in n]), F.array_position(F.array(*map(F.lit, TONES)), c("tone")).cast("int")).cast("bigint")
-    return out.withColumns({"format_flags": bits, "max_softeners": by_tone(1, 2, 0, 1), "max_preface": by_tone(0, 1, 0, 1), "max_hedges": by_tone(2, 2, 1, 3), "max_questions": ((asks & ~flag("constraints")) | solving).cast("bigint")})
+    return out.withColumns({"format_flags": bits, "max_softeners": by_tone(1, 2, 0, 1), "max_preface": by_tone(0, 1, 0, 1), "max_hedges": by_tone(2, 2, 1, 3), "max_questions": ((asks & ~flag("constraints")) | solving).cast("bigint"), "rationale": rationale})

@@ -319,6 +319,12 @@ def morphology(spark, d):
     return expand.morphology_candidates(conversation_terms(spark, d), bench_lemmas(spark, d)).select("query_id", "base", "term").distinct()
 
 
+@query("SELECT term, unnest(list_filter([CASE WHEN ends_with(t, 'ies') AND length(t) >= 4 THEN left(t, length(t) - 3) || 'y' END, CASE WHEN ends_with(t, 'es') AND length(t) >= 4 THEN left(t, length(t) - 2) END, CASE WHEN ends_with(t, 's') AND length(t) >= 4 THEN left(t, length(t) - 1) END, CASE WHEN ends_with(t, 'ing') AND length(t) >= 6 THEN left(t, length(t) - 3) END, CASE WHEN ends_with(t, 'ing') AND length(t) >= 6 THEN left(t, length(t) - 3) || 'e' END, CASE WHEN ends_with(t, 'ed') AND length(t) >= 5 THEN left(t, length(t) - 2) END, CASE WHEN ends_with(t, 'ed') AND length(t) >= 5 THEN left(t, length(t) - 1) END], lambda v: v IS NOT NULL)) AS variant FROM (SELECT term, term AS t FROM (SELECT DISTINCT term FROM words) WHERE length(term) >= 3)")
+def morphology_standalone(spark, d):
+    words = conversation_terms(spark, d).select("term").distinct()
+    return words.select("term", F.explode(T.morphology("term", T.STANDALONE_RULES, undouble=False)).alias("v")).select("term", F.col("v.variant").alias("variant"))
+
+
 @query("SELECT query_id, base, term, 'lex' AS kind, 48000::BIGINT AS weight FROM picked")
 def expansion_budget(spark, d):
     return expand.selected(expand.morphology_candidates(conversation_terms(spark, d), bench_lemmas(spark, d)))
@@ -552,6 +558,19 @@ def directives(spark, d):
     return pragmatics.directives(pragmatics.features(message_table(spark, d))).select(*DIRECTIVES)
 
 
+def _because() -> str:
+    f = lambda n: f"(flags & {1 << pragmatics.FLAGS.index(n)}) <> 0"
+    calm, gentle = f"NOT {f('safety')}", f"NOT {f('safety')} AND empathy < 650"
+    rules = {1: f("safety"), 2: f"{calm} AND empathy >= 650", 3: f"{gentle} AND mode = 'Vent'", 4: f"{gentle} AND mode <> 'Vent' AND directness >= 700 AND politeness <= 350", 10: f("code"), 11: f("math"), 12: f("constraints"), 13: f("request"), 14: f"({f('question')} OR questions > 0)", 15: "byte_len >= 300", 16: "politeness <= 350", 17: "arousal >= 650", 18: f("problem_solve"), 19: f("logic_puzzle")}
+    return " UNION ALL ".join(f"SELECT conv_id, turn, {k}::BIGINT AS code FROM feats WHERE {c}" for k, c in rules.items())
+
+
+@query(_because())
+def directive_rationale(spark, d):
+    rows = pragmatics.directives(pragmatics.features(message_table(spark, d)))
+    return rows.select("conv_id", "turn", F.explode("rationale").alias("code")).withColumn("code", F.col("code").cast("bigint"))
+
+
 def planned(spark, d) -> DataFrame:
     n = F.pmod(F.col("turn") * 2, F.lit(5))
     rows = pragmatics.directives(pragmatics.features(message_table(spark, d)))
@@ -657,6 +676,20 @@ def workload(spark, d):
     return docs.select(F.lit("doc").alias("what"), F.col("doc_id").alias("id"), "text").unionByName(queries.select(F.lit("query").alias("what"), F.col("query_id").alias("id"), "text"))
 
 
+@query()
+def golden_pack(spark, d):
+    from tessera.plans import regression
+
+    return spark.createDataFrame(regression.run(spark, regression.PACKS["golden"]), "stage string, n_rows long, content_id string")
+
+
+@query("SELECT page_id, length(replace(replace(replace(replace(replace(html, '&lt;', '<'), '&gt;', '>'), '&quot;', chr(34)), '&apos;', chr(39)), '&amp;', '&'))::BIGINT AS n_chars FROM pages")
+def page_entities(spark, d):
+    from tessera.sources import wiki
+
+    return table(spark, d, "pages").select("page_id", F.length(wiki.decoded("html")).cast("bigint").alias("n_chars"))
+
+
 @query()
 def lineage(spark, d):
     from tessera.operators import lineage as log

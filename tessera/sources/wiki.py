@@ -29,6 +29,34 @@ def read_xml(spark: SparkSession, path: str, max_docs: int | None = None) -> Dat
     return out if max_docs is None else out.limit(max_docs)
 
 
+#: The named entities of XML.
+NAMED = {"amp": "&", "lt": "<", "gt": ">", "quot": '"', "apos": "'"}
+_ENTITY = re.compile(r"&(#[0-9]+|#[xX][0-9a-fA-F]+|[a-z]+);")
+
+
+def unescape(text: str) -> str:
+    """Decodes named and numeric entities; unknown ones stay as they are, impossible numbers become U+FFFD."""
+
+    def one(m: re.Match) -> str:
+        name = m[1]
+        if not name.startswith("#"):
+            return NAMED.get(name, m[0])
+        code = int(name[2:], 16) if name[1] in "xX" else int(name[1:])
+        return chr(code) if 0 < code < 0x110000 and not 0xD800 <= code < 0xE000 else "\ufffd"
+
+    return _ENTITY.sub(one, text)
+
+
+def decoded(text: str = "text"):
+    """The column ``text`` with its entities decoded, for texts that no XML reader has seen."""
+
+    @F.pandas_udf("string")
+    def decode(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: None if t is None else unescape(t))
+
+    return decode(F.col(text))
+
+
 def identified(pages: DataFrame) -> DataFrame:
     """Pages with doc_id from their title."""
     from tessera.functions.text import numeric_id

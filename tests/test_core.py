@@ -275,3 +275,21 @@ def test_entry_without_the_training_operators(tmp_path):
     shutil.copy(root / "__spark_entry__.py", tmp_path)
     code = "import __spark_entry__ as e; q = e.queries(); assert 'topk' in q and 'op1_licence' not in q and set(e.oracle_sql()) <= set(q); print(len(q))"
     assert int(subprocess.run([sys.executable, "-c", code], cwd=tmp_path, capture_output=True, text=True, check=True).stdout) > 60
+
+
+def test_packs_repeat(spark):
+    from tessera.plans import regression
+
+    pack = regression.same(spark, regression.PACKS["turn_pairs"])
+    with pytest.raises(AssertionError):
+        regression.same(spark, regression.PACKS["turn_pairs"], pack[::-1])
+
+
+def test_entities():
+    assert wiki.unescape("a &amp; b &lt;&#65;&#x42;&nope; &#xD800;&amp") == "a & b <AB&nope; \ufffd&amp"
+
+
+def test_control_ids():
+    assert retrieve.control_id("p", ["a", "b"]) != retrieve.control_id("p", ["b", "a"])
+    with pytest.raises(ValueError):
+        retrieve.control_id("p", ["a", "a"])
