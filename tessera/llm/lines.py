@@ -8,7 +8,7 @@ only few places and lengths have to be probed for it. Segments and probes are ha
 length and number; a hash that two different lines share makes them candidates. Only candidates'
 texts are gathered. A list's indexed lines are held in chunks, and each probe is compared with a
 chunk in one row, so pairs of a long list are never rows of their own before they are verified. Before
-that, 64 parity bits of character pairs reject most lines that differ in more than the threshold.
+that, signatures of letter counts reject most lines that differ in more than the threshold.
 
 Verification cuts the common ends off and runs a banded bit-parallel automaton over the rest: bit d
 of word k says whether the diagonal d of the band can be reached with k edits.
@@ -49,7 +49,11 @@ def numbered(docs: DataFrame, exact_chars: int, id_col: str, text_col: str) -> D
 
 
 def keys(line: Column, threshold: int, near_chars: int) -> list[Column]:
-    """Hashes of a line's segments, then of all its probes (null where a probe does not exist)."""
+    """Hashes of a line's segments, then of its other probes (null where a probe does not exist).
+
+    A line of the same length is also probed for at the segments' own places: those probes are the
+    segments' hashes themselves.
+    """
     parts = threshold + 1
     n = F.length(line)
 
@@ -67,6 +71,8 @@ def keys(line: Column, threshold: int, near_chars: int) -> list[Column]:
             low, high = max(-i, shorter - (threshold - i)), min(i, shorter + threshold - i)
             start, size = bounds(length, i)
             for move in range(low, high + 1):
+                if not shorter and not move:
+                    continue
                 at = start + move
                 out.append(F.when((length >= near_chars) & (at >= 0) & (at + size <= n), key(i, length, at, size)))
     return out
@@ -123,35 +129,45 @@ def edit_distance(a: Column, b: Column, threshold: int) -> Column:
                 found = F.when(bit, k).otherwise(found)
             return found
 
-        head = lambda s, k: letters(F.substring(s, 1, k))
-        dead = (m > FIRST_LETTERS) & (automaton(head(e["x"], FIRST_LETTERS + threshold), head(e["y"], FIRST_LETTERS)) == 0)
         found = F.transform(F.array(automaton(letters(e["x"]), letters(e["y"]))), least)[0]
-        return F.when(F.abs(n - m) > threshold, threshold + 1).when(F.least(n, m) == 0, F.greatest(n, m)).when(dead, threshold + 1).otherwise(found)
+        return F.when(F.abs(n - m) > threshold, threshold + 1).when(F.least(n, m) == 0, F.greatest(n, m)).otherwise(found)
+
+    # each step once: the values of a struct in a one-element array are bound by a lambda
+    def without_start(e: Column) -> Column:
+        tail = lambda t: F.substring(t, e["p"] + 1, F.length(t))
+        return F.struct(tail(e["a"]).alias("x"), tail(e["b"]).alias("y"))
+
+    def without_end(e: Column) -> Column:
+        return F.struct(e["x"].alias("x"), e["y"].alias("y"), common_start(F.reverse(e["x"]), F.reverse(e["y"])).alias("q"))
 
-    def inner(s: Column) -> Column:
-        # each step once: the values of a struct in a one-element array are bound by a lambda
-        def without_ends(e: Column) -> Column:
-            tail = lambda t, p: F.substring(t, p + 1, F.length(t))
-            x, y = tail(e["a"], e["p"]), tail(e["b"], e["p"])
-            return F.struct(x.alias("x"), y.alias("y"), common_start(F.reverse(x), F.reverse(y)).alias("q"))
+    def cut(e: Column) -> Column:
+        head = lambda t: F.substring(t, F.lit(1), F.length(t) - e["q"])
+        return F.struct(head(e["x"]).alias("x"), head(e["y"]).alias("y"))
 
-        def cut(e: Column) -> Column:
-            head = lambda t: F.substring(t, F.lit(1), F.length(t) - e["q"])
-            return F.struct(head(e["x"]).alias("x"), head(e["y"]).alias("y"))
+    def rest(e: Column) -> Column:
+        first = lambda s, k: letters(F.substring(s, 1, k))
+        dead = (F.length(e["y"]) > FIRST_LETTERS) & (automaton(first(e["x"], FIRST_LETTERS + threshold), first(e["y"], FIRST_LETTERS)) == 0)
+        whole = F.transform(F.transform(F.transform(F.array(e), without_end), cut), banded)[0]
+        return F.when(dead, threshold + 1).otherwise(whole)
 
-        return F.transform(F.transform(F.transform(F.array(s), without_ends), cut), banded)[0]
+    start = F.struct(a.alias("a"), b.alias("b"), common_start(a, b).alias("p"))
+    return F.transform(F.transform(F.array(start), without_start), rest)[0]
 
-    return inner(F.struct(a.alias("a"), b.alias("b"), common_start(a, b).alias("p")))
 
+#: Letters whose counts are part of a line's signature.
+COUNTED = "abcdefghijklmnopqrstuvwxyz .,éóè"
 
-def parity(line: Column) -> Column:
-    """64 parity bits of a line's hashed character pairs: an edit changes four pairs at most, so two
-    lines within d edits differ in at most 4 * d bits."""
-    letters = F.split(line, "")
-    pairs = F.zip_with(letters, F.slice(letters, F.lit(2), F.greatest(F.length(line), F.lit(1))), lambda a, b: F.coalesce(F.xxhash64(F.concat(a, b)), F.lit(0).cast("long")))
-    bit = lambda h: F.element_at(F.array(*[F.lit(1 << k if k < 63 else -(1 << 63)).cast("long") for k in range(64)]), F.pmod(h, F.lit(64)).cast("int") + 1)
-    inner = F.slice(pairs, F.lit(1), F.greatest(F.length(line) - 1, F.lit(0)))
-    return F.aggregate(inner, F.lit(0).cast("long"), lambda acc, h: acc.bitwiseXOR(bit(h)))
+
+def signature(line: Column) -> Column:
+    """Counts of 32 letters modulo 4 in Gray code, two bits each. One more or one less of a letter is
+    one bit, so two lines within d edits differ in at most 2 * d bits."""
+    out = F.lit(0).cast("long")
+    for k, c in enumerate(COUNTED):
+        n = F.length(line) - F.length(F.replace(line, F.lit(c), F.lit("")))
+        low = (n % 4).cast("long")
+        gray = low.bitwiseXOR(F.shiftright(low, 1))
+        out = out.bitwiseXOR(F.shiftleft(gray, 2 * k))
+    return out
 
 
 def links(lines: DataFrame, threshold: int = THRESHOLD, near_chars: int = NEAR_CHARS) -> DataFrame:
@@ -167,17 +183,21 @@ def links(lines: DataFrame, threshold: int = THRESHOLD, near_chars: int = NEAR_C
     bucket = F.pmod("h1", F.lit(BUCKETS)).cast("int").alias("bucket")
     near = long.withColumn("bucket", bucket).join(F.broadcast(wanted.select(bucket).distinct()), "bucket", "left_semi")  # BUCKETS rows at most
     texts = near.select("h1", "line", "pos").join(wanted, "h1", "left_semi").groupBy("h1", "line").agg(F.min("pos").alias("pos"))
-    texts = texts.withColumns({"parity": parity(F.col("line")), "n": F.length("line")})
+    own = [f"s{i}" for i in range(threshold + 1)]
+    texts = texts.withColumns({"signature": signature(F.col("line")), "n": F.length("line")} | dict(zip(own, keys(F.col("line"), threshold, near_chars))))
     told = members.join(texts, "h1")
-    lists = told.where("indexed").groupBy("key", F.pmod(F.hash("pos"), F.lit(CHUNKS)).alias("chunk")).agg(F.collect_list(F.struct("pos", "line", "parity", "n")).alias("list"))
-    met = told.where("not indexed").select("key", F.col("pos").alias("a"), "line", "parity", "n").join(lists.select("key", "list"), "key")
+    lists = told.where("indexed").groupBy("key", F.pmod(F.hash("pos"), F.lit(CHUNKS)).alias("chunk")).agg(F.collect_list(F.struct("pos", "line", "signature", "n", *own)).alias("list"))
+    met = told.select("key", F.col("pos").alias("a"), "line", "signature", "n", *own).join(lists.select("key", "list"), "key")
 
     def may(e: Column) -> Column:
-        """Another line that the parity bits let through; lines of one length meet both ways, one is enough."""
-        return (F.bit_count(e["parity"].bitwiseXOR(F.col("parity"))) <= 4 * threshold) & ((e["n"] != F.col("n")) | (e["pos"] < F.col("a")))
+        """Another line that the signatures let through. Lines of one length meet both ways, of which one
+        is enough, and pairs that have equal segments in place are left to the first of these."""
+        first = F.coalesce(*[F.when(e[c] == F.col(c), F.col(c)) for c in own], F.col("key"))
+        return (first == F.col("key")) & (F.bit_count(e["signature"].bitwiseXOR(F.col("signature"))) <= 2 * threshold) & ((e["n"] != F.col("n")) | (e["pos"] < F.col("a")))
 
     found = F.filter(F.transform(F.filter("list", may), lambda e: F.struct(e["pos"].alias("b"), edit_distance(F.col("line"), e["line"], threshold).alias("distance"))), lambda e: e["distance"] <= threshold)
-    pairs = met.select("a", F.explode(found).alias("e")).select(F.greatest("a", "e.b").alias("a"), F.least("a", "e.b").alias("b"), "e.distance")
+    # an outer explode, since the inner one would have what it explodes made twice more for a filter before it
+    pairs = met.select("a", F.explode_outer(found).alias("e")).where("e is not null").select(F.greatest("a", "e.b").alias("a"), F.least("a", "e.b").alias("b"), "e.distance")
     return pairs.groupBy("a", "b").agg(F.min("distance").alias("distance"))
 
 

@@ -132,14 +132,14 @@ def test_line_links_are_complete(spark, docs_of):
     assert got == want
 
 
-def test_parity_is_a_lower_bound(spark):
+def test_signature_is_a_lower_bound(spark):
     rng = random.Random(4)
     pairs = []
     for _ in range(300):
         a = "".join(rng.choice("abcdefgh ") for _ in range(40))
         pairs.append((a, mutated(rng, a, rng.randrange(1, 3))))
-    out = spark.createDataFrame(pairs, "a string, b string").select(F.bit_count(lines.parity(F.col("a")).bitwiseXOR(lines.parity(F.col("b")))).alias("n")).collect()
-    assert max(r["n"] for r in out) <= 8
+    out = spark.createDataFrame(pairs, "a string, b string").select(F.bit_count(lines.signature(F.col("a")).bitwiseXOR(lines.signature(F.col("b")))).alias("n")).collect()
+    assert max(r["n"] for r in out) <= 4
 
 
 def test_drop_duplicate_lines(docs_of):
