@@ -78,29 +78,29 @@ def counted(sample: DataFrame) -> DataFrame:
     return parts.groupBy("bucket").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
 
 
-def fitted(rows: list[np.ndarray], y: np.ndarray, r: np.ndarray, penalty: float, steps: int) -> tuple[np.ndarray, float]:
+def fitted(column: np.ndarray, counts: np.ndarray, y: np.ndarray, r: np.ndarray, penalty: float, steps: int) -> tuple[np.ndarray, float]:
     """Weights and intercept of an L2-penalised logistic regression on r * presence (Nesterov steps).
 
-    Both labels weigh the same in total, so 0.5 is the balanced decision.
+    ``column`` has the present features of all rows, ``counts`` how many are each row's. Both labels
+    weigh the same in total, so 0.5 is the balanced decision.
     """
-    column = np.concatenate(rows) if rows else np.zeros(0, np.int64)
-    row = np.repeat(np.arange(len(rows)), [len(x) for x in rows])
-    value = r[column]
-    n, d = len(rows), len(r)
+    n, d = len(y), len(r)
+    row = np.repeat(np.arange(n, dtype=np.int32), counts)
+    value = r.astype(np.float32)[column]
     weight = np.where(y > 0, n / (2 * max(1.0, y.sum())), n / (2 * max(1.0, (1 - y).sum())))
     power = np.ones(d) / np.sqrt(d)
     top = 1.0
     for _ in range(15):  # largest eigenvalue of X'X
-        power = np.bincount(column, value * np.bincount(row, value * power[column], n)[row], d)
+        power = np.bincount(column, value * np.bincount(row, value * power.astype(np.float32)[column], n).astype(np.float32)[row], d)
         top = float(np.linalg.norm(power)) or 1.0
         power /= top
     rate = 1 / (0.25 * float(weight.max()) * (top + n) / n + penalty)
     w = v = np.zeros(d)
     b = c = 0.0
     for k in range(steps):
-        p = 1 / (1 + np.exp(-np.clip(np.bincount(row, value * v[column], n) + c, -40, 40)))
+        p = 1 / (1 + np.exp(-np.clip(np.bincount(row, value * v.astype(np.float32)[column], n) + c, -40, 40)))
         off = weight * (p - y)
-        w_new = v - rate * (np.bincount(column, value * off[row], d) / n + penalty * v)
+        w_new = v - rate * (np.bincount(column, value * off.astype(np.float32)[row], d) / n + penalty * v)
         b_new = c - rate * float(off.mean())
         m = k / (k + 3)
         v, c = w_new + m * (w_new - w), b_new + m * (b_new - b)
@@ -161,12 +161,13 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = 4000, features: i
                 kept = [present(t.as_py(), model.slots()) for t in batch.column(1)]
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(kept, pa.list_(pa.int16()))], names=["toxic", "slots"])
 
-        rows = sample.mapInArrow(run, "toxic int, slots array<smallint>").toArrow()
+        rows = sample.mapInArrow(run, "toxic int, slots array<smallint>").toArrow().combine_chunks()
         y = rows.column("toxic").to_numpy().astype(float)
-        kept = [np.asarray(x, np.int64) for x in rows.column("slots").to_pylist()]
+        slots = rows.column("slots").combine_chunks()
+        column, counts = slots.flatten().to_numpy(), np.diff(slots.offsets.to_numpy())
     finally:
         sample.unpersist()
-    w, intercept = fitted(kept, y, r, penalty, steps)
+    w, intercept = fitted(column, counts, y, r, penalty, steps)
     return Model(model.buckets, w * r, intercept)
 
 
