@@ -70,7 +70,7 @@ def phonetic_code(token: str, max_code: int = MAX_CODE) -> str:
     word = "".join(c for c in token if c.isascii() and c.isalpha())[:MAX_LETTERS].lower()
     if word.startswith("x"):
         word = "s" + word[1:]
-    sounds = (next(_SOUND[k] for k, v in m.groupdict().items() if v is not None and k in _SOUND) for m in _RULE.finditer(word))
+    sounds = (_SOUND[m.lastgroup] for m in _RULE.finditer(word))  # the outer group closes last
     return regex.sub(r"(.)\1+", r"\1", "".join(sounds))[: min(max_code, MAX_CODE)]
 
 
