@@ -92,9 +92,15 @@ def edit_distance(a: Column, b: Column, threshold: int) -> Column:
     width = 2 * threshold + 1
     full = (1 << width) - 1
 
-    def automaton(x: Column, y: Column) -> Column:
-        """State after all letters of y, of the alignments of y with prefixes of x."""
+    def once(value: Column, use) -> Column:
+        """use(value) with the value made once: a lambda's variable, where an expression would be made anew."""
+        return F.transform(F.array(value), use)[0]
 
+    def automaton(a: Column, b: Column) -> Column:
+        """State after all letters of b, of the alignments of b with prefixes of a."""
+        return once(F.struct(letters(a).alias("x"), letters(b).alias("y")), lambda e: over(e["x"], e["y"]))
+
+    def over(x: Column, y: Column) -> Column:
         def matches(j: Column) -> Column:
             c = F.get(y, j - 1)
             bits = [F.when(F.coalesce(F.get(x, j - 1 + d - threshold) == c, F.lit(False)) & (j + d - threshold >= 1), 1 << d).otherwise(0) for d in range(width)]
@@ -116,7 +122,8 @@ def edit_distance(a: Column, b: Column, threshold: int) -> Column:
         return F.aggregate(F.transform(F.sequence(F.lit(1), F.size(y)), matches), F.lit(begin).cast("long"), step)
 
     def letters(s: Column) -> Column:
-        return F.when(F.length(s) == 0, F.array().cast("array<string>")).otherwise(F.transform(F.sequence(F.lit(1), F.length(s)), lambda i: F.substring(s, i, F.lit(1))))
+        none = F.array().cast("array<string>")
+        return once(s, lambda t: F.when(F.length(t) == 0, none).otherwise(F.transform(F.sequence(F.lit(1), F.length(t)), lambda i: F.substring(t, i, F.lit(1)))))
 
     def banded(e: Column) -> Column:
         n, m = F.length(e["x"]), F.length(e["y"])
@@ -129,10 +136,9 @@ def edit_distance(a: Column, b: Column, threshold: int) -> Column:
                 found = F.when(bit, k).otherwise(found)
             return found
 
-        found = F.transform(F.array(automaton(letters(e["x"]), letters(e["y"]))), least)[0]
+        found = once(automaton(e["x"], e["y"]), least)
         return F.when(F.abs(n - m) > threshold, threshold + 1).when(F.least(n, m) == 0, F.greatest(n, m)).otherwise(found)
 
-    # each step once: the values of a struct in a one-element array are bound by a lambda
     def without_start(e: Column) -> Column:
         tail = lambda t: F.substring(t, e["p"] + 1, F.length(t))
         return F.struct(tail(e["a"]).alias("x"), tail(e["b"]).alias("y"))
@@ -145,13 +151,12 @@ def edit_distance(a: Column, b: Column, threshold: int) -> Column:
         return F.struct(head(e["x"]).alias("x"), head(e["y"]).alias("y"))
 
     def rest(e: Column) -> Column:
-        first = lambda s, k: letters(F.substring(s, 1, k))
+        first = lambda s, k: F.substring(s, 1, k)
         dead = (F.length(e["y"]) > FIRST_LETTERS) & (automaton(first(e["x"], FIRST_LETTERS + threshold), first(e["y"], FIRST_LETTERS)) == 0)
-        whole = F.transform(F.transform(F.transform(F.array(e), without_end), cut), banded)[0]
-        return F.when(dead, threshold + 1).otherwise(whole)
+        return F.when(dead, threshold + 1).otherwise(once(without_end(e), lambda t: once(cut(t), banded)))
 
     start = F.struct(a.alias("a"), b.alias("b"), common_start(a, b).alias("p"))
-    return F.transform(F.transform(F.array(start), without_start), rest)[0]
+    return once(start, lambda t: once(without_start(t), rest))
 
 
 #: Letters whose counts are part of a line's signature.
