@@ -134,7 +134,8 @@ def links(distinct: DataFrame) -> DataFrame:
         for p in at:
             key = F.shiftleft(key, 8).bitwiseOR(part(p))
         keys.append(key)
-    lists = distinct.select("fp", F.explode(F.array(*keys)).alias("list"))
+    parts = int(distinct.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # each row becomes 70: not in few tasks
+    lists = distinct.repartition(parts, "fp").select("fp", F.explode(F.array(*keys)).alias("list"))
     sizes = lists.groupBy("list").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     met = durable(lists.join(sizes, "list"))
     short = met.where(F.col("n") <= LIST_ROWS).select("list", "fp")
