@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tessera.operators import evidence, retrieve
 from tessera.plans.loop import Index, answer, search
-from tessera.sources.store import content_id
+from tessera.sources.store import content
 from tessera.sources.workload import Workload, generate
 
 #: Packs by name: documents, tokens, vocabulary, queries and seed.
@@ -23,9 +23,15 @@ def run(spark: SparkSession, workload: Workload, k: int = 16, seg_docs: int = 16
     """(stage, rows, content hash) of ingest, index, search, evidence and answers."""
     docs, queries = generate(spark, workload)
     ix = Index.build(docs, seg_docs=seg_docs, source_col=None)
-    hits = search(ix, queries, retrieve.Policy(max_hits=k))
-    stages: dict[str, DataFrame] = {"documents": docs, "queries": queries, "rows": ix.rows, "postings": ix.postings, "segments": ix.segments, "hits": hits, "evidence": evidence.bundle(hits, k), "answers": answer(ix, queries, retrieve.Policy(max_hits=k))}
-    return [(name, df.count(), content_id(df)) for name, df in stages.items()]
+    kept = [x.persist() for x in (ix.rows, ix.postings, ix.segments)]
+    policy = retrieve.Policy(max_hits=k)
+    hits = search(ix, queries, policy)
+    stages: dict[str, DataFrame] = {"documents": docs, "queries": queries, "rows": ix.rows, "postings": ix.postings, "segments": ix.segments, "hits": hits, "evidence": evidence.bundle(hits, k), "answers": answer(ix, queries, policy)}
+    try:
+        return [(name, *content(df)) for name, df in stages.items()]
+    finally:
+        for x in kept:
+            x.unpersist()
 
 
 def same(spark: SparkSession, workload: Workload, expected: str | None = None) -> str:

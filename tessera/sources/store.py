@@ -10,8 +10,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def content_id(df: DataFrame) -> str:
-    """Hash of a table's schema and rows, whatever their order and partitions.
+def content(df: DataFrame) -> tuple[int, str]:
+    """Number of rows of a table, and a hash of its schema and rows, whatever their order and partitions.
 
     Row hashes are summed in two exact decimals, so no row leaves its partition.
     """
@@ -20,7 +20,11 @@ def content_id(df: DataFrame) -> str:
     part = lambda at: F.coalesce(F.sum(F.conv(F.substring(row, at, 15), 16, 10).cast("decimal(38,0)")), F.lit(0)).cast("string")
     got = df.agg(F.count(F.lit(1)).alias("n"), part(1).alias("a"), part(16).alias("b")).first()
     text = json.dumps([[n, df.schema[n].dataType.simpleString()] for n in names]) + f"|{got['n']}|{got['a']}|{got['b']}"
-    return hashlib.sha256(text.encode()).hexdigest()
+    return got["n"], hashlib.sha256(text.encode()).hexdigest()
+
+
+def content_id(df: DataFrame) -> str:
+    return content(df)[1]
 
 
 class Store:
