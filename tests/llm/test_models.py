@@ -50,6 +50,52 @@ def test_kneser_ney_against_the_formula(spark):
     assert np.allclose(total.sum(axis=1), 1, atol=1e-3)
 
 
+def test_word_order_counts(spark, docs_of):
+    rng = random.Random(12)
+    texts = [("the river runs along green hills and old stones. " * rng.randrange(3, 9)).strip() for _ in range(50)]
+    mixed = texts[0].split()
+    rng.shuffle(mixed)
+    texts += [" ".join(mixed), " ".join(rng.choice(["rivene", "grills", "hiver", "alones", "stoll", "thuns"]) for _ in range(40)) + "."]
+    labels = spark.createDataFrame([(i, 1, 0) for i in range(0, 50, 2)], "doc_id long, quality int, toxic int")
+    level = {r["doc_id"]: r["log2_perplexity"] for r in quality.judge(docs_of(texts), labels).collect()}
+    assert min(level[50], level[51]) > 3 * max(level[i] for i in range(50))
+
+
+def test_word_weights_against_the_formula(spark):
+    rng = random.Random(13)
+    texts = [prose(rng, 12) for _ in range(8)] + [""]
+    table = type("Sent", (), {"value": quality.packed(quality.train(quality.vocabulary(spark.createDataFrame([(0, t) for t in texts], "fold int, text string"))))})
+    rows = spark.createDataFrame([(i % 3 == 0, t) for i, t in enumerate(texts)], "fold boolean, text string").repartition(2)
+    found, first, _ = quality.word_weights(rows, table)
+    weight = {(r["a"], r["b"], r["c"]): (r["weight"], r["other"]) for r in found.collect()}
+    start = int(quality.START)
+    signed = lambda x: int(np.uint64(x).view(np.int64))
+    for which, some in ((0, texts), (1, [t for i, t in enumerate(texts) if i % 3])):
+        lists = [[start, start, *map(int, quality.words([t])[0])] for t in some]
+        tables = [Counter(tuple(w[i - 2 : i + 1]) for w in lists for i in range(2, len(w)))]
+        for _ in range(2):
+            tables.append(Counter(g[1:] for g in tables[-1]))
+
+        def prob(gram, base, level=0):
+            if level == 3:
+                return base
+            own = {g: n for g, n in tables[level].items() if g[:-1] == gram[:-1]}
+            d = quality.discounts_of(Counter(tables[level].values()))
+            cut = lambda n: 0 if not n else d[min(n, 3) - 1]  # noqa: B023, E731
+            rest = prob(gram[1:], base, level + 1)
+            total = sum(own.values())
+            return (own.get(gram, 0) - cut(own.get(gram, 0))) / total + sum(map(cut, own.values())) / total * rest if total else rest
+
+        for text in (texts[1], "the old river sleeps"):
+            value, _, spelt, number = quality.words([text])
+            w = [start, start, *map(int, value)]
+            cost = quality.spelling(spelt, table.value)[number] / quality.STEPS
+            want = sum(math.log2(prob(tuple(w[i - 2 : i + 1]), 2.0 ** -cost[i - 2])) for i in range(2, len(w)))
+            keys = [k for i in range(2, len(w)) for k in [(None, None, w[i]), (None, w[i - 1], w[i]), (w[i - 2], w[i - 1], w[i])]] + [(None, None, start), (None, start, start)]
+            got = sum(weight.get(tuple(x if x is None else signed(x) for x in k), (0, 0))[which] for k in keys) + len(value) * first[which] - cost.sum()
+            assert math.isclose(got, want, abs_tol=1e-6)
+
+
 def test_quality_keeps_prose_and_drops_noise(spark, docs_of):
     rng = random.Random(2)
     texts = [prose(rng, 60) for _ in range(60)] + ["%$#@ &&& *** 9983 ##@@ zzxq" * 20 for _ in range(5)] + [None, ""]
