@@ -167,13 +167,19 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row of each component, with all columns: that of the least id; of rows that share it, any one."""
-    own, rows = fresh(docs, "_kept", "_rows")
-    named = durable(near_duplicates(docs, id_col, text_col))
-    kept = named.where(F.col(id_col).eqNullSafe(F.col("component_id"))).groupBy(F.col(id_col).alias(own)).agg(F.count(F.lit(1)).alias(rows))
-    kept = durable(kept)
-    semi = lambda ids: docs.join(ids, F.col(id_col).eqNullSafe(F.col(own)), "left_semi")
+    """One row of each component, with all columns: that of the least id, null ids last; of rows that
+    share it, that of the least fingerprint and hash of the text; of rows with one id and text, any one."""
+    own, mark, of, rows = fresh(docs, "_kept", "_mark", "_of", "_rows")
+    text = F.col(text_col).cast("string")
+    keyed = docs.select(F.struct(F.col(id_col).alias("id"), F.xxhash64(text).alias("mark")).alias("key"), text.alias("text"))
+    fps = durable(fingerprints(keyed, "key", "text").select("key.id", "key.mark", "fp").groupBy("fp", "id", "mark").agg(F.count(F.lit(1)).alias("n")))
+    least = durable(fps.groupBy("fp").agg(F.min(F.struct(F.col("id").isNull().alias("last"), "id", "fp", "mark", "n")).alias("least")))
+    group = components(links(least.select("fp"))).withColumnRenamed("node", "fp")
+    first = least.join(group, "fp", "left").groupBy(F.coalesce("component", "fp")).agg(F.min("least").alias("least"))
+    kept = durable(first.select(F.col("least.id").alias(own), F.col("least.mark").alias(of), F.col("least.n").alias(rows)))
+    marked = docs.withColumn(mark, F.xxhash64(text))
+    semi = lambda some: marked.join(some, F.col(id_col).eqNullSafe(F.col(own)) & (F.col(mark) == F.col(of)), "left_semi")
     repeated = kept.where(F.col(rows) > 1)
     if repeated.isEmpty():
-        return semi(kept)
-    return semi(kept.where(F.col(rows) == 1)).unionByName(semi(repeated).dropDuplicates([id_col]))
+        return semi(kept).drop(mark)
+    return semi(kept.where(F.col(rows) == 1)).unionByName(semi(repeated).dropDuplicates([id_col, mark])).drop(mark)

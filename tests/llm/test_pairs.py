@@ -75,6 +75,14 @@ def test_drop_near_duplicates_keeps_one(docs_of):
     assert simhash.drop_near_duplicates(rows.where("doc_id < 0")).count() == 0
 
 
+def test_drop_near_duplicates_with_null_and_clashing_ids(spark):
+    one, two, three, four = "a b c d e f", "other words stand here now", "rivers run along green hills", "old stones lie by the road"
+    rows = [(None, one), (None, one), (None, two), (None, three), (7, three.upper()), (5, four), (5, "what is it that sings at night"), (5, four), (None, None)]
+    out = simhash.drop_near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    want = [(None, one), (None, two), (7, three.upper()), (5, four), (5, "what is it that sings at night"), (None, None)]
+    assert sorted(map(repr, map(tuple, out))) == sorted(map(repr, want))
+
+
 def test_components_of_a_chain(spark):
     n = 60
     edges = spark.createDataFrame([(i, i + 1) for i in range(n)] + [(100, 101)], "a long, b long")
