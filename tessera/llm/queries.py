@@ -90,6 +90,11 @@ def op10_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.line_classes(table(spark, sf_dir, "documents")).drop("text_hash")
 
 
+def op10_lines_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All lines but blank ones: equal lines of any length, links of all lines that have a segment for each edit and one more."""
+    return lines.line_classes(table(spark, sf_dir, "documents"), near_chars=lines.THRESHOLD + 1, exact_chars=1).drop("text_hash")
+
+
 def token_digests(encoded: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """n_tokens and the hashes of ids and decoded text, of rows of ``bpe.encode_decode``."""
     return encoded.select(
@@ -100,7 +105,7 @@ def token_digests(encoded: DataFrame, id_col: str = "doc_id") -> DataFrame:
     )
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_licence, op2_decontamination, op3_sharding, op4_media, op5_quality, op6_bpe, op7_simhash, op8_toxicity, op9_chat, op10_lines)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_licence, op2_decontamination, op3_sharding, op4_media, op5_quality, op6_bpe, op7_simhash, op8_toxicity, op9_chat, op10_lines, op10_lines_whole)}
 #: Letters beyond ASCII in the test tables: DuckDB's levenshtein counts bytes, so each becomes one control character first.
 WIDE = "éóèñçüêäößíÉÈÑÓÇÄÊÜÖÍáàâîôûœúù"
 NARROW = " || ".join(f"chr({k})" for k in [*range(1, 10), *range(11, 32)])

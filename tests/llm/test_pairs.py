@@ -140,6 +140,25 @@ def test_line_links_are_complete(spark, docs_of):
     assert got == want
 
 
+def test_whole_lines_link_short_ones(spark, docs_of, tmp_path):
+    from tessera.llm import queries
+
+    rng = random.Random(14)
+    base = ["".join(rng.choice("abcdefgh") for _ in range(rng.randrange(3, 30))) for _ in range(50)] + ["a", "bc", "Are, is anwh reenen."]
+    some = [m for b in base for m in [b, b, *(mutated(rng, b, rng.randrange(3)) for _ in range(2))]] + ["Are is anwh reenen."]
+    rng.shuffle(some)
+    texts = ["\n".join(some[i : i + 4]) for i in range(0, len(some), 4)]
+    docs_of(texts).write.parquet(str(tmp_path / "documents.parquet"))
+    got = {(r["doc_id"], r["line_no"]): (r["class_id"], r["class_line"], r["n_links"], r["kept"]) for r in queries.op10_lines_whole(spark, str(tmp_path)).collect()}
+    places = [(i, k, line) for i, t in enumerate(texts) for k, line in enumerate(t.split("\n")) if line]
+    near = lambda a, b: a == b or (min(len(a), len(b)) >= 3 and distance(a, b) <= 2)
+    label = components_of([(x, y) for x in range(len(places)) for y in range(x) if near(places[x][2], places[y][2])], len(places))
+    distinct = {p[2] for p in places}
+    links = {a: sum(a != b and near(a, b) for b in distinct) for a in distinct}
+    want = {(i, k): (*places[label[x]][:2], links[line], label[x] == x) for x, (i, k, line) in enumerate(places)}
+    assert got == want
+
+
 def test_signature_is_a_lower_bound(spark):
     rng = random.Random(4)
     pairs = []
