@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import tempfile
+from functools import reduce
+from operator import and_
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -70,3 +72,26 @@ def fresh(df: DataFrame, *names: str) -> list[str]:
             name = f"_{name}"
         out.append(name)
     return out
+
+
+#: Classes that hold at least one in HOT of all rows; there are at most HOT of them.
+HOT = 1000
+
+
+def with_class(rows: DataFrame, classes: DataFrame, keys: list[str], spread: str, n: str = "n") -> DataFrame:
+    """``rows`` inner-joined with ``classes``, one row a key, whose column ``n`` counts each key's rows.
+
+    The at most HOT classes that hold one in HOT of all rows or more are sent to the rows; rows of theirs
+    are dealt by a hash of their column ``spread`` past the join of the others, so no task gets them all.
+    ``classes`` is read twice and should be cut from its lineage.
+    """
+    more = [c for c in classes.columns if c not in (*keys, n)]
+    whole = classes.agg(F.coalesce(F.sum(n), F.lit(0))).first()[0]
+    hot = classes.where(F.col(n) * HOT >= whole).select(*[F.col(k).alias(f"_hot_{k}") for k in keys], F.struct(*more).alias("_hot"))
+    cold = classes.where(F.col(n) * HOT < whole).select(*[F.col(k).alias(f"_cold_{k}") for k in keys], F.struct(*more).alias("_cold"))
+    same = lambda side, key: F.col(key) == F.col(f"_{side}_{key}")
+    told = rows.join(F.broadcast(hot), reduce(and_, [same("hot", k) for k in keys]), "left")
+    told = told.withColumn("_deal", F.when(F.col("_hot").isNull(), F.col(keys[0])).otherwise(F.xxhash64(spread)))
+    on = reduce(and_, [F.col("_deal") == F.col(f"_cold_{keys[0]}"), *[same("cold", k) for k in keys[1:]], F.col("_hot").isNull()])
+    met = told.join(cold, on, "left").withColumn("_class", F.coalesce("_hot", "_cold")).where("_class is not null")
+    return met.select(*rows.columns, *[F.col(f"_class.{c}").alias(c) for c in more])

@@ -6,19 +6,22 @@ at most ``threshold``. Each line is cut into threshold + 1 segments of nearly eq
 one of them stands unchanged in any line within the threshold, and by the multi-match-aware bounds
 only few places and lengths have to be probed for it. Segments and probes are hashed with their
 length and number; a hash that two different lines share makes them candidates. Only candidates'
-texts are gathered. A list's indexed lines are held in chunks, and each probe is compared with a
-chunk in one row, so pairs of a long list are never rows of their own before they are verified. Before
-that, signatures of letter counts reject most lines that differ in more than the threshold.
+texts are gathered. A list is cut by its counted size into blocks of about ``BLOCK`` lines; each two
+blocks meet in one row, which yields its lines' numbers of links and a spanning forest of the links,
+never the pairs. A pair counts in the first list that it shares only, so the numbers add up. Signatures
+of letter counts reject most lines that differ in more than the threshold.
 
 Verification cuts the common ends off and runs a banded bit-parallel automaton over the rest: bit d
 of word k says whether the diagonal d of the band can be reached with k edits.
 
 The first line of a class (least document id, then least line number) stays, later ones go; classes
-are the components of links and equality. Lines under ``exact_chars`` are never dropped.
+are the components of links and equality. ``drop_duplicates`` spares short lines: those under
+``exact_chars`` are never dropped, and those under ``near_chars`` only with an equal one.
 
 Defined cases: a null text has no lines and is kept; blank lines are no duplicates; documents whose
 id is null keep all lines and are no one's first; rows with the same id and text count as one
-document; an empty table gives an empty result; other columns pass through ``drop_duplicates``.
+document; an empty table gives an empty result; very long lines and texts are taken whole, as any
+other; other columns pass through ``drop_duplicates``.
 """
 
 from __future__ import annotations
@@ -26,13 +29,19 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import durable, fresh
+from .common import durable, fresh, with_class
 from .graph import components
 
 THRESHOLD = 2
-NEAR_CHARS = 30
-EXACT_CHARS = 16
-CHUNKS = 8
+#: Lines that are linked: all that have a segment for each edit and one more.
+NEAR_CHARS = THRESHOLD + 1
+#: Lines that are reported: all but blank ones.
+EXACT_CHARS = 1
+#: What ``drop_duplicates`` takes for short: such lines repeat by chance.
+DROP_NEAR_CHARS = 30
+DROP_EXACT_CHARS = 16
+#: Lines of a list that are compared in one row, on average; longer lists meet block by block.
+BLOCK = 64
 #: Letters after which an alignment that has died is given up.
 FIRST_LETTERS = 16
 BUCKETS = 1 << 20
@@ -175,61 +184,99 @@ def signature(line: Column) -> Column:
     return out
 
 
+def forest(found: Column) -> Column:
+    """Of the pairs (a, b) found between two blocks: their lines' numbers of pairs as (a, null, n), and pairs
+    (a, b, 0) that join the same lines as all of them do, at most one fewer than there are lines."""
+    out = "array<struct<a:decimal(31,0),b:decimal(31,0),n:bigint>>"
+    nodes = F.array_distinct(F.flatten(F.transform(found, lambda f: F.array(f["a"], f["b"]))))
+
+    def counts(nodes: Column) -> Column:
+        return F.transform(nodes, lambda x: F.struct(x.alias("a"), F.lit(None).cast("decimal(31,0)").alias("b"), F.size(F.filter(found, lambda f: (f["a"] == x) | (f["b"] == x))).cast("bigint").alias("n")))
+
+    def spanning(nodes: Column) -> Column:
+        start = F.struct(nodes.alias("label"), F.array().cast(out).alias("kept"))
+
+        def step(state: Column, f: Column) -> Column:
+            x, y = (F.element_at(state["label"], F.array_position(nodes, f[c]).cast("int")) for c in "ab")
+            label = F.transform(state["label"], lambda v: F.when(v == F.greatest(x, y), F.least(x, y)).otherwise(v))
+            edge = F.struct(f["a"].alias("a"), f["b"].alias("b"), F.lit(0).cast("bigint").alias("n"))
+            joined = F.struct(label.alias("label"), F.concat(state["kept"], F.array(edge)).alias("kept"))
+            return F.when(x == y, state).otherwise(joined)
+
+        return F.aggregate(found, start, step, lambda state: state["kept"])
+
+    told = F.transform(F.array(nodes), lambda n: F.concat(counts(n).cast(out), spanning(n)))[0]
+    return F.when(F.size(found) > 0, told)
+
+
 def links(lines: DataFrame, threshold: int = THRESHOLD, near_chars: int = NEAR_CHARS) -> DataFrame:
-    """(a, b, distance): pairs of first places of different lines within the threshold, both ways round once."""
+    """What lines within the threshold have in common, in rows linear in the lines: (a, null, n) add to the
+    number n of other lines linked to the line with first place a; (a, b, 0) are links that span the components.
+    """
     long = lines.where(F.length("line") >= near_chars)
     probes = keys(F.col("line"), threshold, near_chars)
     classes = long.groupBy("h1", "h2").agg(*[F.min(k).alias(f"k{i}") for i, k in enumerate(probes)])
     entries = classes.select("h1", F.posexplode(F.array(*[f"k{i}" for i in range(len(probes))])).alias("kind", "key")).where("key is not null").repartition("key")
     indexed = F.col("kind") <= threshold
-    live = entries.groupBy("key").agg(F.min("h1").alias("low"), F.max("h1").alias("high"), F.max(indexed).alias("any")).where("low <> high and any").select("key")
-    members = durable(entries.join(live, "key").select("key", "h1", indexed.alias("indexed")).distinct())
+    live = entries.groupBy("key").agg(F.min("h1").alias("low"), F.max("h1").alias("high"), F.max(indexed).alias("any"), F.ceil(F.count(F.lit(1)) / BLOCK).alias("blocks")).where("low <> high and any").select("key", "blocks")
+    members = entries.join(live, "key").groupBy("key", "h1").agg(F.max(indexed).alias("indexed"), F.first("blocks").alias("blocks"))
+    members = durable(members.withColumn("block", F.pmod("h1", "blocks")))
     wanted = members.select("h1").distinct()
     bucket = F.pmod("h1", F.lit(BUCKETS)).cast("int").alias("bucket")
     near = long.withColumn("bucket", bucket).join(F.broadcast(wanted.select(bucket).distinct()), "bucket", "left_semi")  # BUCKETS rows at most
-    texts = near.select("h1", "line", "pos").join(wanted, "h1", "left_semi").groupBy("h1", "line").agg(F.min("pos").alias("pos"))
+    texts = near.groupBy("h1", "line").agg(F.min("pos").alias("pos")).join(wanted, "h1", "left_semi")
     own = [f"s{i}" for i in range(threshold + 1)]
-    texts = texts.withColumns({"signature": signature(F.col("line")), "n": F.length("line")} | dict(zip(own, keys(F.col("line"), threshold, near_chars))))
+    every = F.array_compact(F.array(*probes)).alias("probes")
+    texts = texts.select("h1", F.struct("pos", "line", signature(F.col("line")).alias("signature"), F.length("line").alias("n"), every, *[k.alias(s) for s, k in zip(own, probes)]).alias("entry"))
     told = members.join(texts, "h1")
-    lists = told.where("indexed").groupBy("key", F.pmod(F.hash("pos"), F.lit(CHUNKS)).alias("chunk")).agg(F.collect_list(F.struct("pos", "line", "signature", "n", *own)).alias("list"))
-    met = told.select("key", F.col("pos").alias("a"), "line", "signature", "n", *own).join(lists.select("key", "list"), "key")
+    blocks = told.groupBy("key", "block", "blocks").agg(F.collect_list(F.struct("indexed", "entry.*")).alias("xs"))
+    single = blocks.where("blocks = 1").select("key", "xs", F.col("xs").alias("ys"))
+    several = blocks.where("blocks > 1")
+    left = several.select("key", "xs", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1)).alias("other"))
+    right = several.select("key", F.col("block").alias("other"), F.col("xs").alias("ys"))
+    met = single.unionByName(left.join(right, ["key", "other"]).select("key", "xs", "ys"))
+
+    def may(x: Column, y: Column) -> Column:
+        """Whether the indexed line y is to be compared with the probing line x: another line, of two of one
+        length that with the later first place probing, in no list before this one, let through by the signatures."""
+        first = F.coalesce(*[F.when(F.array_contains(x["probes"], y[s]), y[s]) for s in own])
+        order = (x["n"] > y["n"]) | ((x["n"] == y["n"]) & (x["pos"] > y["pos"]))
+        return y["indexed"] & order & (F.bit_count(x["signature"].bitwiseXOR(y["signature"])) <= 2 * threshold) & (first == F.col("key"))
 
-    def may(e: Column) -> Column:
-        """Another line that the signatures let through. Lines of one length meet both ways, of which one
-        is enough, and pairs that have equal segments in place are left to the first of these."""
-        first = F.coalesce(*[F.when(e[c] == F.col(c), F.col(c)) for c in own], F.col("key"))
-        return (first == F.col("key")) & (F.bit_count(e["signature"].bitwiseXOR(F.col("signature"))) <= 2 * threshold) & ((e["n"] != F.col("n")) | (e["pos"] < F.col("a")))
+    def against(x: Column) -> Column:
+        return F.transform(F.filter("ys", lambda y: may(x, y)), lambda y: F.struct(x["pos"].alias("a"), y["pos"].alias("b"), edit_distance(x["line"], y["line"], threshold).alias("d")))
 
-    found = F.filter(F.transform(F.filter("list", may), lambda e: F.struct(e["pos"].alias("b"), edit_distance(F.col("line"), e["line"], threshold).alias("distance"))), lambda e: e["distance"] <= threshold)
-    # an outer explode, since the inner one would have what it explodes made twice more for a filter before it
-    pairs = met.select("a", F.explode_outer(found).alias("e")).where("e is not null").select(F.greatest("a", "e.b").alias("a"), F.least("a", "e.b").alias("b"), "e.distance")
-    return pairs.groupBy("a", "b").agg(F.min("distance").alias("distance"))
+    found = F.filter(F.flatten(F.transform("xs", against)), lambda f: f["d"] <= threshold)
+    # outer, since the inner form would have what it explodes made twice more for a filter before it
+    told = met.select(F.explode_outer(F.transform(F.array(found), forest)[0]).alias("e")).where("e is not null")
+    return told.select("e.a", "e.b", "e.n")
 
 
 def line_classes(docs: DataFrame, threshold: int = THRESHOLD, near_chars: int = NEAR_CHARS, exact_chars: int = EXACT_CHARS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """A row for each line of ``exact_chars`` or more: id, text_hash, line_no, the first place of its
     class (class_id, class_line), n_links (different lines within the threshold) and kept."""
     lines = numbered(docs, exact_chars, id_col, text_col)
-    pairs = durable(links(lines, threshold, near_chars))
-    degree = pairs.select("a").unionByName(pairs.select(F.col("b").alias("a"))).groupBy("a").agg(F.count(F.lit(1)).alias("n_links"))
-    group = components(pairs.select("a", "b")).join(degree, F.col("node") == F.col("a")).select(F.col("node").alias("first"), "component", "n_links")
-    classes = lines.groupBy("h1", "h2").agg(F.min("pos").alias("first"))
-    named = classes.join(group, "first", "left").select("h1", "h2", F.coalesce("component", "first").alias("first"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
-    out = lines.select("id", "text_hash", "line_no", "pos", "h1", "h2").join(named, ["h1", "h2"])
+    found = durable(links(lines, threshold, near_chars))
+    degree = found.groupBy("a").agg(F.sum("n").alias("n_links"))
+    group = components(found.where("b is not null").select("a", "b")).join(degree, F.col("node") == F.col("a")).select(F.col("node").alias("first"), "component", "n_links")
+    classes = lines.groupBy("h1", "h2").agg(F.min("pos").alias("first"), F.count(F.lit(1)).alias("n"))
+    named = durable(classes.join(group, "first", "left").select("h1", "h2", F.coalesce("component", "first").alias("first"), F.coalesce("n_links", F.lit(0)).alias("n_links"), "n"))
+    out = with_class(lines.select("id", "text_hash", "line_no", "pos", "h1", "h2"), named, ["h1", "h2"], "pos")
     span = F.lit(LINE_SPAN)
     class_id = F.floor(F.col("first") / span.cast("decimal(10,0)")).cast("long")
     return out.select(F.col("id").alias(id_col), "text_hash", F.col("line_no").cast("long").alias("line_no"), class_id.alias("class_id"), F.pmod(F.col("first"), span.cast("decimal(10,0)")).cast("long").alias("class_line"), "n_links", (F.col("pos") == F.col("first")).alias("kept"))
 
 
-def drop_duplicates(docs: DataFrame, threshold: int = THRESHOLD, near_chars: int = NEAR_CHARS, exact_chars: int = EXACT_CHARS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def drop_duplicates(docs: DataFrame, threshold: int = THRESHOLD, near_chars: int = DROP_NEAR_CHARS, exact_chars: int = DROP_EXACT_CHARS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` without its duplicate lines, all columns kept; documents of which nothing but blank
     lines is left go. Rows without a duplicate line are unchanged."""
     own, mark, lost, left = fresh(docs, "_id", "_hash", "_lost", "_left")
     gone = line_classes(docs, threshold, near_chars, exact_chars, id_col, text_col).where("not kept")
     gone = gone.groupBy(F.col(id_col).alias(own), F.col("text_hash").alias(mark)).agg(F.collect_set(F.col("line_no").cast("int")).alias(lost))
     text = F.col(text_col).cast("string")
-    whole = docs.join(gone, (F.col(id_col) == F.col(own)) & (F.xxhash64(text) == F.col(mark)), "left")
+    whole = docs.where(F.col(id_col).isNotNull()).join(gone, (F.col(id_col) == F.col(own)) & (F.xxhash64(text) == F.col(mark)), "left")
     rest = F.transform(F.array(F.split(text, "\n")), lambda lines: F.array_join(F.transform(F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col(lost)), lambda i: F.get(lines, i)), "\n"))[0]
     whole = whole.withColumn(left, F.when(F.col(lost).isNotNull(), rest))
     kept = whole.where(F.col(left).isNull() | (F.length(F.trim(F.translate(left, "\n\r\t", ""))) > 0))
-    return kept.withColumn(text_col, F.coalesce(left, text)).select(*docs.columns)
+    numbered_rows = kept.withColumn(text_col, F.coalesce(left, text)).select(*docs.columns)
+    return numbered_rows.unionByName(docs.where(F.col(id_col).isNull()).withColumn(text_col, text))  # not all in the one task of null keys

@@ -124,20 +124,31 @@ def test_edit_distance(spark, threshold):
     assert all(r["d"] == min(threshold + 1, distance(r["a"], r["b"])) for r in out)
 
 
-def test_line_links_are_complete(spark, docs_of):
+@pytest.mark.parametrize("block", [64, 2])
+def test_line_links_are_complete(spark, docs_of, monkeypatch, block):
+    monkeypatch.setattr(lines, "BLOCK", block)
     rng = random.Random(2)
     base = ["".join(rng.choice("abcdefgh ") for _ in range(rng.randrange(30, 60))).strip() for _ in range(80)]
     some = [m for b in base for m in [b, *(mutated(rng, b, rng.randrange(4)) for _ in range(rng.randrange(4)))]]
+    some += [base[0][:20] + chr(97 + k) + base[0][21:] for k in range(26)] + [base[0][:k] + base[0][k + 1 :] for k in range(12)]
     rng.shuffle(some)
     texts = ["\n".join(some[i : i + 5]) for i in range(0, len(some), 5)]
-    got = {(int(r["a"]), int(r["b"])): r["distance"] for r in lines.links(lines.numbered(docs_of(texts), 16, "doc_id", "text")).collect()}
+    rows = lines.links(lines.numbered(docs_of(texts), 16, "doc_id", "text"), near_chars=28).collect()
     place = {}
     for i, t in enumerate(texts):
         for k, line in enumerate(t.split("\n")):
-            if len(line.strip(" ")) >= 30:
+            if len(line.strip(" ")) >= 28:
                 place.setdefault(line.strip(" "), i * lines.LINE_SPAN + k)
-    want = {(max(place[a], place[b]), min(place[a], place[b])): distance(a, b) for a in place for b in place if a < b and abs(len(a) - len(b)) <= 2 and distance(a, b) <= 2}
-    assert got == want
+    want = [(place[a], place[b]) for a in place for b in place if a != b and abs(len(a) - len(b)) <= 2 and distance(a, b) <= 2]
+    counts = {}
+    for r in rows:
+        counts[int(r["a"])] = counts.get(int(r["a"]), 0) + r["n"]
+    assert counts == {p: sum(a == p for a, _ in want) for p in {a for a, _ in want}}
+    edges = [(int(r["a"]), int(r["b"])) for r in rows if r["b"] is not None]
+    assert set(edges) <= set(want)
+    number = {p: i for i, p in enumerate(sorted(place.values()))}
+    label = lambda pairs: components_of([(number[a], number[b]) for a, b in pairs], len(number))
+    assert label(edges) == label(want)
 
 
 def test_whole_lines_link_short_ones(spark, docs_of, tmp_path):
@@ -149,7 +160,7 @@ def test_whole_lines_link_short_ones(spark, docs_of, tmp_path):
     rng.shuffle(some)
     texts = ["\n".join(some[i : i + 4]) for i in range(0, len(some), 4)]
     docs_of(texts).write.parquet(str(tmp_path / "documents.parquet"))
-    got = {(r["doc_id"], r["line_no"]): (r["class_id"], r["class_line"], r["n_links"], r["kept"]) for r in queries.op10_lines_whole(spark, str(tmp_path)).collect()}
+    got = {(r["doc_id"], r["line_no"]): (r["class_id"], r["class_line"], r["n_links"], r["kept"]) for r in queries.op10_lines(spark, str(tmp_path)).collect()}
     places = [(i, k, line) for i, t in enumerate(texts) for k, line in enumerate(t.split("\n")) if line]
     near = lambda a, b: a == b or (min(len(a), len(b)) >= 3 and distance(a, b) <= 2)
     label = components_of([(x, y) for x in range(len(places)) for y in range(x) if near(places[x][2], places[y][2])], len(places))
