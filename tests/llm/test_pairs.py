@@ -214,3 +214,39 @@ def test_leaks(spark, docs_of):
     assert sorted(r["doc_id"] for r in kept.collect()) == [2, 4, 5, 6, 7]
     assert decontam.leaks(docs_of(texts).where("doc_id < 0"), benchmark).count() == 0
     assert decontam.leaks(docs_of(texts), benchmark.where("item_id < 0")).count() == 0
+
+
+VARIED = [
+    "In which year did Anna Miller walk from Paris to Berlin with her dog Rex and 2 friends?",
+    "Who wrote Hamlet?",
+    "How old is Bob?",
+    "Add 3 to 4.",
+    "What is 12 + 30 - 7?",
+    "Solve 12 x 3 + 4 = 40 for x and then for y if y is 5.",
+    "Why?",
+    "A train of 120 m passes a bridge of 300 m in 21 seconds, so how fast does the train go over the bridge?",
+]
+
+
+def test_copies_of_any_case_and_short_items_are_found(docs_of, spark):
+    benchmark = spark.createDataFrame(list(enumerate(VARIED)), "item_id long, text string")
+    lead = "The rain fell on the hills. "
+    texts, want = [], set()
+    for form in (str, str.lower, str.upper, str.title):
+        for k, item in enumerate(VARIED):
+            texts.append(lead + form(item) + "\nAnd then we went home.")
+            want.add((len(texts) - 1, k, True))
+    changed = {
+        0: ["In which year did Carla Jones walk from Rome to Vienna with her dog Bello and 7 friends?", "in which year did anna miller walk from paris to berlin with her dog rex and 9 friends?"],
+        2: ["How old is Alice?"],
+        5: ["Solve 11 x 7 + 6 = 83 for x and then for y if y is 8."],
+        7: ["A train of 90 km passes a bridge of 450 km in 35 minutes, so how fast does the train go over the bridge?"],
+    }
+    for k, some in changed.items():
+        for t in some:
+            texts.append(lead + t)
+            want.add((len(texts) - 1, k, False))
+    texts += ["Who wrote the letter?", "That is why we left.", "How old the house is!", "a train of 12 m passes a bridge of 12 m in 9 seconds", lead * 40, ""]
+    for broadcast in (1 << 20, 0):
+        out = decontam.leaks(docs_of(texts, extra=True), benchmark, broadcast_bytes=broadcast).collect()
+        assert {(r["doc_id"], r["item_id"], r["verbatim"]) for r in out} == want
