@@ -4,15 +4,16 @@ Two 64-bit fingerprints that differ in at most 4 bits agree in at least 4 of the
 guaranteed minimum of shared positional bytes is 4. Lists of single positional bytes would hold a
 256th of all fingerprints each; the index therefore keeps the intersections of four of them: one
 list for each choice of four positions and their bytes (70 choices). Fingerprints are made distinct
-first, so copies never meet in a list. A pair met in a list is tallied (number of equal positional
-bytes), kept at 4 or more only in the list of its first four equal positions, and verified by the
-popcount of its XOR. A list over ``LIST_ROWS`` fingerprints is not expanded into pairs: Python takes
-it as packed integers and emits a spanning forest of its links, which has the same components.
-Components come from alternating large-star and small-star steps over the links.
-
-Defined cases: null and empty texts have fingerprint zero and are linked like any other; repeated
-rows each give a row; rows whose id is null are kept and get the smallest id of their component
-(null where it has none); an empty table gives an empty result; only the named columns are read.
+first, so copies never meet in a list. A list is cut by its counted size into blocks of about ``BLOCK``
+fingerprints, and each two blocks meet in one row, wherever it is dealt: there the positional bytes that
+each pair shares are tallied, pairs of 4 or more are retained and verified by the popcount of their XOR,
+and a spanning forest of the links leaves, which has the same components. Those come from alternating
+large-star and small-star steps over the links.
+
+Defined cases: null and empty texts have fingerprint zero and are linked like any other; very long
+texts are hashed whole; repeated rows each give a row; rows whose id is null are kept and get the
+smallest id of their component (null where it has none); an empty table gives an empty result; only the
+named columns are read.
 """
 
 from __future__ import annotations
@@ -25,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import durable, fresh, text_chunks, utf8
+from .common import durable, fresh, text_chunks, utf8, with_class
 from .graph import components
 
 SHINGLE = 4
@@ -33,7 +34,8 @@ SEED = 42
 DISTANCE = 4
 POSITIONS = 8
 SHARED = POSITIONS - DISTANCE
-LIST_ROWS = 64
+#: Fingerprints of a block, on average.
+BLOCK = 512
 LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 LANES = np.uint64(0x0101010101010101)
 
@@ -96,74 +98,67 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return out.mapInArrow(run, f"id {kind.simpleString()}, fp bigint").withColumnRenamed("id", id_col)
 
 
-def equal_bytes(a, b):
-    """One bit for each position at which two fingerprints have the same byte."""
-    x = a.bitwiseXOR(b)
-    mask = F.lit(0)
-    for p in range(POSITIONS):
-        mask = mask + F.when(x.bitwiseAND(F.lit(0xFF << 8 * p if p < 7 else -(1 << 56))) == 0, 1 << p).otherwise(0)
-    return mask
-
-
-def forest(values: np.ndarray) -> list[tuple[int, int]]:
-    """Links that span the components of distinct uint64 values under DISTANCE.
-
-    A value that was reached is held once against those not reached yet, which are dropped as they
-    are reached; in a dense list few are left after the first steps.
-    """
-    left, out = np.sort(values), []
-    while len(left):
-        reached, left = [left[0]], left[1:]
-        while reached and len(left):
-            value = reached.pop()
-            near = np.bitwise_count(left ^ value) <= DISTANCE
-            out += [(value, x) for x in left[near]]
-            reached += list(left[near])
-            left = left[~near]
-    return [(int(a.view(np.int64)), int(b.view(np.int64))) for a, b in out]
+def forest(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Links that span the components of distinct uint64 values: each value but the first of a component
+    and the one it was reached from."""
+    differ = values[:, None] ^ values[None, :]
+    shared = (differ.view(np.uint8).reshape(len(values), -1, POSITIONS) == 0).sum(axis=2, dtype=np.uint8)
+    linked = shared >= SHARED
+    at = np.nonzero(linked)
+    linked[at] = np.bitwise_count(differ[at]) <= DISTANCE
+    left, out = np.ones(len(values), bool), []
+    while left.any():
+        reached = np.array([left.argmax()])
+        while len(reached):
+            left[reached] = False
+            new = linked[reached][:, left]
+            some = np.flatnonzero(left)[new.any(axis=0)]
+            out.append((reached[new.argmax(axis=0)[new.any(axis=0)]], some))
+            reached = some
+    a, b = (np.concatenate(x) for x in zip(*out))
+    return values[a], values[b]
 
 
 def links(distinct: DataFrame) -> DataFrame:
-    """(a, b): links between distinct fingerprints ``fp``, whole or as a spanning forest of a long list."""
-    choices = list(combinations(range(POSITIONS), SHARED))
+    """(a, b): links between distinct fingerprints ``fp``, a spanning forest of each two blocks of a list."""
     fp = F.col("fp")
     part = lambda p: F.shiftrightunsigned(fp, 8 * p).bitwiseAND(F.lit(255))
     keys = []
-    for k, at in enumerate(choices):
+    for k, at in enumerate(combinations(range(POSITIONS), SHARED)):
         key = F.lit(k).cast("long")
         for p in at:
             key = F.shiftleft(key, 8).bitwiseOR(part(p))
         keys.append(key)
     parts = int(distinct.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # each row becomes 70: not in few tasks
     lists = distinct.repartition(parts, "fp").select("fp", F.explode(F.array(*keys)).alias("list"))
-    sizes = lists.groupBy("list").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    met = durable(lists.join(sizes, "list"))
-    short = met.where(F.col("n") <= LIST_ROWS).select("list", "fp")
-    a, b = short.select("list", F.col("fp").alias("a")), short.select("list", F.col("fp").alias("b"))
-    pairs = a.join(b, "list").where("a < b").where(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= DISTANCE)
-    masks = F.array(*[F.lit(sum(1 << p for p in at)) for at in choices])
-    shared = equal_bytes(F.col("a"), F.col("b"))
-    first = F.expr("filter(masks, m -> (m & shared) = m)[0]")
-    own = F.element_at(F.col("masks"), (F.shiftright(F.col("list"), 8 * SHARED) + 1).cast("int"))
-    pairs = pairs.withColumn("shared", shared).where(F.bit_count("shared") >= SHARED).withColumn("masks", masks).where(own == first).select("a", "b")
+    sizes = lists.groupBy("list").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("list", F.ceil(F.col("n") / BLOCK).alias("blocks"))
+    met = lists.join(sizes, "list").withColumn("block", F.pmod(F.xxhash64("fp"), "blocks"))
+    blocks = durable(met.groupBy("list", "block", "blocks").agg(F.collect_list("fp").alias("fps")))
+    left = blocks.select("list", F.explode(F.sequence("block", F.col("blocks") - 1)).alias("other"), "block", F.col("fps").alias("xs"))
+    right = blocks.where("block > 0").select("list", F.col("block").alias("other"), F.col("fps").alias("ys"))
+    both = left.where("other > block").join(right, ["list", "other"]).select(F.concat("xs", "ys").alias("fps"))
+    own = left.where("other = block").select(F.col("xs").alias("fps"))
 
-    def long_list(key, batch):
-        found = forest(batch.column("fp").to_numpy().view(np.uint64))
-        return pa.table({"a": pa.array([x for x, _ in found], pa.int64()), "b": pa.array([y for _, y in found], pa.int64())})
+    def run(batches):
+        for batch in batches:
+            a, b = [np.zeros(0, np.uint64)], [np.zeros(0, np.uint64)]
+            for fps in batch.column(0):
+                x, y = forest(fps.values.to_numpy().view(np.uint64))
+                a.append(x)
+                b.append(y)
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x).view(np.int64)) for x in (a, b)], names=["a", "b"])
 
-    long = met.where(F.col("n") > LIST_ROWS).select("list", "fp").groupBy("list").applyInArrow(long_list, "a bigint, b bigint")
-    return pairs.unionByName(long)
+    return own.unionByName(both).mapInArrow(run, "a bigint, b bigint")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, ``fp`` (long) and ``component_id`` (smallest id reachable over links) of every row."""
     fps = durable(fingerprints(docs, id_col, text_col))
-    classes = durable(fps.groupBy("fp").agg(F.min(id_col).alias("least_id")))
-    group = components(links(classes.select("fp")))
-    least = classes.join(group.withColumnRenamed("node", "fp"), "fp").select("component", "least_id")
-    named = group.join(least.groupBy("component").agg(F.min("least_id").alias("component_id")), "component").select(F.col("node").alias("fp"), "component_id")
-    label = classes.join(named, "fp", "left").select("fp", F.coalesce("component_id", "least_id").alias("component_id"))
-    return fps.join(label, "fp").select(id_col, "fp", "component_id")
+    classes = durable(fps.groupBy("fp").agg(F.min(id_col).alias("least_id"), F.count(F.lit(1)).alias("n")))
+    group = durable(components(links(classes.select("fp"))).withColumnRenamed("node", "fp"))
+    least = classes.join(group, "fp").groupBy("component").agg(F.min("least_id").alias("component_id"))
+    label = durable(classes.join(group, "fp", "left").join(least, "component", "left").select("fp", F.coalesce("component_id", "least_id").alias("component_id"), "n"))
+    return with_class(fps, label, ["fp"], id_col).select(id_col, "fp", "component_id")
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
