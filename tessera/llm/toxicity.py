@@ -1,6 +1,6 @@
 """Toxicity: a linear classifier over character n-grams scaled by naive Bayes log-count ratios.
 
-Features are the UTF-8 n-grams (4 to 6 bytes) of the lower-cased text that occur in it, hashed to
+Features are the UTF-8 n-grams (4, 6 and 8 bytes) of the lower-cased text that occur in it, hashed to
 ``BUCKETS``. On a bounded sample of labelled rows (at most ``per_class`` of each label, taken by the
 least hash of their ids) document counts by label give each n-gram's log-count ratio r; the
 ``features`` n-grams with the largest chi-square stay; a logistic regression with an L2 penalty is
@@ -10,7 +10,8 @@ have a fixed size, and the weights are all that is sent to the executors.
 Defined cases: a null text counts as empty and gets the score of the intercept; ids labelled more
 than once count as toxic if any label says so; rows without a label or with a null label are not
 learnt from; with no labelled rows of one kind every score is that of the known odds (0 without any
-label); an empty table gives an empty result; repeated rows each give a row.
+label); of rows that share a labelled id, one text (that of the least hash) is learnt from; very long
+texts are scored whole, piece by piece; an empty table gives an empty result; repeated rows each give a row.
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ from pyspark.sql import functions as F
 
 from .common import text_chunks, utf8
 
-SIZES = (4, 5, 6)
+SIZES = (4, 6, 8)
 BUCKETS = 1 << 22
 PIECE = 1 << 20
 MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
@@ -142,7 +143,9 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = 4000, features: i
     order = F.xxhash64("id")
     chosen = each.where("toxic = 1").orderBy(order, "id").limit(per_class).unionByName(each.where("toxic = 0").orderBy(order, "id").limit(per_class))
     # at most 2 * per_class ids are sent
-    sample = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).join(F.broadcast(chosen), "id").dropDuplicates(["id"]).select("toxic", "text").repartition(12)
+    sample = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).join(F.broadcast(chosen), "id")
+    # of rows with one id, the text of the least hash
+    sample = sample.groupBy("id", "toxic").agg(F.min(F.struct(F.xxhash64("text").alias("mark"), "text")).alias("least")).select("toxic", "least.text").repartition(12)
     sample = sample.persist()
     try:
         size = {r["toxic"]: r["n"] for r in sample.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
