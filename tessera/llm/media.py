@@ -1,18 +1,23 @@
 """Media columns: Netpbm and BMP decoded to numpy arrays, area-resized, written as NPY tiles.
 
-``decode_image`` reads P1 to P6 Netpbm (8- and 16-bit samples) and uncompressed BMP of 1, 4, 8, 24 or
-32 bits. ``area_resize`` averages each target cell exactly: the integral image, interpolated at the
-cells' bounds, gives cell sums as integers; it is built in bands of rows, so memory does not grow
-with an image's height beyond the pixels. ``dhash`` compares neighbouring cells of a 9 x 8 resize.
-
-Defined cases: a null or empty payload is one block of zeros; equal payloads give equal values; an
-empty table gives an empty result; columns other than the two named are not read.
+``decode_image`` reads P1 to P6 Netpbm and uncompressed BMP of 1, 4, 8, 16, 24 or 32 bits, with bit masks
+where these are given. Samples come back as uint8, or as uint16 where Netpbm tells of more than 255
+levels, scaled to the whole range of their type; an image is a height x width array, with a third axis
+of red, green and blue in colour. ``area_resize`` averages each target cell exactly: the integral
+image, interpolated at the cells' bounds, gives cell sums as integers; it is built in bands of rows, so
+memory does not grow with an image's height beyond the pixels. ``dhash`` compares neighbouring cells
+of a 9 x 8 resize of the grey image.
+
+Defined cases: a null or empty payload is one block of zeros; very long texts are stored whole; equal
+payloads give equal values; bytes that are no such image raise a ValueError; an empty table gives an
+empty result; columns other than the two named are not read.
 """
 
 from __future__ import annotations
 
 import hashlib
 import io
+import re
 import zlib
 
 import numpy as np
@@ -57,26 +62,49 @@ def decode_netpbm(data: bytes) -> np.ndarray:
         digits = digits[(digits == 48) | (digits == 49)][:n]
         return ((49 - digits) * np.uint8(255)).reshape(height, width)
     deep = most[0] > 255
+    if not 0 < most[0] < 1 << 16:
+        raise ValueError("bad Netpbm maximum")
     if magic in (b"P2", b"P3"):
-        values = np.array(data[at:].split()[:n], dtype=np.int64).astype(np.uint16 if deep else np.uint8)
+        values = np.array(re.sub(rb"#[^\n]*", b"", data[at:]).split()[:n], dtype=np.int64)
     elif magic in (b"P5", b"P6"):
+        if len(data) < at + n * (1 + deep):
+            raise ValueError("Netpbm samples are missing")
         values = np.frombuffer(data, ">u2" if deep else np.uint8, n, at)
     else:
         raise ValueError(f"not Netpbm: {magic!r}")
     if len(values) < n:
         raise ValueError("Netpbm samples are missing")
-    return values.reshape((height, width, 3) if bands == 3 else (height, width))
+    return scaled(values, most[0], np.uint16 if deep else np.uint8).reshape((height, width, 3) if bands == 3 else (height, width))
+
+
+def scaled(values: np.ndarray, most: int, kind) -> np.ndarray:
+    """Samples of 0 .. most over the whole range of their type, rounded to the nearest; larger ones are the most."""
+    full = int(np.iinfo(kind).max)
+    if most == full:
+        return values.astype(kind)
+    return ((np.minimum(values.astype(np.int64), most) * full + most // 2) // most).astype(kind)
 
 
 def decode_bmp(data: bytes) -> np.ndarray:
     number = lambda at, size, signed=False: int.from_bytes(data[at : at + size], "little", signed=signed)
     start, header, width, height = number(10, 4), number(14, 4), number(18, 4, True), number(22, 4, True)
     bits, packing = number(28, 2), number(30, 4)
-    if packing not in (0, 3) or packing == 3 and bits != 32:
+    if header < 40 or width < 1 or not height:
+        raise ValueError("BMP header of another kind")
+    if packing not in (0, 3) or packing == 3 and bits not in (16, 32):
         raise ValueError("compressed BMP")
     stride, rows = (width * bits + 31) // 32 * 4, abs(height)
+    if len(data) < start + stride * rows:
+        raise ValueError("BMP samples are missing")
     raw = np.frombuffer(data, np.uint8, stride * rows, start).reshape(rows, stride)
     raw = raw if height < 0 else raw[::-1]
+    if bits == 16 or packing == 3:
+        masks = [number(54 + 4 * k, 4) for k in range(3)] if packing == 3 else [31 << 10, 31 << 5, 31]
+        if not all(masks):
+            raise ValueError("BMP without colour masks")
+        words = np.ascontiguousarray(raw[:, : width * bits // 8]).view("<u2" if bits == 16 else "<u4").astype(np.int64)
+        low = [(m & -m).bit_length() - 1 for m in masks]
+        return np.stack([scaled(words >> s & m >> s, m >> s, np.uint8) for m, s in zip(masks, low)], axis=2)
     if bits in (24, 32):
         return raw[:, : width * bits // 8].reshape(rows, width, bits // 8)[:, :, 2::-1]
     if bits not in (1, 4, 8):
@@ -95,9 +123,10 @@ def decode_image(data: bytes) -> np.ndarray:
 
 
 def grey(image: np.ndarray) -> np.ndarray:
+    """Brightness of a colour image, in its own type; a grey one as it is."""
     if image.ndim == 2:
         return image
-    return (image.astype(np.uint32) @ np.array([299, 587, 114], np.uint32) // 1000).astype(np.uint8)
+    return (image.astype(np.uint64) @ np.array([299, 587, 114], np.uint64) // np.uint64(1000)).astype(image.dtype)
 
 
 def cell_sums(image: np.ndarray, rows: int, columns: int) -> np.ndarray:
@@ -125,12 +154,15 @@ def cell_sums(image: np.ndarray, rows: int, columns: int) -> np.ndarray:
 
 
 def area_resize(image: np.ndarray, rows: int, columns: int) -> np.ndarray:
-    """Cell means as uint8, rounded down."""
-    return (cell_sums(image, rows, columns) // max(1, image.size)).astype(np.uint8)
+    """Cell means of each band in the image's own type, rounded down."""
+    bands = image[:, :, None] if image.ndim == 2 else image
+    pixels = max(1, image.shape[0] * image.shape[1])
+    out = np.stack([cell_sums(bands[:, :, k], rows, columns) // pixels for k in range(bands.shape[2])], axis=2)
+    return out.reshape((rows, columns) if image.ndim == 2 else out.shape).astype(image.dtype)
 
 
 def dhash(image: np.ndarray) -> str:
-    cells = cell_sums(image, 8, 9)
+    cells = cell_sums(grey(image), 8, 9)
     return np.packbits(cells[:, 1:] > cells[:, :-1]).tobytes().hex()
 
 

@@ -102,6 +102,41 @@ def test_image_formats():
         media.decode_image(b"P6 3 2 255\n\x00")
 
 
+def test_resize_of_every_kind():
+    rng = np.random.default_rng(3)
+    for kind, shape in [(np.uint8, (7, 5)), (np.uint16, (9, 4)), (np.uint8, (6, 5, 3)), (np.uint16, (4, 7, 3))]:
+        image = rng.integers(0, np.iinfo(kind).max, shape, dtype=kind, endpoint=True)
+        small = media.area_resize(image, 3, 2)
+        assert small.dtype == kind and small.shape == (3, 2, *shape[2:])
+        bands = image.reshape(*shape[:2], -1).astype(object)
+        for k in range(bands.shape[2]):
+            fine = np.repeat(np.repeat(bands[:, :, k], 3, axis=0), 2, axis=1).reshape(3, shape[0], 2, shape[1])
+            want = fine.sum(axis=(1, 3)) // (shape[0] * shape[1])
+            assert (small.reshape(3, 2, -1)[:, :, k] == want).all()
+        bright = media.grey(image)
+        assert bright.dtype == kind and (image.ndim == 2 or bright[0, 0] == int(image[0, 0].astype(object) @ [299, 587, 114]) // 1000)
+        assert len(media.dhash(image)) == 16
+
+
+def test_levels_and_masks():
+    assert (media.decode_image(b"P2 3 1 15\n0 7 15") == [[0, 119, 255]]).all()
+    assert (media.decode_image(b"P2 2 1 # deep\n1023\n1023 512") == [[65535, 32800]]).all()
+    deep = media.decode_image(b"P5 2 1 65535\n" + (40000).to_bytes(2, "big") + (5).to_bytes(2, "big"))
+    assert deep.dtype == np.uint16 and deep.tolist() == [[40000, 5]] and media.area_resize(deep, 1, 1).tolist() == [[20002]]
+
+    def bmp(bits, packing, pixels, masks=b""):
+        b4 = lambda n: n.to_bytes(4, "little", signed=n < 0)
+        return b"BM" + bytes(8) + b4(54 + len(masks)) + b4(40) + b4(2) + b4(-1) + (1).to_bytes(2, "little") + bits.to_bytes(2, "little") + b4(packing) + bytes(20) + masks + pixels
+
+    w = lambda n, size: n.to_bytes(size, "little")
+    assert media.decode_image(bmp(16, 0, w(31 << 10, 2) + w(16 << 5 | 31, 2))).tolist() == [[[255, 0, 0], [0, 132, 255]]]
+    masks = w(0xFF, 4) + w(0xFF00, 4) + w(0xFF0000, 4)
+    assert media.decode_image(bmp(32, 3, w(0x030201, 4) + w(0xFF00FE, 4), masks)).tolist() == [[[1, 2, 3], [254, 0, 255]]]
+    for bad in (bmp(8, 1, bytes(8)), bmp(32, 3, bytes(8), bytes(12)), bmp(24, 0, b""), b"P7 1 1", b"P5 1 1 0\n\x00"):
+        with pytest.raises(ValueError):
+            media.decode_image(bad)
+
+
 def test_bpe_equals_the_library(docs_of):
     from tokenizers import Tokenizer
 
