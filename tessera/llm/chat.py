@@ -4,26 +4,33 @@ States are the roles, each as first line of a turn or as a later line. A line sh
 speaker marker (none, anonymous, or one of a role) and a feature class (length, question, list or
 code). The model is counted from labelled conversations (add-one smoothed), by native aggregation.
 
-Sequences are decoded in blocks of ``BLOCK`` turn numbers. A conversation of one block is decoded as
-it is. Of a longer one, each block first becomes a max-plus matrix (best score from each state before
-it to each state at its end); the products of these few matrices fix the state at every block's ends,
-and the blocks are decoded apart between these states: the same path as decoding it whole.
+Lines are sorted over all tasks and numbered there; each ``BLOCK`` consecutive numbers are a block, so a
+block holds a bounded number of lines, whatever their conversations and turns. Conversations within one
+block are decoded as they are. Of one that crosses blocks, each piece first becomes a max-plus matrix
+(best score from each state before it to each state at its end); ``FAN`` neighbouring matrices are
+multiplied into one until a conversation has at most FAN, and on the way back down each level fixes the
+states at the ends of the pieces below, between which they are decoded apart: the same path as decoding
+the conversation whole.
 
 Every line gets a canonical rendering: a first line opens its turn with the role's tag and loses its
 marker, so the renderings of a conversation, in order, are its canonical transcript.
 
-Defined cases: a null text is one empty line; rows that repeat conversation, turn and text count
-once; null conversation ids form one conversation, null turns come first; equal turns are ordered by
-text; with no labelled rows the smoothed counts are uniform; empty tables give an empty result.
+Defined cases: a null text is one empty line; very long texts and lines are taken whole; rows that
+repeat conversation, turn and text count once; null conversation ids form one conversation, null turns
+come first; equal turns are ordered by the hash of their text; a conversation starts with its least turn;
+with no labelled rows the smoothed counts are uniform; empty tables give an empty result; columns other
+than the named ones are not read.
 """
 
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import durable
+
 ROLES = ("system", "user", "assistant")
 STATES = 2 * len(ROLES)  # 2 * role: first line of a turn, + 1: later line
 #: Words that name a speaker, by role.
@@ -32,6 +39,7 @@ SPEAKERS = {"system": "system|note|context", "user": "user|human|customer|questi
 MARKERS = 2 + len(ROLES)
 FEATURES = 4 * 2 * 2
 BLOCK = 512
+FAN = 512
 TAG = {r: f"<|{r}|>" for r in ROLES}
 STYLES = {
     "user": ["User: ", "Human: ", "### Instruction:\n", "<|user|>", "- ", "Q: "],
@@ -116,10 +124,11 @@ def train(rows: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", ro
     index = F.when(F.col("r") == "system", 0).when(F.col("r") == "user", 1).otherwise(2)
     lines = split_lines(own, "c", "t", raw_form(F.col("r"), F.col("x"), F.col("c")), index.alias("role"))
     seen = observations(lines).groupBy((F.col("role") * 2 + (F.col("line_no") > 0).cast("int")).alias("state"), "obs").agg(F.count(F.lit(1)).alias("n")).collect()
-    after = own.select("c", F.col("t").cast("long").alias("t"), index.alias("r"))
+    # the roles of each turn number, each once: at most three rows
+    after = own.select("c", F.col("t").cast("long").alias("t"), index.alias("r")).distinct()
     nexts = after.select("c", (F.col("t") - 1).alias("t"), F.col("r").alias("s"))
     moves = after.join(nexts, ["c", "t"]).groupBy("r", "s").agg(F.count(F.lit(1)).alias("n")).collect()
-    firsts = after.where("t = 0").groupBy("r").agg(F.count(F.lit(1)).alias("n")).collect()
+    firsts = after.groupBy("c").agg(F.min(F.struct("t", "r")).alias("least")).groupBy("least.r").agg(F.count(F.lit(1)).alias("n")).collect()
     emit = np.zeros((STATES, MARKERS * FEATURES))
     for r in seen:
         emit[r["state"], r["obs"]] += r["n"]
@@ -148,67 +157,100 @@ def train(rows: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", ro
 ORDER = ["turn", "tie", "line_no"]
 
 
+def run_starts(conv: pa.ChunkedArray) -> np.ndarray:
+    """Where the value changes in a sorted column, which may hold nulls; the end last."""
+    known = conv.is_valid().to_numpy()
+    value = conv.fill_null(0).to_numpy()
+    new = (value[1:] != value[:-1]) | (known[1:] != known[:-1])
+    return np.flatnonzero(np.r_[True, new, True])
+
+
+MATRIX = "conv bigint, block bigint, head boolean, m array<double>"
+
+
+def one_matrix(t: pa.Table, m: np.ndarray, block: int) -> pa.Table:
+    """A row of MATRIX with the group's conversation, its first piece's ``head`` and m."""
+    return pa.table({"conv": t.column("conv").slice(0, 1).combine_chunks(), "block": pa.array([block], pa.int64()), "head": t.column("head").slice(0, 1).combine_chunks(), "m": pa.array([m.ravel().tolist()], pa.list_(pa.float64()))})
+
+
+def matrices(t: pa.Table) -> np.ndarray:
+    return np.array(t.column("m").to_pylist()).reshape(-1, STATES, STATES)
+
+
+def product(t: pa.Table) -> pa.Table:
+    t = t.sort_by("block")
+    out, *more = matrices(t)
+    for m in more:
+        out = (out[:, :, None] + m[None]).max(axis=1)
+    return one_matrix(t, out, t.column("above")[0].as_py())
+
+
+def bounds(t: pa.Table) -> pa.Table:
+    """The states before and at the end of each of the pieces, between those of all of them if these are given."""
+    t = t.sort_by("block")
+    given = "before" in t.column_names
+    before, last = (t.column(c)[0].as_py() if given else -1 for c in ("before", "last"))
+    first, *more = matrices(t)
+    score = first[max(before, 0)]  # the rows of a conversation's first matrix are equal
+    back = []
+    for m in more:
+        each = score[:, None] + m
+        back.append(each.argmax(axis=0))
+        score = each.max(axis=0)
+    ends = [int(score.argmax()) if last < 0 else last]
+    for b in reversed(back):
+        ends.append(int(b[ends[-1]]))
+    ends = ends[::-1]
+    return pa.table({"conv": t.column("conv"), "block": t.column("block"), "before": pa.array([before, *ends[:-1]], pa.int32()), "last": pa.array(ends, pa.int32())})
+
+
+def piece_ends(pieces: DataFrame) -> DataFrame:
+    """(conv, block, before, last) of rows of MATRIX: the states at the ends of each piece on the best path."""
+    schema = "conv bigint, block bigint, before int, last int"
+    if pieces.groupBy("conv").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > FAN).isEmpty():
+        return pieces.groupBy("conv").applyInArrow(bounds, schema)
+    pieces = pieces.withColumn("above", F.expr(f"block div {FAN}"))
+    upper = durable(pieces.groupBy("conv", "above").applyInArrow(product, MATRIX))
+    given = piece_ends(upper).select(F.col("conv").alias("hc"), F.col("block").alias("hb"), "before", "last")
+    told = pieces.join(given, F.col("conv").eqNullSafe(F.col("hc")) & (F.col("above") == F.col("hb")))
+    return told.select("conv", "block", "m", "above", "before", "last").groupBy("conv", "above").applyInArrow(bounds, schema)
+
+
 def parse(lines: DataFrame, model: Model) -> DataFrame:
     """conv, turn, tie, line_no, role, begins and rendered of transcript lines (of ``split_lines``)."""
-    seen = observations(lines).withColumn("block", F.floor(F.coalesce("turn", F.lit(0)) / BLOCK).cast("long"))
-    seen = seen.select("conv", "block", *ORDER, "obs", "body")
-    # how many blocks a conversation has decides nothing but the way to the same path
-    spans = seen.groupBy("conv").agg(F.min("block").alias("first"), F.max("block").alias("final"))
-    one = spans.where("first = final").select(F.col("conv").alias("c"))
-    many = spans.where("first < final").select(F.col("conv").alias("c"))
-    same = F.col("conv").eqNullSafe(F.col("c"))
-
-    def ordered(rows: pd.DataFrame) -> pd.DataFrame:
-        return rows.sort_values(ORDER, na_position="first", kind="stable", ignore_index=True)
-
-    def decoded(rows: pd.DataFrame, before: int, last: int) -> pd.DataFrame:
-        rows = ordered(rows)
-        rows["state"] = model.path(rows["obs"].to_numpy(), before, last).astype(np.int32)
-        return rows[["conv", *ORDER, "state", "body"]]
-
-    schema = "conv bigint, turn bigint, tie string, line_no int, state int, body string"
-    whole = lambda rows: decoded(rows, -1, -1)
-    short = seen.join(one, same, "left_semi").groupBy("conv", "block").applyInPandas(whole, schema)
-    long = seen.join(many, same, "left_semi")
-
-    def matrix(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = ordered(rows)
-        return pd.DataFrame({"conv": rows["conv"][:1], "block": rows["block"][:1], "m": [model.transfer(rows["obs"].to_numpy()).ravel().tolist()]})
-
-    matrices = long.groupBy("conv", "block").applyInPandas(matrix, "conv bigint, block bigint, m array<double>")
-    heads = long.groupBy("conv").agg(F.min("block").alias("block")).select("conv", "block")
-
-    def opening(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = ordered(rows)
-        obs = rows["obs"].to_numpy()
-        score = model.start + model.emit[:, obs[0]]
-        for o in obs[1:]:
-            score = (score[:, None] + model.move).max(axis=0) + model.emit[:, o]
-        return pd.DataFrame({"conv": rows["conv"][:1], "block": rows["block"][:1], "m": [score.tolist()]})
-
-    head = heads.select(F.col("conv").alias("hc"), F.col("block").alias("hb"))
-    at_head = F.col("conv").eqNullSafe(F.col("hc")) & (F.col("block") == F.col("hb"))
-    vectors = long.join(head, at_head, "left_semi").groupBy("conv", "block").applyInPandas(opening, "conv bigint, block bigint, m array<double>")
-    chained = vectors.unionByName(matrices.join(head, at_head, "left_anti"))
-
-    def bounds(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("block", ignore_index=True)
-        score = np.array(rows["m"][0])
-        back = []
-        for m in rows["m"][1:]:
-            each = score[:, None] + np.array(m).reshape(STATES, STATES)
-            back.append(each.argmax(axis=0))
-            score = each.max(axis=0)
-        last = [int(score.argmax())]
-        for b in reversed(back):
-            last.append(int(b[last[-1]]))
-        last = last[::-1]
-        return pd.DataFrame({"conv": rows["conv"], "block": rows["block"], "before": [-1, *last[:-1]], "last": last})
-
-    fixed = chained.groupBy("conv").applyInPandas(bounds, "conv bigint, block bigint, before int, last int").select(F.col("conv").alias("hc"), F.col("block").alias("hb"), "before", "last")
-    between = lambda rows: decoded(rows, int(rows["before"].iloc[0]), int(rows["last"].iloc[0]))
-    pieces = long.join(fixed, at_head).groupBy("conv", "block").applyInPandas(between, schema)
-    states = short.unionByName(pieces)
+    seen = observations(lines).select("conv", *ORDER, "obs", "body")
+    seen = seen.repartitionByRange("conv", *ORDER).sortWithinPartitions("conv", *ORDER).withColumn("at", F.monotonically_increasing_id())
+    seen = durable(seen.withColumn("block", F.expr(f"at div {BLOCK}")))
+    blocks = durable(seen.groupBy("conv", "block").agg(F.count(F.lit(1)).alias("n")))
+    spans = blocks.groupBy("conv").agg(F.min("block").alias("first"), F.max("block").alias("final")).where("first < final").select(F.col("conv").alias("c"), "first")
+    pieces = blocks.join(spans, F.col("conv").eqNullSafe(F.col("c"))).select(F.col("conv").alias("hc"), F.col("block").alias("hb"), (F.col("block") == F.col("first")).alias("head"))
+    at_piece = F.col("conv").eqNullSafe(F.col("hc")) & (F.col("block") == F.col("hb"))
+
+    def matrix(t: pa.Table) -> pa.Table:
+        t = t.sort_by("at")
+        obs = t.column("obs").to_numpy()
+        m = model.transfer(obs)
+        if t.column("head")[0].as_py():
+            score = model.start + model.emit[:, obs[0]]
+            for o in obs[1:]:
+                score = (score[:, None] + model.move).max(axis=0) + model.emit[:, o]
+            m = np.tile(score, (STATES, 1))
+        return one_matrix(t, m, t.column("block")[0].as_py())
+
+    crossing = seen.join(pieces, at_piece).select("conv", "block", "at", "obs", "head")
+    fixed = piece_ends(durable(crossing.groupBy("conv", "block").applyInArrow(matrix, MATRIX)))
+    fixed = fixed.select(F.col("conv").alias("hc"), F.col("block").alias("hb"), "before", "last")
+
+    def decoded(t: pa.Table) -> pa.Table:
+        t = t.sort_by("at")
+        at, obs = run_starts(t.column("conv")), t.column("obs").to_numpy()
+        before, last = (t.column(c).to_numpy() for c in ("before", "last"))
+        states = [model.path(obs[s:e], int(before[s]), int(last[s])) for s, e in zip(at, at[1:])]
+        return t.select(["conv", *ORDER]).append_column("state", pa.array(np.concatenate(states).astype(np.int32))).append_column("body", t.column("body"))
+
+    none = lambda c: F.coalesce(c, F.lit(-1)).alias(c)
+    told = seen.join(fixed, at_piece, "left").select("conv", *ORDER, "at", "block", "obs", "body", none("before"), none("last"))
+    states = told.groupBy("block").applyInArrow(decoded, "conv bigint, turn bigint, tie string, line_no int, state int, body string")
     role = F.element_at(F.array(*map(F.lit, ROLES)), (F.col("state") / 2).cast("int") + 1)
     begins = F.col("state") % 2 == 0
     return states.select("conv", *ORDER, role.alias("role"), begins.alias("begins"), F.when(begins, F.concat(F.lit("<|"), role, F.lit("|>\n"), F.col("body"))).otherwise(F.col("body")).alias("rendered"))

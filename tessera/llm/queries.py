@@ -65,8 +65,8 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def held_out(id_col: str = "doc_id"):
-    """Whether a row is of the fold that is never learnt from."""
-    return F.crc32(F.col(id_col).cast("string").cast("binary")) % 5 == 0
+    """Whether a row is of the fold that is never learnt from; rows without an id are."""
+    return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % 5 == 0, F.lit(True))
 
 
 def toxicity_model(spark: SparkSession, sf_dir: str) -> toxicity.Model:
@@ -79,11 +79,12 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Conversations told as raw transcripts, whose roles are recovered from the lines alone."""
+    """Conversations told as raw transcripts, whose roles are recovered from the lines alone by a model
+    counted from those that are not held out."""
     rows = table(spark, sf_dir, "conversations")
     lines_ = chat.split_lines(rows, "conv_id", "turn", chat.raw_form(F.col("role"), F.col("text"), F.col("conv_id")))
-    out = chat.parse(lines_, chat.train(rows))
-    return out.select(F.col("conv").alias("conv_id"), "turn", F.col("line_no").cast("long").alias("line_no"), "role", "begins", F.sha2("rendered", 256).alias("rendered_sha256"))
+    out = chat.parse(lines_, chat.train(rows.where(~held_out("conv_id"))))
+    return out.select(F.col("conv").alias("conv_id"), "turn", F.col("line_no").cast("long").alias("line_no"), "role", "begins", F.sha2("rendered", 256).alias("rendered_sha256"), held_out("conv").alias("held_out"))
 
 
 def op10_lines(spark: SparkSession, sf_dir: str) -> DataFrame:

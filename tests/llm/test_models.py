@@ -146,11 +146,23 @@ def test_viterbi_by_hand_and_in_blocks(spark, monkeypatch):
 
     best = max(itertools.product(range(chat.STATES), repeat=5), key=score)
     assert tuple(model.path(obs)) == best
-    rows = spark.createDataFrame([(1, t, rng.choice(["User: a?", "AI: b", "- c", "plain\n1. x", ""])) for t in range(40)] + [(2, 0, "Q: hi"), (2, 1, None)], "c long, t long, x string")
+    rows = spark.createDataFrame([(1, t, rng.choice(["User: a?", "AI: b", "- c", "plain\n1. x", ""])) for t in range(40)] + [(2, 0, "Q: hi"), (2, 1, None)] + [(None, None, f"A: {k}\nso?") for k in range(9)] + [(3, 4, f"- {k}") for k in range(9)], "c long, t long, x string")
     lines = chat.split_lines(rows, "c", "t", rows["x"])
-    whole = sorted(map(tuple, chat.parse(lines, model).collect()))
-    monkeypatch.setattr(chat, "BLOCK", 7)
-    assert sorted(map(tuple, chat.parse(lines, model).collect())) == whole
+    seen = {}
+    for r in chat.observations(lines).collect():
+        seen.setdefault(r["conv"], []).append(r)
+    first = lambda r: (r["turn"] is not None, r["turn"] or 0, r["tie"], r["line_no"])
+    want = []
+    for conv, some in seen.items():
+        some.sort(key=first)
+        for r, state in zip(some, model.path(np.array([r["obs"] for r in some])).tolist()):
+            role = chat.ROLES[state // 2]
+            want.append((conv, r["turn"], r["tie"], r["line_no"], role, state % 2 == 0, f"<|{role}|>\n" * (state % 2 == 0) + r["body"]))
+    want.sort(key=repr)
+    assert sorted(map(tuple, chat.parse(lines, model).collect()), key=repr) == want
+    monkeypatch.setattr(chat, "BLOCK", 3)
+    monkeypatch.setattr(chat, "FAN", 2)
+    assert sorted(map(tuple, chat.parse(lines, model).collect()), key=repr) == want
 
 
 def test_roles_are_recovered(spark):
