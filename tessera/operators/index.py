@@ -18,13 +18,38 @@ SIGNATURE_HASHES = 6
 MAX_SHARDS = 4096
 
 
-def frames(docs: DataFrame, row_chars: int = ROW_CHARS, seg_docs: int = SEG_DOCS, id_col: str = "doc_id", text_col: str = "text", source_col: str | None = "source") -> DataFrame:
-    """(segment_id, row_ix, doc_id, source_id, chunk, body) of rows of up to ``row_chars`` characters; null texts have none."""
+#: Ranges of ids that ``dense_numbers`` numbers apart.
+RANGES = 1 << 16
+
+
+def dense_numbers(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """(id, doc_number): the distinct ids numbered 0 .. n-1 in their order, so that hashed ids fill segments.
+
+    The span of the ids is cut into RANGES ranges; their counts are summed up in one window over at most
+    RANGES rows, and each range numbers its own ids. Texts do not move.
+    """
+    ids = docs.select(F.col(id_col).cast("bigint").alias(id_col)).where(F.col(id_col).isNotNull()).distinct()
+    ends = ids.agg(F.min(id_col).alias("_low"), F.max(id_col).alias("_high"))
+    wide = lambda c: F.col(c).cast("decimal(20,0)")
+    at = F.floor((wide(id_col) - wide("_low")) / F.greatest(F.lit(1), F.ceil((wide("_high") - wide("_low") + 1) / RANGES)))
+    ranged = ids.crossJoin(F.broadcast(ends)).select(id_col, at.cast("bigint").alias("_range"))  # one row
+    before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = ranged.groupBy("_range").agg(F.count(F.lit(1)).alias("_n")).select("_range", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset"))
+    within = F.row_number().over(Window.partitionBy("_range").orderBy(id_col)) - 1
+    return ranged.join(F.broadcast(offsets), "_range").select(id_col, (F.col("_offset") + within).cast("bigint").alias("doc_number"))
+
+
+def frames(docs: DataFrame, row_chars: int = ROW_CHARS, seg_docs: int = SEG_DOCS, id_col: str = "doc_id", text_col: str = "text", source_col: str | None = "source", number_col: str | None = None) -> DataFrame:
+    """(segment_id, row_ix, doc_id, source_id, chunk, body) of rows of up to ``row_chars`` characters; null texts have none.
+
+    A segment has ``seg_docs`` consecutive ids or, where ids are not dense, values of ``number_col``.
+    """
+    number = F.col(number_col or id_col).cast("bigint")
     body = F.col(text_col)
     pieces = F.greatest(F.lit(1), F.ceil(F.length(body) / row_chars)).cast("int")
     source = F.col(source_col) if source_col else F.lit(None).cast("string")
-    rows = docs.where(body.isNotNull()).select(F.col(id_col).cast("bigint").alias("doc_id"), source.alias("source_id"), body.alias("whole"), F.explode(F.sequence(F.lit(0), pieces - 1)).alias("chunk"))
-    rows = rows.select(F.floor(F.col("doc_id") / seg_docs).alias("segment_id"), "doc_id", "source_id", F.col("chunk").cast("bigint").alias("chunk"), F.substring(F.col("whole"), F.col("chunk") * row_chars + 1, F.lit(row_chars)).alias("body"))
+    rows = docs.where(body.isNotNull()).select(F.col(id_col).cast("bigint").alias("doc_id"), source.alias("source_id"), F.floor(number / seg_docs).alias("segment_id"), body.alias("whole"), F.explode(F.sequence(F.lit(0), pieces - 1)).alias("chunk"))
+    rows = rows.select("segment_id", "doc_id", "source_id", F.col("chunk").cast("bigint").alias("chunk"), F.substring(F.col("whole"), F.col("chunk") * row_chars + 1, F.lit(row_chars)).alias("body"))
     order = Window.partitionBy("segment_id").orderBy("doc_id", "chunk")
     return rows.select("segment_id", (F.row_number().over(order) - 1).cast("bigint").alias("row_ix"), "doc_id", "source_id", "chunk", "body")
 
@@ -105,9 +130,10 @@ def greedy_groups(sizes: DataFrame, target: int, max_out: int = 8, order_col: st
     return out.select(*sizes.columns, F.when(n_groups > max_out, even).otherwise(F.col("packed")).alias("group_id"))
 
 
-def compact(rows: DataFrame, groups: DataFrame) -> DataFrame:
-    """Rows with the group their segment goes to, dealt for one file a group."""
-    return rows.join(groups.select("segment_id", "group_id"), "segment_id").repartition("group_id")
+def compact(rows: DataFrame, groups: DataFrame, order: list[str] = ["segment_id"]) -> DataFrame:
+    """Rows of an index table with the group their segment goes to, dealt for one file a group and sorted in
+    it. Segments stay as they are, so statistics and scores do too."""
+    return rows.join(groups.select("segment_id", "group_id"), "segment_id").repartition("group_id").sortWithinPartitions("group_id", *order)
 
 
 def list_hash(rows: DataFrame, value: str) -> DataFrame:

@@ -26,8 +26,11 @@ def lemma_key(c):
 
 
 def tables(pages: DataFrame) -> dict[str, DataFrame]:
-    """The four tables from parsed pages (title, pos_mask, glosses, relations array of (type, target), ipa)."""
-    own = pages.groupBy("title").agg(F.max("pos_mask").alias("pos_mask"), F.first("glosses").alias("glosses"), F.first("relations").alias("relations"), F.first("ipa").alias("ipa"))
+    """The four tables from parsed pages (title, pos_mask, glosses, relations array of (type, target), ipa).
+
+    Of pages with one title the least (by all columns) stands, whatever the partitions; ``duplicates`` names them.
+    """
+    own = pages.groupBy("title").agg(F.min(F.struct("pos_mask", "glosses", "relations", "ipa")).alias("page")).select("title", "page.*")
     lemmas = own.select(F.col("title").alias("lemma"), lemma_key("title").alias("lemma_key"), F.col("pos_mask").cast("bigint").alias("pos_mask"))
     senses = own.select(F.col("title").alias("lemma"), F.posexplode("glosses").alias("sense_rank", "gloss")).withColumn("sense_rank", F.col("sense_rank").cast("bigint"))
     relations = own.select(F.lit("lemma").alias("from_kind"), F.col("title").alias("from_id"), F.explode("relations").alias("r")).select("from_kind", "from_id", F.col("r.type").alias("rel_type"), F.col("r.target").alias("to_lemma")).distinct()
@@ -36,6 +39,11 @@ def tables(pages: DataFrame) -> dict[str, DataFrame]:
     return {"lemmas": lemmas, "senses": senses, "relations": relations, "pronunciations": pronunciations}
 
 
+def duplicates(rows: DataFrame, key: str = "lemma") -> DataFrame:
+    """Keys that stand more than once in a table, which a segment build is to reject."""
+    return rows.groupBy(key).agg(F.count(F.lit(1)).alias("n_rows")).where("n_rows > 1")
+
+
 def segment_of(owner, n: int):
     return F.pmod(T.numeric_id(F.concat(F.lit("lemma:"), T.col(owner))), F.lit(n)).cast("bigint")
 

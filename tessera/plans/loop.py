@@ -25,9 +25,10 @@ class Index:
         return Index(self.rows, self.postings.persist(), self.segments.persist())
 
     def write(self, path: str) -> None:
-        """Tables by segment; postings sorted by term, so row groups of other terms are skipped."""
-        self.rows.repartition("segment_id").write.mode("overwrite").partitionBy("segment_id").parquet(f"{path}/rows")
-        self.postings.repartition("segment_id").sortWithinPartitions("segment_id", "term").write.mode("overwrite").partitionBy("segment_id").parquet(f"{path}/postings")
+        """Files of ranges, sorted: rows by segment and row, postings by term and segment, so that row groups
+        of other segments or terms are skipped by their statistics and no segment needs a folder."""
+        self.rows.repartitionByRange("segment_id", "row_ix").sortWithinPartitions("segment_id", "row_ix").write.mode("overwrite").parquet(f"{path}/rows")
+        self.postings.repartitionByRange("term", "segment_id").sortWithinPartitions("term", "segment_id", "row_ix").write.mode("overwrite").parquet(f"{path}/postings")
         self.segments.write.mode("overwrite").parquet(f"{path}/segments")
 
     @staticmethod

@@ -17,6 +17,7 @@ QUERIES: dict[str, Query] = {}
 ORACLE: dict[str, str] = {}
 
 ROW, SEG = index.ROW_CHARS, index.SEG_DOCS
+MESSAGES, MESSAGE_CHARS, TOTAL_CHARS = conversation.MAX_MESSAGES, conversation.MESSAGE_CHARS, conversation.TOTAL_CHARS
 TOKENS = T.TOKEN.replace("'", "''")
 
 
@@ -422,12 +423,12 @@ def row_sketch(spark, d):
     return evidence.sketches(retrieve.top_k(scored(spark, d), 10, ties=True), ix.postings)
 
 
-@query(f"SELECT query_id, x.item_ix, x.segment_id, x.row_ix, x.score, x.cost, list_contains(kept, x.item_ix) AS sketched FROM (SELECT query_id, unnest(l) AS x, list_transform(list_filter(list_reduce(list_concat([[struct_pack(item_ix := -1::BIGINT, segment_id := 0::BIGINT, row_ix := 0::BIGINT, score := 0::BIGINT, cost := (1024 - {evidence.HEADER} - {evidence.ITEM} * len(l))::BIGINT)]], list_transform(l, lambda y: [y])), lambda acc, y: CASE WHEN y[1].cost <= acc[1].cost THEN list_concat([struct_pack(item_ix := -1::BIGINT, segment_id := 0::BIGINT, row_ix := 0::BIGINT, score := 0::BIGINT, cost := acc[1].cost - y[1].cost)], acc[2:], y) ELSE acc END), lambda y: y.item_ix >= 0), lambda y: y.item_ix) AS kept FROM (SELECT query_id, list(struct_pack(item_ix := rank - 1, segment_id := segment_id, row_ix := row_ix, score := score, cost := cost) ORDER BY rank) AS l FROM hits JOIN (SELECT segment_id, row_ix, (count(*) * {evidence.TERM} + {evidence.SKETCH})::BIGINT AS cost FROM sketch GROUP BY 1, 2) USING (segment_id, row_ix) WHERE rank <= 16 GROUP BY 1))")
+@query(f"SELECT query_id, x.item_ix, x.segment_id, x.row_ix, x.score, x.cost, list_contains(kept, x.item_ix) AS sketched FROM (SELECT query_id, unnest(l) AS x, list_transform(list_filter(list_reduce(list_concat([[struct_pack(item_ix := -1::BIGINT, segment_id := 0::BIGINT, row_ix := 0::BIGINT, score := 0::BIGINT, cost := (65536 - {evidence.HEADER} - {evidence.ITEM} * len(l))::BIGINT)]], list_transform(l, lambda y: [y])), lambda acc, y: CASE WHEN y[1].cost <= acc[1].cost THEN list_concat([struct_pack(item_ix := -1::BIGINT, segment_id := 0::BIGINT, row_ix := 0::BIGINT, score := 0::BIGINT, cost := acc[1].cost - y[1].cost)], acc[2:], y) ELSE acc END), lambda y: y.item_ix >= 0), lambda y: y.item_ix) AS kept FROM (SELECT query_id, list(struct_pack(item_ix := rank - 1, segment_id := segment_id, row_ix := row_ix, score := score, cost := cost) ORDER BY rank) AS l FROM hits JOIN (SELECT segment_id, row_ix, (count(*) * {evidence.TERM} + {evidence.SKETCH})::BIGINT AS cost FROM sketch GROUP BY 1, 2) USING (segment_id, row_ix) WHERE rank <= 16 GROUP BY 1))")
 def evidence_budget(spark, d):
     ix = index_of(spark, d)
     items = evidence.bundle(retrieve.top_k(scored(spark, d), 10, ties=True), 16)
     costs = evidence.sketches(items, ix.postings).groupBy("segment_id", "row_ix").agg(evidence.sketch_cost(F.count(F.lit(1))).alias("cost"))
-    return evidence.budgeted(items, costs, 1024)
+    return evidence.budgeted(items, costs, 65536)
 
 
 @query("SELECT code, bundle_id, claim_id FROM (SELECT 'V021' AS code, query_id::VARCHAR AS bundle_id, rank AS claim_id FROM hits WHERE rank <= 10 AND doc_id % 7 = 0 UNION ALL SELECT 'V022', query_id::VARCHAR, rank FROM hits WHERE rank <= 10 AND doc_id % 7 <> 0 AND doc_id % 5 = 0 UNION ALL SELECT 'V010', query_id::VARCHAR, rank FROM hits WHERE rank <= 10 AND doc_id % 11 = 0)")
@@ -463,18 +464,18 @@ def ngram_counts(spark, d):
     return ngram.counts(event_history(spark, d))
 
 
-CTES["cutgrams"] = "SELECT context, ctx_len, next, cnt, place, state_cnt FROM (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY context, ctx_len ORDER BY cnt DESC, next) AS place FROM grams) WHERE place <= 3) JOIN (SELECT context, ctx_len, sum(cnt)::BIGINT AS state_cnt FROM (SELECT *, row_number() OVER (PARTITION BY context, ctx_len ORDER BY cnt DESC, next) AS place FROM grams) WHERE place <= 3 GROUP BY 1, 2 ORDER BY 3 DESC, 2 DESC, 1 LIMIT 12) USING (context, ctx_len)"
+CTES["cutgrams"] = "SELECT context, ctx_len, next, cnt, place, state_cnt FROM (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY context, ctx_len ORDER BY cnt DESC, next) AS place FROM grams) WHERE place <= 64) JOIN (SELECT context, ctx_len, sum(cnt)::BIGINT AS state_cnt FROM (SELECT *, row_number() OVER (PARTITION BY context, ctx_len ORDER BY cnt DESC, next) AS place FROM grams) WHERE place <= 64 GROUP BY 1, 2 ORDER BY 3 DESC, 2 DESC, 1 LIMIT 200000) USING (context, ctx_len)"
 
 
 @query("SELECT context, ctx_len, next, cnt, place, state_cnt FROM cutgrams")
 def ngram_pruned(spark, d):
-    return ngram.pruned(ngram.counts(event_history(spark, d)), 3, 12)
+    return ngram.pruned(ngram.counts(event_history(spark, d)))
 
 
 @query("SELECT stream, ctx_len, next, cnt FROM (SELECT *, max(ctx_len) OVER (PARTITION BY stream) AS m FROM (SELECT user_id AS stream, g.ctx_len, g.next, g.cnt FROM hist h JOIN cutgrams g ON (g.ctx_len = 0) OR (g.ctx_len = 1 AND g.context = h.token) OR (g.ctx_len = 2 AND g.context = h.p1 || ' ' || h.token) WHERE from_end = 1)) WHERE ctx_len = m")
 def ngram_next(spark, d):
     history = event_history(spark, d)
-    model = ngram.pruned(ngram.counts(history), 3, 12)
+    model = ngram.pruned(ngram.counts(history))
     latest = table(spark, d, "events").withColumn("_n", F.row_number().over(Window.partitionBy("user_id").orderBy(F.col("ts").desc(), F.col("event_id").desc()))).where("_n <= 2")
     back = latest.groupBy(F.col("user_id").alias("stream")).agg(F.transform(F.sort_array(F.collect_list(F.struct("_n", "event_type")), asc=False), lambda x: x["event_type"]).alias("back"))
     return ngram.next_choices(model, back)
@@ -531,7 +532,7 @@ def _feature_sql() -> None:
     CTES["toned"] = f"SELECT *, CASE WHEN {f('safety')} THEN 'Cautious' WHEN empathy >= 650 OR mode = 'Vent' THEN 'Supportive' WHEN directness >= 700 AND politeness <= 350 THEN 'Direct' WHEN arousal >= 650 AND directness >= 600 THEN 'Direct' ELSE 'Neutral' END AS tone, CASE WHEN {f('code')} THEN 'Debug' WHEN {f('math')} THEN 'StepByStep' WHEN {f('constraints')} OR mode = 'Command' THEN 'Checklist' WHEN mode = 'Brainstorm' THEN 'StepByStep' ELSE 'Default' END AS style FROM feats"
     CTES["directed"] = f"SELECT *, (CASE WHEN style = 'Debug' OR (style = 'Checklist' AND NOT {cmd}) THEN 1 ELSE 0 END + CASE WHEN style = 'StepByStep' OR (style = 'Checklist' AND {cmd}) THEN 2 ELSE 0 END + CASE WHEN byte_len >= 300 THEN 4 ELSE 0 END + CASE WHEN {cmd} OR {solving} THEN 8 ELSE 0 END + CASE WHEN {f('safety')} THEN 16 ELSE 0 END + CASE WHEN {asks} AND NOT {f('constraints')} THEN 32 ELSE 0 END)::BIGINT AS format_flags, (CASE tone WHEN 'Neutral' THEN 1 WHEN 'Supportive' THEN 2 WHEN 'Direct' THEN 0 ELSE 1 END)::BIGINT AS max_softeners, (CASE WHEN tone IN ('Supportive', 'Cautious') THEN 1 ELSE 0 END)::BIGINT AS max_preface, (CASE tone WHEN 'Direct' THEN 1 WHEN 'Cautious' THEN 3 ELSE 2 END)::BIGINT AS max_hedges, (CASE WHEN ({asks} AND NOT {f('constraints')}) OR {solving} THEN 1 ELSE 0 END)::BIGINT AS max_questions FROM toned"
     n = "((turn * 2) % 5)"
-    CTES["plans"] = f"SELECT conv_id * 100 + turn AS id, flags, {n} AS n_items, least({n}, 1 + turn % 2) AS n_segments, max_questions FROM directed"
+    CTES["plans"] = f"SELECT conv_id * 1000000 + turn AS id, flags, {n} AS n_items, least({n}, 1 + turn % 2) AS n_segments, max_questions FROM directed"
     hints = lambda *names: "(" + " OR ".join(f(x) for x in names) + ")"
     CTES["sw"] = f"SELECT *, n_items = 0 OR ({f('question')} AND ({f('follow_up')} OR n_items < 2)) AS clarify, {hints('constraints', 'code', 'math', 'problem_solve', 'logic_puzzle', 'explain', 'focus_steps')} AS steps, {f('safety')} OR n_items = 0 AS caveats, n_segments >= 2 OR {f('compare')} AS compare_hint FROM plans"
 
@@ -574,7 +575,7 @@ def directive_rationale(spark, d):
 def planned(spark, d) -> DataFrame:
     n = F.pmod(F.col("turn") * 2, F.lit(5))
     rows = pragmatics.directives(pragmatics.features(message_table(spark, d)))
-    return rows.select((F.col("conv_id") * 100 + F.col("turn")).alias("id"), "flags", n.alias("n_items"), F.least(n, 1 + F.col("turn") % 2).alias("n_segments"), "max_questions")
+    return rows.select((F.col("conv_id") * 1000000 + F.col("turn")).alias("id"), "flags", n.alias("n_items"), F.least(n, 1 + F.col("turn") % 2).alias("n_segments"), "max_questions")
 
 
 def _rules(rows: str, most: int | None = None) -> str:
@@ -634,9 +635,9 @@ def exemplar_match(spark, d):
     return exemplar.best_match(exemplar.described(messages), exemplar.mined(messages))
 
 
-@query("SELECT conv_id, turn, role, row_number() OVER (PARTITION BY conv_id ORDER BY late, turn) - 1 AS place, substr(content, 1, greatest(0, 2000 - before)::BIGINT) AS content FROM (SELECT *, row_number() OVER w AS n, coalesce(sum(length(content)) OVER (PARTITION BY conv_id ORDER BY late, CASE WHEN role = 'system' THEN turn ELSE -turn END ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM (SELECT conv_id, turn, role, substr(coalesce(text, ''), 1, 800) AS content, CASE WHEN role = 'system' THEN 0 ELSE 1 END AS late FROM conversations) WINDOW w AS (PARTITION BY conv_id ORDER BY late, CASE WHEN role = 'system' THEN turn ELSE -turn END)) WHERE n <= 5 AND (before < 2000 OR length(content) = 0)")
+@query("SELECT conv_id, turn, role, row_number() OVER (PARTITION BY conv_id ORDER BY late, turn) - 1 AS place, substr(content, 1, greatest(0, 65536 - before)::BIGINT) AS content FROM (SELECT *, row_number() OVER w AS n, coalesce(sum(length(content)) OVER (PARTITION BY conv_id ORDER BY late, CASE WHEN role = 'system' THEN turn ELSE -turn END ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM (SELECT conv_id, turn, role, substr(coalesce(text, ''), 1, 16384) AS content, CASE WHEN role = 'system' THEN 0 ELSE 1 END AS late FROM conversations) WINDOW w AS (PARTITION BY conv_id ORDER BY late, CASE WHEN role = 'system' THEN turn ELSE -turn END)) WHERE n <= 64 AND (before < 65536 OR length(content) = 0)")
 def message_window(spark, d):
-    return conversation.message_window(table(spark, d, "conversations"), 5, 800, 2000)
+    return conversation.message_window(table(spark, d, "conversations"), MESSAGES, MESSAGE_CHARS, TOTAL_CHARS)
 
 
 @query()
@@ -652,7 +653,7 @@ def metaphone(spark, d):
     from tessera.functions import phonetic
 
     words = table(spark, d, "documents").select(F.explode(T.terms("text")).alias("term"))
-    return phonetic.with_codes(words.groupBy("term").agg(F.count(F.lit(1)).alias("n")))
+    return words.groupBy("term").agg(F.count(F.lit(1)).alias("n")).withColumn("code", phonetic.code_column(F.col("term")))
 
 
 @query("SELECT p.puzzle, a.v AS a, b.v AS b, c.v AS c FROM (SELECT DISTINCT doc_id % 5 AS puzzle FROM documents) p, (SELECT unnest(range(1, 4)) AS v) a, (SELECT unnest(range(1, 4)) AS v) b, (SELECT unnest(range(1, 4)) AS v) c WHERE a.v <> b.v AND b.v <> c.v AND a.v <> c.v AND a.v = p.puzzle % 3 + 1 AND b.v < c.v", raw=True)
@@ -683,16 +684,170 @@ def golden_pack(spark, d):
     return spark.createDataFrame(regression.run(spark, regression.PACKS["golden"]), "stage string, n_rows long, content_id string")
 
 
-@query("SELECT page_id, length(replace(replace(replace(replace(replace(html, '&lt;', '<'), '&gt;', '>'), '&quot;', chr(34)), '&apos;', chr(39)), '&amp;', '&'))::BIGINT AS n_chars FROM pages")
+@query("SELECT page_id, sha256(replace(replace(replace(replace(replace(html, '&lt;', '<'), '&gt;', '>'), '&quot;', chr(34)), '&apos;', chr(39)), '&amp;', '&')) AS body_sha256 FROM pages")
 def page_entities(spark, d):
     from tessera.sources import wiki
 
-    return table(spark, d, "pages").select("page_id", F.length(wiki.decoded("html")).cast("bigint").alias("n_chars"))
+    return table(spark, d, "pages").select("page_id", F.sha2(wiki.decoded("html"), 256).alias("body_sha256"))
 
 
-@query()
+@query("WITH RECURSIVE log(source, target) AS (VALUES ('documents', 'frames'), ('frames', 'postings'), ('frames', 'segments'), ('segments', 'hits'), ('postings', 'hits'), ('benchmark', 'hits')), back AS (SELECT 'hits' AS artifact_id, 0 AS depth UNION SELECT source, depth + 1 FROM back JOIN log ON target = artifact_id WHERE depth < 3) SELECT DISTINCT artifact_id FROM back", raw=True)
 def lineage(spark, d):
     from tessera.operators import lineage as log
 
     rows = log.steps(spark, [("ingest", ["documents"], ["frames"]), ("index", ["frames"], ["postings", "segments"]), ("search", ["segments", "postings", "benchmark"], ["hits"])])
     return log.closure(spark.createDataFrame([("hits",)], "artifact_id string"), rows, 3)
+
+
+# ---- gates, compaction and numbering ----------------------------------------------------------
+
+
+def _bit(i: int) -> str:
+    bits = 8 * index.SIGNATURE_BYTES
+    h = lambda name: f"('0x' || substr(sha256('{name}:' || term), 1, 15))::BIGINT % {bits}"
+    return f"({h('h1')} + {i} * ({h('h2')})) % {bits}"
+
+
+_BITS = "SELECT {0}, unnest([" + ", ".join(_bit(i) for i in range(index.SIGNATURE_HASHES)) + "]) AS bit FROM {1}"
+CTES["sigbits"] = f"SELECT DISTINCT segment_id, bit FROM ({_BITS.format('segment_id', 'stats')})"
+CTES["wantbits"] = f"SELECT DISTINCT query_id, term, bit FROM ({_BITS.format('query_id, term', 'asked')})"
+CTES["maybe"] = "SELECT query_id, term, segment_id FROM wantbits w JOIN sigbits s USING (bit) GROUP BY 1, 2, 3 HAVING count(*) = (SELECT count(*) FROM wantbits x WHERE x.query_id = w.query_id AND x.term = w.term)"
+
+
+@query("SELECT query_id, term, segment_id FROM maybe")
+def signature_maybe(spark, d):
+    """What the signatures alone answer, false positives included."""
+    ix = index_of(spark, d)
+    return index.maybe_segments(index.signatures(ix.postings), bench_terms(spark, d))
+
+
+@query("SELECT count(*)::BIGINT AS n_maybe, count(*) FILTER (s.segment_id IS NULL)::BIGINT AS n_false FROM maybe m LEFT JOIN stats s ON s.segment_id = m.segment_id AND s.term = m.term")
+def signature_false_positives(spark, d):
+    ix = index_of(spark, d)
+    maybe = index.maybe_segments(index.signatures(ix.postings), bench_terms(spark, d))
+    held = ix.postings.select("segment_id", "term").distinct().withColumn("held", F.lit(True))
+    return maybe.join(held, ["segment_id", "term"], "left").agg(F.count(F.lit(1)).alias("n_maybe"), F.count_if(F.col("held").isNull()).alias("n_false"))
+
+
+@query("SELECT query_id, segment_id, row_ix, doc_id, score, rank FROM hits")
+def gated_search(spark, d):
+    """Search that reads only the segments that the signatures let through: the hits of plain search."""
+    ix = index_of(spark, d)
+    return retrieve.search(ix.postings, ix.segments, bench_terms(spark, d, 128), signatures=index.signatures(ix.postings)).select(*HIT)
+
+
+@query("SELECT query_id, segment_id, row_ix, doc_id, score, rank FROM hits")
+def compacted_search(spark, d):
+    """Search over an index whose segments were packed into groups: the hits of plain search."""
+    ix = index_of(spark, d)
+    groups = index.even_groups(ix.segments, 8)
+    postings = index.compact(ix.postings, groups, ["term", "segment_id", "row_ix"])
+    return retrieve.search(postings, ix.segments, bench_terms(spark, d, 128)).select(*HIT)
+
+
+CTES["hashed"] = "SELECT ('0x' || substr(sha256('page:' || doc_id::VARCHAR), 1, 15))::BIGINT AS doc_id, text FROM documents WHERE doc_id IS NOT NULL"
+CTES["dense"] = "SELECT doc_id, row_number() OVER (ORDER BY doc_id) - 1 AS doc_number FROM (SELECT DISTINCT doc_id FROM hashed)"
+
+
+def hashed_docs(spark, d) -> DataFrame:
+    return table(spark, d, "documents").where("doc_id is not null").select(T.numeric_id(F.concat(F.lit("page:"), F.col("doc_id").cast("string"))).alias("doc_id"), "text")
+
+
+@query("SELECT doc_id, doc_number FROM dense")
+def dense_numbers(spark, d):
+    """Hashed document ids, numbered without gaps."""
+    return index.dense_numbers(hashed_docs(spark, d))
+
+
+@query(f"SELECT doc_number // {SEG} AS segment_id, sum(greatest(1, ceil(length(text) / {ROW})))::BIGINT AS row_count, count(DISTINCT doc_id)::BIGINT AS doc_count FROM hashed JOIN dense USING (doc_id) WHERE text IS NOT NULL GROUP BY 1")
+def hashed_segments(spark, d):
+    """Segments of an index over hashed ids: as full as those over dense ones."""
+    docs = hashed_docs(spark, d)
+    return index.segments(index.frames(docs.join(index.dense_numbers(docs), "doc_id"), source_col=None, number_col="doc_number"))
+
+
+# ---- small operators --------------------------------------------------------------------------
+
+
+@query("SELECT query_id, segment_id, row_ix, doc_id, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, segment_id, row_ix) AS rank FROM (SELECT query_id, segment_id, row_ix, doc_id, score FROM scored)) WHERE rank <= 40")
+def hit_list(spark, d):
+    """Hits told twice, at their own and at a lower score, become a list of each once."""
+    hits = scored(spark, d).select("query_id", "segment_id", "row_ix", "doc_id", "score")
+    return retrieve.hit_list(hits.unionByName(hits.withColumn("score", F.col("score") - 7)), most=40).select(*HIT)
+
+
+CTES["lexed"] = "SELECT lemma, ('0x' || substr(sha256('lemma:' || lemma), 1, 15))::BIGINT % 16 AS segment_id FROM lemmas"
+
+
+def lexicon_of(spark, d) -> DataFrame:
+    words = table(spark, d, "benchmark").select(F.explode(T.terms("text")).alias("lemma")).distinct()
+    return words.select("lemma", F.col("lemma").alias("lemma_key"), F.lit(1).cast("bigint").alias("pos_mask"))
+
+
+def lexicon_parts(spark, d) -> dict[str, DataFrame]:
+    """Lemmas of the benchmark's words, a sense of each, a relation to its first four letters; owners that are no lemmas too."""
+    lemmas = lexicon_of(spark, d)
+    senses = lemmas.select("lemma", F.lit(0).cast("bigint").alias("sense_rank"), F.upper("lemma").alias("gloss")).unionByName(lemmas.where(F.length("lemma") > 8).select(F.concat("lemma", F.lit("~")).alias("lemma"), F.lit(0).cast("bigint").alias("sense_rank"), F.lit("").alias("gloss")))
+    relations = lemmas.select(F.when(F.length("lemma") % 2 == 0, "lemma").otherwise("sense").alias("from_kind"), F.when(F.length("lemma") % 2 == 0, F.col("lemma")).otherwise(F.concat("lemma", F.lit("#0"))).alias("from_id"), F.lit("synonyms").alias("rel_type"), F.substring("lemma", 1, 4).alias("to_lemma"))
+    return lexicon.segmented(lemmas, senses, relations, 16)
+
+
+@query("SELECT segment_id, count(*)::BIGINT AS n_lemmas FROM lexed GROUP BY 1")
+def lexicon_inventory(spark, d):
+    return lexicon.inventory(lexicon_parts(spark, d)["lemmas"])
+
+
+@query("SELECT lemma AS owner, substr(lemma, 1, 4) AS to_lemma, segment_id FROM lexed")
+def lexicon_relation_segments(spark, d):
+    """Relations of lemmas and of senses stand in the segment of their lemma."""
+    return lexicon_parts(spark, d)["relations"].select(F.substring_index("from_id", "#", 1).alias("owner"), "to_lemma", "segment_id")
+
+
+@query("SELECT 'sense' AS what, lemma || '~' AS owner FROM lexed WHERE length(lemma) > 8")
+def lexicon_unknown_owners(spark, d):
+    parts = lexicon_parts(spark, d)
+    return lexicon.unknown_owners(parts["senses"], parts["relations"], parts["lemmas"]).select("what", "owner")
+
+
+@query("SELECT lemma, 2::BIGINT AS n_segments FROM lexed WHERE length(lemma) % 5 = 0")
+def lexicon_shared_owners(spark, d):
+    """Lemmas that a faulty second build put into another segment as well."""
+    own = lexicon_parts(spark, d)["lemmas"]
+    return lexicon.shared_owners(own.unionByName(own.where(F.length("lemma") % 5 == 0).withColumn("segment_id", F.col("segment_id") + 16)))
+
+
+@query("SELECT lemma, 2::BIGINT AS n_rows FROM lexed WHERE length(lemma) % 5 = 0")
+def lexicon_duplicates(spark, d):
+    own = lexicon_of(spark, d)
+    return lexicon.duplicates(own.unionByName(own.where(F.length("lemma") % 5 == 0)))
+
+
+@query("SELECT o_orderkey, xor(o_orderkey, o_orderkey >> 32) & 4294967295 AS folded, CASE WHEN o_custkey % 7 = 0 THEN 0 ELSE least(greatest((o_orderkey * 65536) // (o_custkey % 7 * 100000), 0), 65536) END::BIGINT AS q16 FROM (SELECT o_orderkey * 12884901889 AS o_orderkey, o_custkey FROM orders WHERE o_orderkey < 100000000)".replace("o_orderkey * 65536)", "o_orderkey // 12884901889 * 65536)"))
+def folds_and_ratios(spark, d):
+    rows = table(spark, d, "orders").where("o_orderkey < 100000000").select((F.col("o_orderkey").cast("bigint") * 12884901889).alias("o_orderkey"), F.col("o_orderkey").cast("bigint").alias("n"), (F.col("o_custkey").cast("bigint") % 7 * 100000).alias("whole"))
+    return rows.select("o_orderkey", T.xor_fold("o_orderkey").alias("folded"), T.q16_ratio("n", "whole").alias("q16"))
+
+
+@query("SELECT id, list_concat(['open'], list_concat(list('item:' || kind ORDER BY item_ix), ['close'])) AS trace FROM (" + ORACLE["guided_plan"] + ") GROUP BY 1", raw=True)
+def answer_traces(spark, d):
+    out = ngram.traces(planner.guided_plan(planned(spark, d)))
+    return out.select("id", F.array_join("trace", " ").alias("trace"))
+
+
+ORACLE["answer_traces"] = ORACLE["answer_traces"].replace("SELECT id, list_concat(", "SELECT id, array_to_string(list_concat(", 1).replace("['close'])) AS trace", "['close'])), ' ') AS trace", 1)
+
+
+@query("SELECT m.*, 'snapshot-' || (conv_id % 3)::VARCHAR AS snapshot_id FROM (" + ORACLE["message_window"] + ") m", raw=True)
+def conversation_packs(spark, d):
+    rows = table(spark, d, "conversations")
+    sticky = rows.select("conv_id").distinct().withColumn("snapshot_id", F.concat(F.lit("snapshot-"), (F.col("conv_id") % 3).cast("string")))
+    return conversation.packs(rows, sticky, max_messages=MESSAGES, message_chars=MESSAGE_CHARS, total_chars=TOTAL_CHARS)
+
+
+@query("SELECT artifact_id FROM (SELECT DISTINCT term AS artifact_id FROM asked) WHERE artifact_id NOT IN (SELECT term FROM stats)")
+def missing_artifacts(spark, d):
+    """Terms asked for that the index does not hold, as what a replica lacks."""
+    from tessera.operators import lineage as log
+
+    held = index_of(spark, d).postings.select(F.col("term").alias("artifact_id")).distinct()
+    return log.missing(bench_terms(spark, d).select(F.col("term").alias("artifact_id")), held)

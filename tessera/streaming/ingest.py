@@ -10,14 +10,25 @@ from pyspark.sql.types import StructType
 from tessera.operators import index
 
 
+#: Segments that a batch can have.
+BATCH_SEGMENTS = 1 << 32
+
+
 def follow(spark: SparkSession, source: str, schema: StructType, target: str, checkpoint: str) -> StreamingQuery:
-    """Index the Parquet files that appear in a folder; a batch that is redone replaces what it wrote."""
+    """Index the Parquet files that appear in a folder; a batch that is redone replaces what it wrote.
+
+    A batch numbers its documents and has segments of its own, whose ids begin with the batch's number, so
+    (segment, row) is unique over batches; ``target`` can be read as an ``Index``.
+    """
     docs = spark.readStream.schema(schema).parquet(source)
 
     def add(batch: DataFrame, number: int) -> None:
-        rows = index.frames(batch).withColumn("batch", F.lit(number))
+        numbered = batch.where("doc_id is not null").join(index.dense_numbers(batch), "doc_id")
+        rows = index.frames(numbered, number_col="doc_number").withColumn("segment_id", F.lit(number * BATCH_SEGMENTS) + F.col("segment_id"))
         rows.write.mode("overwrite").parquet(f"{target}/rows/batch={number}")
-        index.row_terms(rows).write.mode("overwrite").parquet(f"{target}/postings/batch={number}")
+        written = batch.sparkSession.read.parquet(f"{target}/rows/batch={number}")
+        index.row_terms(written).write.mode("overwrite").parquet(f"{target}/postings/batch={number}")
+        index.segments(written).write.mode("overwrite").parquet(f"{target}/segments/batch={number}")
 
     return docs.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 

@@ -260,8 +260,47 @@ def test_streaming_ingest(spark, tmp_path):
 
     d = docs(spark, ["banana apple", "carrot"])
     d.write.parquet(str(tmp_path / "in"))
-    ingest.follow(spark, str(tmp_path / "in"), d.schema, str(tmp_path / "out"), str(tmp_path / "ck")).awaitTermination(60)
+    run = lambda: ingest.follow(spark, str(tmp_path / "in"), d.schema, str(tmp_path / "out"), str(tmp_path / "ck")).awaitTermination(60)
+    run()
     assert spark.read.parquet(str(tmp_path / "out/postings")).count() == 3
+    d.select((F.col("doc_id") + 10).alias("doc_id"), *d.columns[1:]).write.mode("append").parquet(str(tmp_path / "in"))
+    run()
+    rows = spark.read.parquet(str(tmp_path / "out/rows"))
+    assert rows.count() == rows.select("segment_id", "row_ix").distinct().count() == 4
+    hits = search(Index.read(spark, str(tmp_path / "out")), ask(spark, "carrot")).collect()
+    assert sorted(r["doc_id"] for r in hits) == sorted(r["doc_id"] for r in rows.where("body = 'carrot'").collect()) and len(hits) == 2
+
+
+def test_dense_numbers_of_any_ids(spark):
+    ids = [5, -(2**62), 2**62, 7, 7, None, 0, 2**62 - 1]
+    rows = spark.createDataFrame([(i,) for i in ids], "doc_id long").repartition(3)
+    got = {r["doc_id"]: r["doc_number"] for r in index.dense_numbers(rows).collect()}
+    assert got == {v: k for k, v in enumerate(sorted({i for i in ids if i is not None}))}
+    assert index.dense_numbers(rows.where("doc_id > 0 and doc_id < 0")).count() == 0
+
+
+def test_hit_list_takes_the_best_score(spark):
+    rows = spark.createDataFrame([(0, 0, 1, 4, 9), (0, 0, 1, 4, 5), (0, 0, 2, 5, 9), (0, 1, 0, 6, 10)], "query_id long, segment_id long, row_ix long, doc_id long, score long")
+    got = [(r["doc_id"], r["score"], r["rank"]) for r in retrieve.hit_list(rows, most=2).orderBy("rank").collect()]
+    assert got == [(6, 10, 1), (4, 9, 2)]
+
+
+def test_lexicon_pages_of_one_title_are_told_and_merged_alike(spark):
+    from tessera.operators import lexicon
+
+    kind = "title string, pos_mask long, glosses array<string>, relations array<struct<type:string,target:string>>, ipa array<string>"
+    pages = spark.createDataFrame([("a", 2, ["two"], [], []), ("a", 1, ["one"], [("synonyms", "b")], []), ("b", 1, [], [], [])], kind)
+    assert [(r["title"], r["n_rows"]) for r in lexicon.duplicates(pages, "title").collect()] == [("a", 2)]
+    for parts in (1, 3):
+        assert [r["gloss"] for r in lexicon.tables(pages.repartition(parts))["senses"].collect()] == ["one"]
+
+
+def test_gate_of_all_terms_reads_less(spark):
+    ix = Index.build(docs(spark, ["banana apple", "banana", "apple", "carrot"]), seg_docs=1)
+    terms = retrieve.query_terms(ask(spark, "banana apple"))
+    signs = index.signatures(ix.postings)
+    read = lambda every: {r["segment_id"] for r in retrieve.gated_postings(ix.postings, signs, terms, every).collect()}
+    assert read(False) == {0, 1, 2} and read(True) == {0}
 
 
 def test_entry_without_the_training_operators(tmp_path):
