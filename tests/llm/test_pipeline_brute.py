@@ -52,3 +52,19 @@ def test_against_brute_force(spark, tmp_path):
         want[i] = (len(tokens), hashlib.sha256(",".join(map(str, tokens)).encode()).hexdigest(), hashlib.sha256((t or "").encode()).hexdigest())
     got = {r["doc_id"]: (r["n_tokens"], r["ids_sha256"], r["decoded_sha256"]) for r in corpus_pipeline.run(spark, str(tmp_path)).collect()}
     assert got == want
+
+
+def test_rows_without_and_with_one_id(spark, tmp_path):
+    import corpus_pipeline
+
+    rng = random.Random(3)
+    words = lambda: " ".join("v%d" % rng.randrange(5000) for _ in range(30))
+    a, b, c, e = words(), words(), words(), words()
+    rows = [(5, a), (5, b), (None, c), (None, e), (None, c), (6, a), (7, None), (None, None)]
+    spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "'en' AS lang", "'s' AS source", "0L AS n_chars").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(0, "one two three four five six seven")], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    got = [(r["doc_id"], r["decoded_sha256"]) for r in corpus_pipeline.run(spark, str(tmp_path)).collect()]
+    told = lambda t: hashlib.sha256(t.encode()).hexdigest()
+    # the copies of a (its line stood earlier), of c and of the missing text go
+    assert sorted(got, key=str) == sorted([(5, told(a)), (5, told(b)), (None, told(c)), (None, told(e)), (7, told(""))], key=str)
