@@ -32,6 +32,7 @@ def switches(rows: DataFrame) -> DataFrame:
 Rules = list[tuple[Column, str, int]]
 
 
+#: Rule keys and scores, here and in the rules below.
 def hint_rules() -> Rules:
     n, clarify = F.col("n_items"), F.col("clarify")
     return [
