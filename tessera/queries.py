@@ -11,6 +11,7 @@ from tessera.functions import text as T
 from tessera.operators import conversation, evidence, exemplar, expand, graph, index, lexicon, ngram, planner, pragmatics, retrieve
 from tessera.operators.retrieve import Policy
 from tessera.plans.loop import Index
+from tessera.sources import store, wiki
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -44,20 +45,21 @@ CTES = {
 }
 
 
-def with_ctes(sql: str) -> str:
+def with_ctes(sql: str, shared: dict[str, str] | None = None) -> str:
     """``sql`` with the shared tables that it names, and those that these name."""
     import re
 
+    shared = CTES if shared is None else shared
     needed: list[str] = []
 
     def need(text: str) -> None:
-        for name in CTES:
+        for name in shared:
             if name not in needed and re.search(rf"\b{name}\b", text):
                 needed.append(name)
-                need(CTES[name])
+                need(shared[name])
 
     need(sql)
-    parts = [f"{n} AS ({CTES[n]})" for n in CTES if n in needed]
+    parts = [f"{n} AS ({shared[n]})" for n in shared if n in needed]
     return (f"WITH {', '.join(parts)} " if parts else "") + sql
 
 
@@ -238,12 +240,14 @@ def gate_stats(spark, d):
     return retrieve.gate_stats(ix.postings, ix.segments, bench_terms(spark, d))
 
 
-@query("SELECT count(*)::BIGINT AS n_hits, 0::BIGINT AS n_lost FROM scored")
+@query("SELECT query_id, segment_id, count(*)::BIGINT AS n_hits, max((query_id, segment_id) IN (SELECT (a.query_id, s.segment_id) FROM asked a JOIN stats s USING (term)))::BOOLEAN AS open FROM scored GROUP BY 1, 2")
 def gated_equals_plain(spark, d):
+    """Hits of plain search in each segment, and whether the any-gate opens it; a segment opened in vain has no hits."""
     ix, terms = index_of(spark, d), bench_terms(spark, d)
-    plain = retrieve.scores(ix.postings, ix.segments, terms)
-    open_ = retrieve.gate(ix.postings, terms, False).withColumn("open", F.lit(1))
-    return plain.join(open_, ["query_id", "segment_id"], "left").agg(F.count(F.lit(1)).alias("n_hits"), F.sum(F.col("open").isNull().cast("bigint")).alias("n_lost"))
+    plain = retrieve.scores(ix.postings, ix.segments, terms).groupBy("query_id", "segment_id").agg(F.count(F.lit(1)).alias("n_hits"))
+    open_ = retrieve.gate(ix.postings, terms, False).withColumn("open", F.lit(True))
+    out = plain.join(open_, ["query_id", "segment_id"], "full")
+    return out.select("query_id", "segment_id", F.coalesce("n_hits", F.lit(0)).alias("n_hits"), F.coalesce("open", F.lit(False)).alias("open"))
 
 
 @query("SELECT a.query_id, a.term, s.segment_id FROM asked a JOIN stats s USING (term)")
@@ -686,8 +690,6 @@ def golden_pack(spark, d):
 
 @query("SELECT page_id, sha256(replace(replace(replace(replace(replace(html, '&lt;', '<'), '&gt;', '>'), '&quot;', chr(34)), '&apos;', chr(39)), '&amp;', '&')) AS body_sha256 FROM pages")
 def page_entities(spark, d):
-    from tessera.sources import wiki
-
     return table(spark, d, "pages").select("page_id", F.sha2(wiki.decoded("html"), 256).alias("body_sha256"))
 
 
@@ -851,3 +853,159 @@ def missing_artifacts(spark, d):
 
     held = index_of(spark, d).postings.select(F.col("term").alias("artifact_id")).distinct()
     return log.missing(bench_terms(spark, d).select(F.col("term").alias("artifact_id")), held)
+
+
+# ---- plans over evidence, anchors, exemplars ---------------------------------------------------
+
+
+def _over_evidence(sql: str) -> str:
+    """SQL over planned messages, told over the benchmark's texts and the evidence found for each."""
+    own = dict(CTES)
+    own["msg"] = "SELECT item_id AS conv_id, 0 AS turn, 'user' AS role, coalesce(text, '') AS text FROM benchmark"
+    own["plans"] = "SELECT conv_id AS id, flags, coalesce(n_items, 0) AS n_items, coalesce(n_segments, 0) AS n_segments, max_questions FROM directed LEFT JOIN (SELECT query_id AS conv_id, count(*)::BIGINT AS n_items, count(DISTINCT segment_id)::BIGINT AS n_segments FROM hits WHERE rank <= 16 GROUP BY 1) USING (conv_id)"
+    own = {name: own[name] for name in sorted(own, key=lambda n: (n in AFTER_HITS, list(CTES).index(n)))}
+    return with_ctes(sql, own)
+
+
+#: Shared tables that plans over evidence need after the hits.
+AFTER_HITS = {"msg", "msgw", "msgp", "cues", "asks", "flagged", "rated", "moded", "feats", "toned", "directed", "plans", "sw"}
+
+
+def evidenced(spark, d) -> DataFrame:
+    """Each benchmark text as a message, with the items and segments that its search found."""
+    items = evidence.bundle(retrieve.top_k(scored(spark, d), 10, ties=True), 16)
+    counts = items.groupBy(F.col("query_id").alias("id")).agg(F.count(F.lit(1)).alias("n_items"), F.count_distinct("segment_id").alias("n_segments"))
+    asked = table(spark, d, "benchmark").select(F.col("item_id").alias("id"), F.coalesce("text", F.lit("")).alias("text")).join(counts, "id", "left").fillna(0, ["n_items", "n_segments"])
+    return pragmatics.directives(pragmatics.features(asked))
+
+
+@query(_over_evidence(ORACLE["planner_hints"][ORACLE["planner_hints"].index("SELECT id, key, score, place FROM"):]), raw=True)
+def evidence_hints(spark, d):
+    return planner.hints(evidenced(spark, d))
+
+
+@query(_over_evidence(ORACLE["guided_plan"][ORACLE["guided_plan"].index("SELECT id, item_ix, x.kind, x.ref FROM"):]), raw=True)
+def evidence_plan(spark, d):
+    return planner.guided_plan(evidenced(spark, d))
+
+
+@query("SELECT query_id AS id, rank - 1 AS item_ix, 'bullet' AS kind, rank - 1 AS ref, 500::BIGINT AS strength FROM hits WHERE rank <= 16")
+def basic_plan(spark, d):
+    items = evidence.bundle(retrieve.top_k(scored(spark, d), 10, ties=True), 16)
+    return planner.basic_plan(items.withColumnRenamed("query_id", "id"))
+
+
+@query(f"SELECT id, CASE WHEN {_Z} THEN 'Which values may each variable take?' WHEN {_P} THEN 'What did you expect, and what happened instead?' WHEN {_is('compare')} AND NOT {_is('compare_targets')} THEN 'Which two things should be compared?' ELSE 'Could you say a little more about what you need?' END AS question FROM sw WHERE clarify AND max_questions > 0")
+def clarifying_questions(spark, d):
+    return planner.clarifying_question(planned(spark, d))
+
+
+@query("SELECT bundle_id, claim_id, segment_id, row_ix, row_number() OVER (PARTITION BY bundle_id, claim_id ORDER BY segment_id, row_ix) - 1 AS ref_ix FROM (SELECT query_id AS bundle_id, doc_id % 3 AS claim_id, segment_id, row_ix FROM hits WHERE rank <= 10)")
+def evidence_canonical(spark, d):
+    """References that are told twice stand once, in their order."""
+    refs = retrieve.top_k(scored(spark, d), 10).select(F.col("query_id").alias("bundle_id"), (F.col("doc_id") % 3).alias("claim_id"), "segment_id", "row_ix")
+    return evidence.canonical_refs(refs.unionByName(refs))
+
+
+LAST_USER = "(SELECT conv_id, max(turn) AS turn FROM conversations WHERE role = 'user' GROUP BY 1)"
+CTES["lastwords"] = f"SELECT query_id, term, qtf FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY {KEY.format('term')}, term) AS n FROM (SELECT query_id, term, count(*)::BIGINT AS qtf FROM (SELECT conv_id AS query_id, unnest({terms_sql('text')}) AS term FROM conversations JOIN {LAST_USER} USING (conv_id, turn) WHERE role = 'user') GROUP BY 1, 2)) WHERE n <= {retrieve.MAX_TERMS}"
+CTES["anchors"] = f"SELECT conv_id AS query_id, term, qtf FROM ({ORACLE['context_anchors']})"
+CTES["anchored"] = f"SELECT query_id, term, qtf FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY late, {KEY.format('term')}, term) AS n FROM (SELECT query_id, term, qtf, 0 AS late FROM lastwords UNION ALL SELECT query_id, term, qtf, 1 FROM anchors WHERE (query_id, term) NOT IN (SELECT (query_id, term) FROM lastwords))) WHERE late = 0 OR n <= 32"
+
+
+@query(f"SELECT query_id, segment_id, row_ix, doc_id, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, segment_id, row_ix) AS rank FROM (SELECT a.query_id, p.segment_id, p.row_ix, p.doc_id, sum(a.qtf * p.tf * (((s.row_count + 1) * 256) // (d.df + 1)))::BIGINT AS score FROM postings p JOIN (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY {KEY.format('term')}, term) AS n FROM anchored) WHERE n <= 32) a USING (term) JOIN stats d ON d.segment_id = p.segment_id AND d.term = p.term JOIN segs s ON s.segment_id = p.segment_id GROUP BY ALL)) WHERE rank <= 10")
+def anchored_search(spark, d):
+    """Last user messages, searched with the anchors of the messages before them."""
+    from tessera.plans import loop
+
+    messages = table(spark, d, "conversations")
+    last = conversation.last_user_turns(messages)
+    asked = messages.join(last, "conv_id").where("role = 'user' and turn = query_turn").select(F.col("conv_id").alias("query_id"), "text")
+    anchors = expand.context_anchors(messages, last).withColumnRenamed("conv_id", "query_id")
+    return loop.search(index_of(spark, d), asked, Policy(ties=False), anchors=anchors).select(*HIT)
+
+
+CTES["described"] = f"SELECT conv_id, turn, mode, style, tone, (flags & {sum(1 << pragmatics.FLAGS.index(f) for f in exemplar.MATCHED_FLAGS)})::BIGINT AS flags FROM directed JOIN {LAST_USER} USING (conv_id, turn) WHERE role = 'user'"
+CTES["mined"] = "SELECT mode AS e_mode, style AS e_style, tone AS e_tone, flags AS e_flags, count(*)::BIGINT AS support FROM (SELECT DISTINCT conv_id, mode, style, tone, flags FROM described) GROUP BY 1, 2, 3, 4"
+_WORTH = " + ".join([*(f"CASE WHEN {c} = e_{c} THEN {n} ELSE 0 END" for c, n in exemplar.WORTH.items()), *(f"CASE WHEN flags & {1 << pragmatics.FLAGS.index(f)} = e_flags & {1 << pragmatics.FLAGS.index(f)} THEN {exemplar.FLAG_WORTH} ELSE 0 END" for f in exemplar.MATCHED_FLAGS)])
+ORACLE["exemplar_match"] = with_ctes(f"SELECT conv_id, turn, e_mode, e_style, e_tone, e_flags, worth, support FROM (SELECT *, row_number() OVER (PARTITION BY conv_id, turn ORDER BY worth DESC, support DESC, e_mode, e_style, e_tone, e_flags) AS n FROM (SELECT *, ({_WORTH})::BIGINT AS worth FROM described, mined)) WHERE n = 1")
+
+
+@query(f"SELECT id, item_ix, ref, CASE WHEN kind = 'bullet' AND e_style IN ('StepByStep', 'Checklist') THEN 'step' WHEN kind = 'step' AND e_style = 'Default' THEN 'bullet' ELSE kind END AS kind FROM ({ORACLE['guided_plan']}) LEFT JOIN (SELECT conv_id * 1000000 + turn AS id, e_style FROM ({ORACLE['exemplar_match']})) USING (id)", raw=True)
+def exemplar_applied(spark, d):
+    """Plans told the way of the exemplar that fits the conversation's last message."""
+    match = exemplar_match(spark, d).withColumn("conv_id", F.col("conv_id") * 1000000 + F.col("turn"))
+    return exemplar.applied(planner.guided_plan(planned(spark, d)), match).select("id", "item_ix", "ref", "kind")
+
+
+@query("SELECT kind, id FROM (SELECT *, row_number() OVER (PARTITION BY kind ORDER BY id) AS n FROM (SELECT DISTINCT coalesce(lang, '') AS kind, doc_id AS id FROM documents WHERE doc_id IS NOT NULL)) WHERE n <= 64 ORDER BY kind, id LIMIT 256")
+def build_plan(spark, d):
+    return graph.build_plan(table(spark, d, "documents").where("doc_id is not null").select(F.coalesce("lang", F.lit("")).alias("kind"), F.col("doc_id").alias("id")))
+
+
+# ---- sources and stored tables -----------------------------------------------------------------
+
+
+@query("SELECT query_id, segment_id, row_ix, doc_id, score, rank FROM hits")
+def stored_search(spark, d):
+    """Search over an index written and read again: the hits of plain search."""
+    path = store.shared_folder(spark)
+    index_of(spark, d).write(path)
+    ix = Index.read(spark, path)
+    return retrieve.search(ix.postings, ix.segments, bench_terms(spark, d, 128)).select(*HIT)
+
+
+@query("SELECT (('0x' || substr(sha256('doc:' || doc_id::VARCHAR), 1, 15))::UBIGINT % 8)::BIGINT AS shard_id, count(*)::BIGINT AS n_docs, coalesce(sum(strlen(text)), 0)::BIGINT AS n_bytes, 1::BIGINT AS n_tasks FROM documents GROUP BY 1")
+def sharded_ingest(spark, d):
+    """Documents dealt to shards, each whole in one task."""
+    rows = index.sharded(docs_of(spark, d), 8).select("shard_id", F.spark_partition_id().alias("task"), F.octet_length("text").cast("bigint").alias("size"))
+    return rows.groupBy("shard_id").agg(F.count(F.lit(1)).alias("n_docs"), F.coalesce(F.sum("size"), F.lit(0)).alias("n_bytes"), F.count_distinct("task").alias("n_tasks"))
+
+
+@query("SELECT 'doc ' || doc_id::VARCHAR AS title, sha256(translate(text, chr(10) || chr(13), '  ')) AS text_sha256 FROM documents WHERE text IS NOT NULL AND doc_id IS NOT NULL")
+def tsv_scan(spark, d):
+    """Documents written as lines of title, tab and text, and read as a dump; a line without a tab is skipped."""
+    rows = docs_of(spark, d).where("text is not null and doc_id is not null")
+    lines = rows.select(F.concat(F.lit("doc "), F.col("doc_id").cast("string"), F.lit("\t"), F.translate("text", "\n\r", "  ")).alias("value"))
+    path = store.shared_folder(spark)
+    lines.unionByName(rows.select(F.concat(F.lit("no text "), F.col("doc_id").cast("string")).alias("value"))).write.text(path)
+    return wiki.read_tsv(spark, path).select("title", F.sha2("text", 256).alias("text_sha256"))
+
+
+def _dump(spark, d, **how: str) -> DataFrame:
+    """Benchmark texts written as XML pages, every fifth in another namespace, and read as a dump."""
+    escaped = F.replace(F.replace(F.replace(F.concat("text", F.lit(" & <b>\"'")), F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
+    page = F.concat(F.lit("<page><title>item "), F.col("item_id").cast("string"), F.lit("</title><ns>"), F.when(F.col("item_id") % 5 == 0, "1").otherwise("0"), F.lit('</ns><revision><text xml:space="preserve">'), escaped, F.lit("</text></revision></page>"))
+    path = store.shared_folder(spark)
+    pages = table(spark, d, "benchmark").where("text is not null").select((F.col("item_id") % 8).alias("part"), F.lit(1).alias("at"), page.alias("value"))
+    ends = F.inline(F.array(*[F.struct(F.lit(at).alias("at"), F.lit(tag).alias("value")) for at, tag in ((0, "<mediawiki>"), (2, "</mediawiki>"))]))
+    whole = pages.unionByName(pages.select("part").distinct().select("part", ends))
+    whole.repartition("part").sortWithinPartitions("part", "at").drop("at").write.partitionBy("part").options(**how).text(path)
+    return wiki.read_xml(spark, path).select("title", F.sha2(F.trim("text"), 256).alias("text_sha256"))
+
+
+_DUMPED = "SELECT 'item ' || item_id::VARCHAR AS title, sha256(trim(text || ' & <b>\"''')) AS text_sha256 FROM benchmark WHERE text IS NOT NULL AND item_id % 5 <> 0"
+
+
+@query(_DUMPED)
+def xml_scan(spark, d):
+    return _dump(spark, d)
+
+
+@query(_DUMPED)
+def xml_bz2_scan(spark, d):
+    return _dump(spark, d, compression="bzip2")
+
+
+CTES["entries"] = f"SELECT item_id, w FROM (SELECT item_id, {terms_sql('text')} AS w FROM benchmark) WHERE len(w) > 1 AND item_id % 4 <> 0"
+
+
+@query("SELECT 'word ' || item_id::VARCHAR AS title, (CASE item_id % 3 WHEN 0 THEN 1 WHEN 1 THEN 2 ELSE 4 END)::BIGINT AS pos_mask, array_to_string(w, ' ') AS glosses, 'synonyms:' || w[1] || ' antonyms:' || w[2] AS relations, '/' || w[1] || '/' AS ipa FROM entries")
+def dictionary_pages(spark, d):
+    """Dictionary pages made of benchmark words, parsed; every fourth has no English section."""
+    words = table(spark, d, "benchmark").select("item_id", T.terms("text").alias("w")).where(F.size("w") > 1)
+    part = F.element_at(F.array(*map(F.lit, ("Noun", "Verb", "Adjective"))), (F.col("item_id") % 3 + 1).cast("int"))
+    page = F.concat(F.lit("==German==\n===Noun===\n# fremd\n=="), F.when(F.col("item_id") % 4 == 0, "French").otherwise("English"), F.lit("==\n==="), part, F.lit("===\n# {{lb|en|rare}} "), F.array_join("w", " "), F.lit("\n#: ''usage''\n====Synonyms====\n* [["), F.col("w")[0], F.lit("#Noun|shown]]\n====Antonyms====\n* {{l|en|"), F.col("w")[1], F.lit("}}\n====Pronunciation====\n* {{IPA|en|/"), F.col("w")[0], F.lit("/}}\n==Latin==\n===Verb===\n# alienum\n"))
+    out = wiki.parse_dictionary(words.select(F.concat(F.lit("word "), F.col("item_id").cast("string")).alias("title"), page.alias("text")))
+    told = F.transform("relations", lambda r: F.concat(r["type"], F.lit(":"), r["target"]))
+    return out.select("title", "pos_mask", F.array_join("glosses", "\n").alias("glosses"), F.array_join(told, " ").alias("relations"), F.array_join("ipa", " ").alias("ipa"))

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import hashlib
 import json
+import tempfile
+import uuid
 from dataclasses import asdict, dataclass, fields
 
 from pyspark.sql import DataFrame, SparkSession
@@ -27,6 +29,17 @@ def content_id(df: DataFrame) -> str:
     return content(df)[1]
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """A new path in the folder that ``spark.checkpoint.dir`` names; only where that is unset, in local mode, in
+    a temporary folder, which driver and executors then share."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        root = tempfile.mkdtemp(prefix="tessera-")
+    return f"{root.rstrip('/')}/{uuid.uuid4().hex}"
+
+
 class Store:
     """Tables under root/kind/aa/bb/<id>; putting what is there already does nothing."""
 
