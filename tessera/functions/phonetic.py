@@ -86,3 +86,13 @@ def with_codes(rows: DataFrame, term: str = "term", max_code: int = MAX_CODE) ->
     """``rows`` with ``code`` (null where a term has no letters), made once for each distinct term."""
     codes = rows.select(term).distinct().withColumn("code", code_column(F.col(term), max_code))
     return rows.join(codes, term)
+
+
+#: Stands before a code that is a term; no token has it.
+MARK = "~"
+
+
+def code_freqs(counted: DataFrame, keys: list[str], n: str) -> DataFrame:
+    """(keys, term, n) of counted terms, told by their codes: a code counts all its terms; terms without letters have none."""
+    coded = with_codes(counted).where("code is not null")
+    return coded.groupBy(*keys, F.concat(F.lit(MARK), "code").alias("term")).agg(F.sum(n).alias(n))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -65,8 +67,48 @@ def saturated_product(*factors: Column) -> Column:
 
 
 def utf8_prefix(text: Column | str, n: int) -> Column:
-    """First n characters (the whole text if it has fewer)."""
-    return F.substring(col(text), 1, n)
+    """The longest beginning of whole characters that has at most n bytes in UTF-8."""
+    if n < 0:
+        raise ValueError("n must be 0 or more")
+    t = col(text)
+    data = F.encode(t, "UTF-8")
+    first = lambda k: F.decode(F.substring(data, 1, max(k, 0)), "UTF-8")
+    starts = lambda k: ~F.hex(F.substring(data, max(k, 0) + 1, 1)).between("80", "BF")
+    return F.when(F.octet_length(data) <= n, t).when(starts(n), first(n)).when(starts(n - 1), first(n - 1)).when(starts(n - 2), first(n - 2)).otherwise(first(n - 3))
+
+
+#: The SplitMix64 step and its two multipliers.
+MIX_STEP, MIX_BY = 0x9E3779B97F4A7C15, (0xBF58476D1CE4E5B9, 0x94D049BB133111EB)
+_WORD = Decimal(1 << 64)
+
+
+def _unsigned(x: Column) -> Column:
+    return (x.cast("decimal(20,0)") + F.lit(_WORD)) % F.lit(_WORD)
+
+
+def _signed(u: Column) -> Column:
+    half = F.lit(Decimal(1 << 63))
+    return ((u + half) % F.lit(_WORD) - half).cast("bigint")
+
+
+def _let(x: Column, of) -> Column:
+    """of(x), with x computed once however often ``of`` names it."""
+    return F.transform(F.array(x), of)[0]
+
+
+def _times(x: Column, by: int) -> Column:
+    """The low 64 bits of a product, in two halves of exact decimals: the long product would overflow."""
+    high, low = divmod(by, 1 << 32)
+    half = Decimal(1 << 32)
+    return _let(_unsigned(x), lambda u: _signed(u * F.lit(Decimal(high)) % F.lit(half) * F.lit(half) + u * F.lit(Decimal(low))))
+
+
+def mix64(x: Column | str) -> Column:
+    """SplitMix64 of a 64-bit id, as a signed long of the same bits."""
+    shifted = lambda n: lambda z: z.bitwiseXOR(F.shiftrightunsigned(z, n))
+    z = _let(_signed(_unsigned(col(x)) + F.lit(Decimal(MIX_STEP))), shifted(30))
+    z = _let(_times(z, MIX_BY[0]), shifted(27))
+    return _let(_times(z, MIX_BY[1]), shifted(31))
 
 
 def count_of(text: Column, pattern: str) -> Column:

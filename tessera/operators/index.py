@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions import text as T
+from tessera.functions.phonetic import code_freqs
 
 ROW_CHARS = 8192
 SEG_DOCS = 512
@@ -54,10 +55,11 @@ def frames(docs: DataFrame, row_chars: int = ROW_CHARS, seg_docs: int = SEG_DOCS
     return rows.select("segment_id", (F.row_number().over(order) - 1).cast("bigint").alias("row_ix"), "doc_id", "source_id", "chunk", "body")
 
 
-def row_terms(rows: DataFrame, max_token: int = T.MAX_TOKEN) -> DataFrame:
-    """(segment_id, row_ix, doc_id, term, tf): the postings."""
+def row_terms(rows: DataFrame, max_token: int = T.MAX_TOKEN, phonetic: bool = False) -> DataFrame:
+    """(segment_id, row_ix, doc_id, term, tf): the postings, with ``phonetic`` those of codes too."""
     each = rows.select("segment_id", "row_ix", "doc_id", F.explode(T.terms("body", max_token)).alias("term"))
-    return each.groupBy("segment_id", "row_ix", "doc_id", "term").agg(F.count(F.lit(1)).alias("tf"))
+    out = each.groupBy("segment_id", "row_ix", "doc_id", "term").agg(F.count(F.lit(1)).alias("tf"))
+    return out.unionByName(code_freqs(out, ["segment_id", "row_ix", "doc_id"], "tf")) if phonetic else out
 
 
 def doc_lengths(rows: DataFrame) -> DataFrame:

@@ -17,9 +17,9 @@ class Index:
     segments: DataFrame
 
     @staticmethod
-    def build(docs: DataFrame, **how) -> Index:
+    def build(docs: DataFrame, phonetic: bool = False, **how) -> Index:
         rows = index.frames(docs, **how)
-        return Index(rows, index.row_terms(rows), index.segments(rows))
+        return Index(rows, index.row_terms(rows, phonetic=phonetic), index.segments(rows))
 
     def persisted(self) -> Index:
         return Index(self.rows, self.postings.persist(), self.segments.persist())
@@ -36,9 +36,10 @@ class Index:
         return Index(*(spark.read.parquet(f"{path}/{t}").withColumn("segment_id", F.col("segment_id").cast("bigint")) for t in ("rows", "postings", "segments")))
 
 
-def search(ix: Index, queries: DataFrame, policy: retrieve.Policy = retrieve.Policy(), lemmas: DataFrame | None = None, edges: DataFrame | None = None, anchors: DataFrame | None = None, budget: expand.Budget = expand.Budget()) -> DataFrame:
-    """Hits of (query_id, text), expanded by a lexicon and a graph if there are any, with anchors merged."""
-    terms = retrieve.query_terms(queries)
+def search(ix: Index, queries: DataFrame, policy: retrieve.Policy = retrieve.Policy(), lemmas: DataFrame | None = None, edges: DataFrame | None = None, anchors: DataFrame | None = None, budget: expand.Budget = expand.Budget(), phonetic: bool = False) -> DataFrame:
+    """Hits of (query_id, text), expanded by a lexicon and a graph if there are any, with anchors merged;
+    ``phonetic`` asks for codes too, of an index that has them."""
+    terms = retrieve.query_terms(queries, phonetic=phonetic)
     found = None
     if lemmas is not None:
         found = expand.morphology_candidates(terms, lemmas)

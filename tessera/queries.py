@@ -1009,3 +1009,33 @@ def dictionary_pages(spark, d):
     out = wiki.parse_dictionary(words.select(F.concat(F.lit("word "), F.col("item_id").cast("string")).alias("title"), page.alias("text")))
     told = F.transform("relations", lambda r: F.concat(r["type"], F.lit(":"), r["target"]))
     return out.select("title", "pos_mask", F.array_join("glosses", "\n").alias("glosses"), F.array_join(told, " ").alias("relations"), F.array_join("ipa", " ").alias("ipa"))
+
+
+# ---- ids, prefixes, sounds -----------------------------------------------------------------------
+
+_U64 = "18446744073709551616"
+CTES["mix0"] = f"SELECT DISTINCT o_orderkey, ((o_orderkey::HUGEINT - 3000 + {_U64} + {T.MIX_STEP}) % {_U64})::UBIGINT AS z FROM orders"
+CTES["mix1"] = f"SELECT o_orderkey, ((xor(z, z >> 30)::UHUGEINT * {T.MIX_BY[0]}::UHUGEINT) % {_U64}::UHUGEINT)::UBIGINT AS z FROM mix0"
+CTES["mix2"] = f"SELECT o_orderkey, ((xor(z, z >> 27)::UHUGEINT * {T.MIX_BY[1]}::UHUGEINT) % {_U64}::UHUGEINT)::UBIGINT AS z FROM mix1"
+
+
+@query(f"SELECT o_orderkey, (CASE WHEN m >= 9223372036854775808 THEN m - {_U64} ELSE m END)::BIGINT AS mixed FROM (SELECT o_orderkey, xor(z, z >> 31)::HUGEINT AS m FROM mix2)")
+def mixed_ids(spark, d):
+    """SplitMix64 of order numbers less 3000, so of negative numbers too."""
+    return table(spark, d, "orders").select("o_orderkey").distinct().select("o_orderkey", T.mix64(F.col("o_orderkey").cast("bigint") - 3000).alias("mixed"))
+
+
+@query("SELECT doc_id, n_bytes, md5(substr(text, 1, len(list_filter(range(1, n_bytes + 1), lambda k: strlen(substr(text, 1, k)) <= n_bytes AND k <= length(text))))) AS prefix_md5 FROM documents, (SELECT unnest([0, 1, 2, 3, 40, 41, 42, 255]) AS n_bytes) WHERE text IS NOT NULL")
+def byte_prefixes(spark, d):
+    docs = docs_of(spark, d).where("text is not null")
+    cuts = F.array(*[F.struct(F.lit(n).cast("bigint").alias("n_bytes"), F.md5(T.utf8_prefix("text", n)).alias("prefix_md5")) for n in (0, 1, 2, 3, 40, 41, 42, 255)])
+    return docs.select("doc_id", F.inline(cuts))
+
+
+@query()
+def phonetic_search(spark, d):
+    """Search by terms and by their sounds, over an index that has both."""
+    from tessera.plans import loop
+
+    asked = table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), "text")
+    return loop.search(Index.build(docs_of(spark, d), phonetic=True), asked, Policy(max_query_terms=128), phonetic=True).select(*HIT)

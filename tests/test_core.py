@@ -332,3 +332,40 @@ def test_control_ids():
     assert retrieve.control_id("p", ["a", "b"]) != retrieve.control_id("p", ["b", "a"])
     with pytest.raises(ValueError):
         retrieve.control_id("p", ["a", "a"])
+
+
+def test_mix64_and_prefixes(spark):
+    def plain(x: int) -> int:
+        z = (x + T.MIX_STEP) % 2**64
+        z = (z ^ z >> 30) * T.MIX_BY[0] % 2**64
+        z = (z ^ z >> 27) * T.MIX_BY[1] % 2**64
+        z ^= z >> 31
+        return z - 2**64 if z >= 2**63 else z
+
+    ids = [0, 1, -1, 2**63 - 1, -(2**63), 123456789012345678]
+    got = spark.createDataFrame([(i,) for i in ids], "x long").select("x", T.mix64("x")).collect()
+    assert {r[0]: r[1] for r in got} == {i: plain(i) for i in ids}
+    for text in ("", "abc", "aé€😀b", "😀😀"):
+        for n in range(14):
+            want = text.encode()[:n].decode("utf-8", "ignore")
+            assert spark.createDataFrame([(text,)], "t string").select(T.utf8_prefix("t", n)).first()[0] == want, (text, n)
+
+
+def test_phonetic_search_equals_brute_force(spark):
+    from tessera.functions.phonetic import phonetic_code
+    from tessera.plans import loop
+
+    docs = spark.createDataFrame([(1, "a knight rides"), (2, "the nite falls, nite"), (3, "123 _"), (4, None)], "doc_id long, text string")
+    asked = spark.createDataFrame([(7, "knight"), (8, "99")], "query_id long, text string")
+    ix = loop.Index.build(docs, phonetic=True, source_col=None)
+    got = {(r["term"], r["doc_id"]): r["tf"] for r in ix.postings.where("term like '~%'").collect()}
+    want: dict = {}
+    for n, words in ((1, ["a", "knight", "rides"]), (2, ["the", "nite", "falls", "nite"])):
+        for w in words:
+            if code := phonetic_code(w):
+                want["~" + code, n] = want.get(("~" + code, n), 0) + 1
+    assert got == want
+    plain = loop.search(loop.Index.build(docs, source_col=None), asked).collect()
+    assert [r["doc_id"] for r in plain] == [1]
+    sounds = {r["doc_id"] for r in loop.search(ix, asked, phonetic=True).collect()}
+    assert sounds == ({1, 2} if phonetic_code("knight") == phonetic_code("nite") else {1})
