@@ -132,7 +132,8 @@ def links(distinct: DataFrame) -> DataFrame:
     parts = int(distinct.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # each row becomes 70: not in few tasks
     lists = distinct.repartition(parts, "fp").select("fp", F.explode(F.array(*keys)).alias("list"))
     sizes = lists.groupBy("list").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("list", F.ceil(F.col("n") / BLOCK).alias("blocks"))
-    met = lists.join(sizes, "list").withColumn("block", F.pmod(F.xxhash64("fp"), "blocks"))
+    # the estimate of ``lists`` misses that each row became 70: without the hint Spark would broadcast them all
+    met = lists.join(sizes.hint("merge"), "list").withColumn("block", F.pmod(F.xxhash64("fp"), "blocks"))
     blocks = durable(met.groupBy("list", "block", "blocks").agg(F.collect_list("fp").alias("fps")))
     left = blocks.select("list", F.explode(F.sequence("block", F.col("blocks") - 1)).alias("other"), "block", F.col("fps").alias("xs"))
     right = blocks.where("block > 0").select("list", F.col("block").alias("other"), F.col("fps").alias("ys"))

@@ -73,6 +73,26 @@ def test_simhash_links_random_fingerprints(spark, monkeypatch, block):
     assert label(got) == label(want)
 
 
+def test_simhash_lists_are_not_broadcast(spark, monkeypatch):
+    """2000 fingerprints are under the threshold, the 140000 entries that these become are far over it."""
+    rng = np.random.default_rng(6)
+    distinct = simhash.durable(spark.createDataFrame([(x,) for x in rng.integers(-(1 << 63), 1 << 63, 2000).tolist()], "fp long").distinct())
+    plans, threshold = [], spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+
+    def durable(df):
+        df.collect()  # its plan is then the one that ran
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return df
+
+    monkeypatch.setattr(simhash, "durable", durable)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "200k")
+    try:
+        simhash.links(distinct)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+    assert len(plans) == 1 and "Join" in plans[0] and "BroadcastHashJoin" not in plans[0].split("== Initial Plan ==")[0]
+
+
 def test_drop_near_duplicates_keeps_one(docs_of):
     texts = ["a b c d e f", "a b c d e f", "A b C d e f", "other words stand here now", None, ""]
     rows = docs_of(texts, extra=True)
