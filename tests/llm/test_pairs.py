@@ -93,6 +93,24 @@ def test_simhash_lists_are_not_broadcast(spark, monkeypatch):
     assert len(plans) == 1 and "Join" in plans[0] and "BroadcastHashJoin" not in plans[0].split("== Initial Plan ==")[0]
 
 
+def test_drop_near_duplicates_broadcasts_no_lists(spark, docs_of, monkeypatch):
+    plans, threshold, cut = [], spark.conf.get("spark.sql.autoBroadcastJoinThreshold"), simhash.durable
+
+    def durable(df):
+        df.collect()
+        plans.append(df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0])
+        return cut(df)
+
+    monkeypatch.setattr(simhash, "durable", durable)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "60k")
+    try:
+        kept = simhash.drop_near_duplicates(docs_of([f"text {k}" for k in range(600)])).count()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+    lists = [p for p in plans if "collect_list" in p]
+    assert kept > 300 and len(lists) == 1 and "BroadcastHashJoin" not in lists[0]
+
+
 def test_drop_near_duplicates_keeps_one(docs_of):
     texts = ["a b c d e f", "a b c d e f", "A b C d e f", "other words stand here now", None, ""]
     rows = docs_of(texts, extra=True)
