@@ -174,7 +174,8 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     first = least.join(group, "fp", "left").groupBy(F.coalesce("component", "fp")).agg(F.min("least").alias("least"))
     kept = durable(first.select(F.col("least.id").alias(own), F.col("least.mark").alias(of), F.col("least.n").alias(rows)))
     marked = docs.withColumn(mark, F.xxhash64(text))
-    semi = lambda some: marked.join(some, F.col(id_col).eqNullSafe(F.col(own)) & (F.col(mark) == F.col(of)), "left_semi")
+    # ``kept`` has a row for almost every document: under the threshold Spark would still build it on the driver
+    semi = lambda some: marked.join(some.hint("merge"), F.col(id_col).eqNullSafe(F.col(own)) & (F.col(mark) == F.col(of)), "left_semi")
     repeated = kept.where(F.col(rows) > 1)
     if repeated.isEmpty():
         return semi(kept).drop(mark)

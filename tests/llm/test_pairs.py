@@ -111,6 +111,16 @@ def test_drop_near_duplicates_broadcasts_no_lists(spark, docs_of, monkeypatch):
     assert kept > 300 and len(lists) == 1 and "BroadcastHashJoin" not in lists[0]
 
 
+@pytest.mark.parametrize("repeated", [False, True])
+def test_drop_near_duplicates_broadcasts_no_kept_rows(docs_of, repeated):
+    rows = docs_of([f"text {k} of words" for k in range(50)])
+    out = simhash.drop_near_duplicates(rows.unionByName(rows.where("doc_id < 5")) if repeated else rows)
+    kept = [r["doc_id"] for r in out.collect()]  # its plan is then the one that ran
+    assert 0 in kept and len(set(kept)) == len(kept)
+    plan = out._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
 def test_drop_near_duplicates_keeps_one(docs_of):
     texts = ["a b c d e f", "a b c d e f", "A b C d e f", "other words stand here now", None, ""]
     rows = docs_of(texts, extra=True)
