@@ -119,18 +119,27 @@ def forest(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return values[a], values[b]
 
 
+#: Four byte offsets of a choice of positions, the first in the highest byte, under the choice's number.
+CHOICES = [sum(8 * p << 8 * (SHARED - 1 - i) for i, p in enumerate(at)) + (k << 32) for k, at in enumerate(combinations(range(POSITIONS), SHARED))]
+
+
+def entries(distinct: DataFrame) -> DataFrame:
+    """(fp, list): each fingerprint ``fp`` with its list of each choice, whose number stands over its four bytes.
+
+    The choices are one literal: an expression for each would be walked by every rule of every plan that reads
+    the entries, on the driver, again whenever a stage of it ends.
+    """
+    parts = int(distinct.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # each row becomes 70: not in few tasks
+    each = distinct.repartition(parts, "fp").select("fp", F.explode(F.array(*[F.lit(c).cast("long") for c in CHOICES])).alias("at"))
+    key = "shiftright(at, 32)"
+    for i in reversed(range(SHARED)):
+        key = f"shiftleft({key}, 8) | shiftrightunsigned(fp, int(shiftright(at, {8 * i}) & 255)) & 255"
+    return each.selectExpr("fp", f"{key} AS list")
+
+
 def links(distinct: DataFrame) -> DataFrame:
     """(a, b): links between distinct fingerprints ``fp``, a spanning forest of each two blocks of a list."""
-    fp = F.col("fp")
-    part = lambda p: F.shiftrightunsigned(fp, 8 * p).bitwiseAND(F.lit(255))
-    keys = []
-    for k, at in enumerate(combinations(range(POSITIONS), SHARED)):
-        key = F.lit(k).cast("long")
-        for p in at:
-            key = F.shiftleft(key, 8).bitwiseOR(part(p))
-        keys.append(key)
-    parts = int(distinct.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # each row becomes 70: not in few tasks
-    lists = distinct.repartition(parts, "fp").select("fp", F.explode(F.array(*keys)).alias("list"))
+    lists = entries(distinct)
     sizes = lists.groupBy("list").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("list", F.ceil(F.col("n") / BLOCK).alias("blocks"))
     # the estimate of ``lists`` misses that each row became 70: without the hint Spark would broadcast them all
     met = lists.join(sizes.hint("merge"), "list").withColumn("block", F.pmod(F.xxhash64("fp"), "blocks"))

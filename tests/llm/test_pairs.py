@@ -1,5 +1,6 @@
 """Operators 2, 7, 10: each against a brute-force version."""
 
+import itertools
 import random
 
 import numpy as np
@@ -73,6 +74,22 @@ def test_simhash_links_random_fingerprints(spark, monkeypatch, block):
     assert label(got) == label(want)
 
 
+def test_simhash_entries_are_of_all_choices_in_a_small_plan(spark):
+    rng = np.random.default_rng(8)
+    fps = [0, -1, 1 << 62, -(1 << 63), *rng.integers(-(1 << 63), 1 << 63, 40).tolist()]
+    out = simhash.entries(spark.createDataFrame([(x,) for x in fps], "fp long"))
+    want = set()
+    for x in fps:
+        part = (x % (1 << 64)).to_bytes(8, "little")
+        want |= {(x, int.from_bytes([k, *(part[p] for p in at)], "big")) for k, at in enumerate(itertools.combinations(range(8), 4))}
+    got = [tuple(r) for r in out.collect()]
+    assert len(got) == 70 * len(fps) and set(got) == want
+    each = lambda seq: [seq.apply(i) for i in range(seq.size())]
+    size = lambda node: 1 + sum(map(size, each(node.children())))
+    steps = lambda plan: sum(map(size, each(plan.expressions()))) + sum(map(steps, each(plan.children())))
+    assert steps(out._jdf.queryExecution().optimizedPlan()) < 100
+
+
 def test_simhash_lists_are_not_broadcast(spark, monkeypatch):
     """2000 fingerprints are under the threshold, the 140000 entries that these become are far over it."""
     rng = np.random.default_rng(6)
