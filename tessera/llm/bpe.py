@@ -23,7 +23,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import OUT_BYTES, ranges, text_chunks
+from .common import OUT_BYTES, lean, ranges, text_chunks
 
 INDEX_BYTES = 24 << 20
 NO_RANK = np.int32(2**31 - 1)
@@ -210,4 +210,4 @@ def encode_decode(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id",
                     yield pa.RecordBatch.from_arrays([pa.array(keys[a:b], key_type), pa.ListArray.from_arrays(offsets, pa.array(ids, pa.int32())), decoded], names=["id", "ids", "decoded"])
 
     out = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    return out.mapInArrow(run, f"id {kind.simpleString()}, ids array<int>, decoded string").withColumnRenamed("id", id_col)
+    return out.mapInArrow(lean(run), f"id {kind.simpleString()}, ids array<int>, decoded string").withColumnRenamed("id", id_col)

@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import durable, fresh, text_chunks, utf8, with_class
+from .common import durable, fresh, lean, text_chunks, utf8, with_class
 from .graph import components
 
 SHINGLE = 4
@@ -95,7 +95,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                 yield pa.RecordBatch.from_arrays([pa.array(keys, batch.schema.field(0).type), pa.array(fp)], names=["id", "fp"])
 
     out = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    return out.mapInArrow(run, f"id {kind.simpleString()}, fp bigint").withColumnRenamed("id", id_col)
+    return out.mapInArrow(lean(run), f"id {kind.simpleString()}, fp bigint").withColumnRenamed("id", id_col)
 
 
 def forest(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -158,7 +158,7 @@ def links(distinct: DataFrame) -> DataFrame:
                 b.append(y)
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x).view(np.int64)) for x in (a, b)], names=["a", "b"])
 
-    return own.unionByName(both).mapInArrow(run, "a bigint, b bigint")
+    return own.unionByName(both).mapInArrow(lean(run), "a bigint, b bigint")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

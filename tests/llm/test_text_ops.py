@@ -6,8 +6,9 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
-from tessera.llm import bpe, licence, media, queries, sharding
+from tessera.llm import bpe, common, licence, media, queries, sharding, simhash
 
 ODD = ["", None, "x", " \t\n", "é🎉 日本語", "a" * 70_000, "Under the MIT License. under the mit license", "the the the", "<|endoftext|> hi <|endoftext|>", "cc by nc cc by nc 4.0", "Licensed under the Apache License, Version 2.0."]
 
@@ -153,3 +154,19 @@ def test_bpe_equals_the_library(docs_of):
 def test_empty_tables(docs_of):
     none = docs_of(["x"]).where("doc_id < 0")
     assert licence.scan(none).count() == media.text_media(none).count() == bpe.encode_decode(none, queries.tokenizer_path()).count() == 0
+
+
+def test_workers_give_their_memory_back(spark, docs_of, monkeypatch):
+    from pyspark.sql.classic.dataframe import DataFrame
+
+    docs, runs, given = docs_of(["one two", "three"]), [], []
+    monkeypatch.setattr(DataFrame, "mapInArrow", lambda self, run, schema: runs.append(run) or spark.createDataFrame([], schema))
+    bpe.encode_decode(docs, queries.tokenizer_path())
+    simhash.fingerprints(docs)
+    monkeypatch.setattr(common, "give_back", lambda: given.append(1))
+    batch = pa.RecordBatch.from_pydict({"id": [1, 2], "text": ["one two", None]})
+    assert [sum(out.num_rows for out in run(iter([batch]))) for run in runs] == [2, 2] and len(given) == 2
+    stopped = runs[0](iter([batch, batch]))
+    next(stopped)
+    stopped.close()
+    assert len(given) == 3
