@@ -9,7 +9,7 @@ from operator import and_
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Text bytes that one Arrow batch handed back to the JVM may stem from.
@@ -34,6 +34,27 @@ def durable(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def ordered_places(rows: DataFrame, groups: list[str], order: list[Column]) -> DataFrame:
+    """``rows``, cut from their lineage, with ``place`` (0 .. in their group's ``order``) and ``group_rows`` (its size).
+
+    Rows are sorted over all tasks by range, and written; a row's place is its place in its piece, less that of
+    its group's first row there, plus the group's rows in earlier pieces. Groups of any size are thus spread, as
+    rows that are alike are: their number in the scan breaks ties. The counts have a row for each group in each piece.
+    ``rows`` is read twice and should be cut from its lineage if it is dear.
+    """
+    at, piece, first, n, before, place, total = fresh(rows, "_at", "_piece", "_first", "_n", "_before", "place", "group_rows")
+    keys = [F.col(g).asc_nulls_first() for g in groups]
+    ranged = rows.withColumn(at, F.monotonically_increasing_id()).repartitionByRange(*keys, *order, F.col(at))
+    ranged = durable(ranged.sortWithinPartitions(*keys, *order, F.col(at)).drop(at))
+    ranged = ranged.withColumn(at, F.monotonically_increasing_id()).withColumn(piece, F.spark_partition_id())
+    counts = ranged.groupBy(*groups, piece).agg(F.min(at).alias(first), F.count(F.lit(1)).alias(n))
+    by = Window.partitionBy(*groups)
+    counts = counts.withColumn(before, F.coalesce(F.sum(n).over(by.orderBy(piece).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).withColumn(total, F.sum(n).over(by))
+    told = counts.select(*[F.col(g).alias(f"_of_{g}") for g in groups], F.col(piece).alias("_in"), first, before, total)
+    on = [F.col(piece) == F.col("_in"), *[F.col(g).eqNullSafe(F.col(f"_of_{g}")) for g in groups]]
+    return ranged.join(told, reduce(and_, on)).select(*rows.columns, (F.col(at) - F.col(first) + F.col(before)).alias(place), F.col(total))
+
+
 def give_back() -> None:
     """Hand the memory that this process has freed back to the system."""
     pa.default_memory_pool().release_unused()

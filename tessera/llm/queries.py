@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, decontam, licence, lines, media, quality, sharding, simhash, toxicity
+from . import bpe, chat, decontam, licence, lines, media, merkle, quality, sharding, simhash, toxicity
 from .common import table
 
 SHARDS = 24
@@ -91,6 +91,13 @@ def op10_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.line_classes(table(spark, sf_dir, "documents")).drop("text_hash")
 
 
+def op11_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every row proven against the root; every second one, by its checksum, is claimed with its line feeds deleted."""
+    tampered = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 2 == 0
+    text = F.when(tampered, F.replace(F.col("text"), F.lit("\n"), F.lit(""))).otherwise(F.col("text"))
+    return merkle.checked(merkle.manifest(table(spark, sf_dir, "documents"), {"text": text}))
+
+
 def token_digests(encoded: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """n_tokens and the hashes of ids and decoded text, of rows of ``bpe.encode_decode``."""
     return encoded.select(
@@ -101,10 +108,18 @@ def token_digests(encoded: DataFrame, id_col: str = "doc_id") -> DataFrame:
     )
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_licence, op2_decontamination, op3_sharding, op4_media, op5_quality, op6_bpe, op7_simhash, op8_toxicity, op9_chat, op10_lines)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_licence, op2_decontamination, op3_sharding, op4_media, op5_quality, op6_bpe, op7_simhash, op8_toxicity, op9_chat, op10_lines, op11_merkle)}
 #: Letters beyond ASCII in the test tables: DuckDB's levenshtein counts bytes, so each becomes one control character first.
 WIDE = "éóèñçüêäößíÉÈÑÓÇÄÊÜÖÍáàâîôûœúù"
 NARROW = " || ".join(f"chr({k})" for k in [*range(1, 10), *range(11, 32)])
+#: CRC-32 of an ASCII string, bit by bit, as DuckDB has none.
+CRC32 = "xor(list_reduce(list_transform(string_split({0}, ''), lambda c: ord(c)::BIGINT), lambda a, b: list_reduce([0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[], lambda x, y: xor(x >> 1, 3988292384 * (x & 1)), xor(a, b)), 4294967295::BIGINT), 4294967295)"
+
+
+def _leaf_sql(text: str) -> str:
+    return "sha256(" + " || ".join(f"coalesce(strlen({x}) || ':' || {x}, '-')" for x in ("doc_id::VARCHAR", "source", "lang", "n_chars::VARCHAR", text)) + ")"
+
+
 ORACLE: dict[str, str] = {
     "op10_lines": f"""
 WITH RECURSIVE l AS (
@@ -119,4 +134,30 @@ g AS (SELECT node, least(node, min(other)) AS first FROM r GROUP BY node),
 d AS (SELECT a, count(*)::BIGINT AS n_links FROM e GROUP BY a)
 SELECT l.doc_id, l.line_no, (coalesce(g.first, c.pos) // {lines.LINE_SPAN})::BIGINT AS class_id, (coalesce(g.first, c.pos) % {lines.LINE_SPAN})::BIGINT AS class_line, coalesce(d.n_links, 0) AS n_links, l.own = coalesce(g.first, c.pos) AS kept
 FROM l JOIN c USING (line) LEFT JOIN g ON g.node = c.pos LEFT JOIN d ON d.a = c.pos""",
+    "op11_merkle": f"""
+WITH RECURSIVE leaves AS (
+  SELECT doc_id, source, row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf) - 1 AS place, leaf, claimed
+  FROM (SELECT doc_id, source, {_leaf_sql('text')} AS leaf, {_leaf_sql(f"CASE WHEN {CRC32.format('doc_id::VARCHAR')} % 2 = 0 THEN replace(text, chr(10), '') ELSE text END")} AS claimed FROM documents)),
+tree AS (
+  SELECT 0 AS level, source, place, leaf AS node FROM leaves
+  UNION ALL SELECT level + 1, source, place // 3, sha256(string_agg(node, '' ORDER BY place))
+  FROM (SELECT *, count(*) OVER (PARTITION BY source) AS n FROM tree) WHERE n > 1 GROUP BY level, source, place // 3),
+subroots AS (SELECT source, node AS subroot, level AS height, row_number() OVER (ORDER BY source NULLS FIRST) - 1 AS place FROM (SELECT *, max(level) OVER (PARTITION BY source) AS top FROM tree) WHERE level = top),
+forest AS (
+  SELECT 0 AS level, place, subroot AS node FROM subroots
+  UNION ALL SELECT level + 1, place // 3, sha256(string_agg(node, '' ORDER BY place))
+  FROM (SELECT *, count(*) OVER () AS n FROM forest) WHERE n > 1 GROUP BY level, place // 3),
+tops AS (SELECT node AS root, level AS height FROM forest ORDER BY level DESC LIMIT 1),
+steps AS (
+  SELECT l.doc_id, l.leaf, t.level, string_agg(t.node, '' ORDER BY t.place) FILTER (t.place < l.place // (3 ** t.level)::BIGINT) AS lefts, string_agg(t.node, '' ORDER BY t.place) FILTER (t.place > l.place // (3 ** t.level)::BIGINT) AS rights
+  FROM leaves l JOIN subroots s ON l.source IS NOT DISTINCT FROM s.source JOIN tree t ON t.source IS NOT DISTINCT FROM l.source AND t.level < s.height AND t.place // 3 = l.place // (3 ** (t.level + 1))::BIGINT GROUP BY ALL
+  UNION ALL SELECT l.doc_id, l.leaf, s.height + t.level, string_agg(t.node, '' ORDER BY t.place) FILTER (t.place < s.place // (3 ** t.level)::BIGINT), string_agg(t.node, '' ORDER BY t.place) FILTER (t.place > s.place // (3 ** t.level)::BIGINT)
+  FROM leaves l JOIN subroots s ON l.source IS NOT DISTINCT FROM s.source CROSS JOIN tops JOIN forest t ON t.level < tops.height AND t.place // 3 = s.place // (3 ** (t.level + 1))::BIGINT GROUP BY ALL),
+folds AS (
+  SELECT doc_id, leaf, 0 AS level, claimed AS node FROM leaves
+  UNION ALL SELECT f.doc_id, f.leaf, f.level + 1, sha256(coalesce(s.lefts, '') || f.node || coalesce(s.rights, '')) FROM folds f JOIN steps s ON s.doc_id = f.doc_id AND s.leaf = f.leaf AND s.level = f.level),
+proofs AS (SELECT doc_id, leaf, string_agg(coalesce(lefts, '') || coalesce(rights, ''), '' ORDER BY level) AS proof FROM steps GROUP BY 1, 2)
+SELECT l.doc_id, l.leaf, s.subroot, tops.root, sha256(coalesce(p.proof, '')) AS proof_sha256, f.node AS folded_root, f.node = tops.root AS verified
+FROM leaves l JOIN subroots s ON l.source IS NOT DISTINCT FROM s.source CROSS JOIN tops LEFT JOIN proofs p ON p.doc_id = l.doc_id AND p.leaf = l.leaf
+JOIN (SELECT doc_id, leaf, node, level, max(level) OVER (PARTITION BY doc_id, leaf) AS top FROM folds) f ON f.doc_id = l.doc_id AND f.leaf = l.leaf AND f.level = f.top""",
 }
