@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, decontam, licence, lines, media, merkle, quality, sharding, simhash, toxicity
+from . import bpe, chat, decontam, licence, lines, media, merkle, negatives, quality, sharding, simhash, toxicity
 from .common import table
 
 SHARDS = 24
@@ -98,6 +98,11 @@ def op11_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.checked(merkle.manifest(table(spark, sf_dir, "documents"), {"text": text}))
 
 
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return negatives.hard_negatives(table(spark, sf_dir, "embeddings"), lambda c: c % 50 == 0, label_col=label)
+
+
 def token_digests(encoded: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """n_tokens and the hashes of ids and decoded text, of rows of ``bpe.encode_decode``."""
     return encoded.select(
@@ -108,7 +113,7 @@ def token_digests(encoded: DataFrame, id_col: str = "doc_id") -> DataFrame:
     )
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_licence, op2_decontamination, op3_sharding, op4_media, op5_quality, op6_bpe, op7_simhash, op8_toxicity, op9_chat, op10_lines, op11_merkle)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_licence, op2_decontamination, op3_sharding, op4_media, op5_quality, op6_bpe, op7_simhash, op8_toxicity, op9_chat, op10_lines, op11_merkle, op12_hard_negatives)}
 #: Letters beyond ASCII in the test tables: DuckDB's levenshtein counts bytes, so each becomes one control character first.
 WIDE = "éóèñçüêäößíÉÈÑÓÇÄÊÜÖÍáàâîôûœúù"
 NARROW = " || ".join(f"chr({k})" for k in [*range(1, 10), *range(11, 32)])
@@ -160,4 +165,12 @@ proofs AS (SELECT doc_id, leaf, string_agg(coalesce(lefts, '') || coalesce(right
 SELECT l.doc_id, l.leaf, s.subroot, tops.root, sha256(coalesce(p.proof, '')) AS proof_sha256, f.node AS folded_root, f.node = tops.root AS verified
 FROM leaves l JOIN subroots s ON l.source IS NOT DISTINCT FROM s.source CROSS JOIN tops LEFT JOIN proofs p ON p.doc_id = l.doc_id AND p.leaf = l.leaf
 JOIN (SELECT doc_id, leaf, node, level, max(level) OVER (PARTITION BY doc_id, leaf) AS top FROM folds) f ON f.doc_id = l.doc_id AND f.leaf = l.leaf AND f.level = f.top""",
+    "op12_hard_negatives": """
+WITH v AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS vec
+  FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT a.vec_id AS anchor_id, b.vec_id AS other_id, a.label = b.label AS own, list_dot_product(a.vec, b.vec)::BIGINT AS score FROM v a JOIN v b ON a.vec_id % 50 = 0 AND a.vec_id <> b.vec_id),
+p AS (SELECT anchor_id, other_id AS positive_id, score AS positive_score FROM s WHERE own QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, other_id) <= 5)
+SELECT anchor_id, positive_id, (row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY s.score DESC, s.other_id))::INTEGER AS rank, other_id AS negative_id, positive_score, s.score AS negative_score
+FROM p JOIN s USING (anchor_id) WHERE NOT s.own AND 50 * positive_score <= 100 * s.score AND 100 * s.score <= 95 * positive_score QUALIFY rank <= 3""",
 }
