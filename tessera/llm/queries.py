@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, decontam, licence, lines, media, merkle, negatives, quality, sharding, simhash, toxicity
+from . import bpe, chat, decontam, licence, lines, media, merkle, negatives, ordermin, quality, sharding, simhash, toxicity
 from .common import table
 
 SHARDS = 24
@@ -103,6 +103,11 @@ def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return negatives.hard_negatives(table(spark, sf_dir, "embeddings"), lambda c: c % 50 == 0, label_col=label)
 
 
+def op13_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = ordermin.edited(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), "fingerprint", "edited_fingerprint", "near_edited", "near_next", "next_id", "next_chars")
+
+
 def token_digests(encoded: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """n_tokens and the hashes of ids and decoded text, of rows of ``bpe.encode_decode``."""
     return encoded.select(
@@ -113,7 +118,7 @@ def token_digests(encoded: DataFrame, id_col: str = "doc_id") -> DataFrame:
     )
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_licence, op2_decontamination, op3_sharding, op4_media, op5_quality, op6_bpe, op7_simhash, op8_toxicity, op9_chat, op10_lines, op11_merkle, op12_hard_negatives)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_licence, op2_decontamination, op3_sharding, op4_media, op5_quality, op6_bpe, op7_simhash, op8_toxicity, op9_chat, op10_lines, op11_merkle, op12_hard_negatives, op13_fingerprints)}
 #: Letters beyond ASCII in the test tables: DuckDB's levenshtein counts bytes, so each becomes one control character first.
 WIDE = "éóèñçüêäößíÉÈÑÓÇÄÊÜÖÍáàâîôûœúù"
 NARROW = " || ".join(f"chr({k})" for k in [*range(1, 10), *range(11, 32)])
