@@ -77,6 +77,36 @@ def utf8_prefix(text: Column | str, n: int) -> Column:
     return F.when(F.octet_length(data) <= n, t).when(starts(n), first(n)).when(starts(n - 1), first(n - 1)).when(starts(n - 2), first(n - 2)).otherwise(first(n - 3))
 
 
+def utf8_starts(data: Column, n: int) -> Column:
+    """Where the pieces of a binary text begin: each is the longest run of whole characters of at most n bytes."""
+    if n < 4:
+        raise ValueError("a piece must have room for any character")
+    whole = lambda at: ~F.hex(F.substring(data, at + 1, F.lit(1))).between("80", "BF")
+    size = F.octet_length(data)
+
+    def more(starts: Column, _: Column) -> Column:
+        at = F.element_at(starts, -1) + n
+        cut = F.when(whole(at), at).when(whole(at - 1), at - 1).when(whole(at - 2), at - 2).otherwise(at - 3)
+        return F.when(at >= size, starts).otherwise(F.concat(starts, F.array(cut)))
+
+    one = F.array(F.lit(0))
+    return F.when(size == 0, F.array().cast("array<int>")).when(size <= n, one).otherwise(F.aggregate(F.sequence(F.lit(1), F.floor(size / (n - 3)).cast("int") + 1), one, more))
+
+
+def utf8_pieces(text: Column | str, n: int) -> Column:
+    """A text in pieces of at most n bytes, none split within a character; an empty text has none."""
+
+    def cut(data: Column) -> Column:
+        def of(starts: Column) -> Column:
+            end = lambda i: F.coalesce(F.get(starts, i + 1), F.octet_length(data))
+            return F.transform(starts, lambda s, i: F.decode(F.substring(data, s + 1, end(i) - s), "UTF-8"))
+
+        return _let(utf8_starts(data, n), of)
+
+    t = col(text)
+    return F.when(F.octet_length(t).between(1, n), F.array(t)).otherwise(_let(F.encode(t, "UTF-8"), cut))
+
+
 #: The SplitMix64 step and its two multipliers.
 MIX_STEP, MIX_BY = 0x9E3779B97F4A7C15, (0xBF58476D1CE4E5B9, 0x94D049BB133111EB)
 _WORD = Decimal(1 << 64)

@@ -12,11 +12,11 @@ from pyspark.sql import functions as F
 from tessera.functions import text as T
 from tessera.functions.phonetic import code_freqs
 
-ROW_CHARS = 8192
+ROW_BYTES = 8192
 SEG_DOCS = 512
-SIGNATURE_BYTES = 4096
-SIGNATURE_HASHES = 6
 MAX_SHARDS = 4096
+#: Documents whose row numbers are sent to the texts: 24 MB.
+BROADCAST_DOCS = 1_000_000
 
 
 #: Ranges of ids that ``dense_numbers`` numbers apart.
@@ -40,19 +40,38 @@ def dense_numbers(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
     return ranged.join(F.broadcast(offsets), "_range").select(id_col, (F.col("_offset") + within).cast("bigint").alias("doc_number"))
 
 
-def frames(docs: DataFrame, row_chars: int = ROW_CHARS, seg_docs: int = SEG_DOCS, id_col: str = "doc_id", text_col: str = "text", source_col: str | None = "source", number_col: str | None = None) -> DataFrame:
-    """(segment_id, row_ix, doc_id, source_id, chunk, body) of rows of up to ``row_chars`` characters; null texts have none.
+def pieces(docs: DataFrame, row_bytes: int = ROW_BYTES, seg_docs: int = SEG_DOCS, id_col: str = "doc_id", text_col: str = "text", source_col: str | None = "source", number_col: str | None = None) -> DataFrame:
+    """(segment_id, doc_id, text_hash, source_id, chunk, body) of the documents' pieces of up to ``row_bytes`` bytes in
+    UTF-8, cut where the scan reads them; null and empty texts have none, nor have documents without an id."""
+    doc, number = F.col(id_col).cast("bigint"), F.col(number_col or id_col).cast("bigint")
+    source = F.col(source_col) if source_col else F.lit(None).cast("string")
+    rows = docs.where(doc.isNotNull() & (F.length(text_col) > 0))
+    rows = rows.select(F.floor(number / seg_docs).alias("segment_id"), doc.alias("doc_id"), F.xxhash64(text_col).alias("text_hash"), source.alias("source_id"), F.posexplode(T.utf8_pieces(text_col, row_bytes)).alias("chunk", "body"))
+    return rows.withColumn("chunk", F.col("chunk").cast("bigint"))
+
+
+def first_rows(docs: DataFrame, row_bytes: int = ROW_BYTES, seg_docs: int = SEG_DOCS, id_col: str = "doc_id", text_col: str = "text", number_col: str | None = None) -> DataFrame:
+    """(doc_id, text_hash, first_row): the number, in its segment, of each document's first piece: the pieces of the
+    documents before it, summed up over ids and counts alone."""
+    doc, number = F.col(id_col).cast("bigint"), F.col(number_col or id_col).cast("bigint")
+    rows = docs.where(doc.isNotNull() & (F.length(text_col) > 0))
+    counts = rows.select(F.floor(number / seg_docs).alias("segment_id"), doc.alias("doc_id"), F.xxhash64(text_col).alias("text_hash"), F.size(T.utf8_starts(F.encode(text_col, "UTF-8"), row_bytes)).alias("n")).distinct()
+    before = Window.partitionBy("segment_id").orderBy("doc_id", "text_hash").rowsBetween(Window.unboundedPreceding, -1)
+    return counts.select("doc_id", "text_hash", F.coalesce(F.sum("n").over(before), F.lit(0)).cast("bigint").alias("first_row"))
+
 
-    A segment has ``seg_docs`` consecutive ids or, where ids are not dense, values of ``number_col``.
+def frames(docs: DataFrame, row_bytes: int = ROW_BYTES, seg_docs: int = SEG_DOCS, id_col: str = "doc_id", text_col: str = "text", source_col: str | None = "source", number_col: str | None = None, broadcast_docs: int = BROADCAST_DOCS) -> DataFrame:
+    """(segment_id, row_ix, doc_id, source_id, chunk, body) of rows of up to ``row_bytes`` bytes.
+
+    A segment has ``seg_docs`` consecutive ids or, where ids are not dense, values of ``number_col``. Up to
+    ``broadcast_docs`` documents (24 bytes each) their numbers go to the texts, which stay where they are read; beyond that
+    both meet by document id, which takes one shuffle of the texts and no sort. Rows of one id and text count once.
     """
-    number = F.col(number_col or id_col).cast("bigint")
-    body = F.col(text_col)
-    pieces = F.greatest(F.lit(1), F.ceil(F.length(body) / row_chars)).cast("int")
-    source = F.col(source_col) if source_col else F.lit(None).cast("string")
-    rows = docs.where(body.isNotNull()).select(F.col(id_col).cast("bigint").alias("doc_id"), source.alias("source_id"), F.floor(number / seg_docs).alias("segment_id"), body.alias("whole"), F.explode(F.sequence(F.lit(0), pieces - 1)).alias("chunk"))
-    rows = rows.select("segment_id", "doc_id", "source_id", F.col("chunk").cast("bigint").alias("chunk"), F.substring(F.col("whole"), F.col("chunk") * row_chars + 1, F.lit(row_chars)).alias("body"))
-    order = Window.partitionBy("segment_id").orderBy("doc_id", "chunk")
-    return rows.select("segment_id", (F.row_number().over(order) - 1).cast("bigint").alias("row_ix"), "doc_id", "source_id", "chunk", "body")
+    whole = pieces(docs, row_bytes, seg_docs, id_col, text_col, source_col, number_col)
+    numbers = first_rows(docs, row_bytes, seg_docs, id_col, text_col, number_col)
+    numbers = F.broadcast(numbers) if docs.count() <= broadcast_docs else numbers.hint("shuffle_hash")
+    row_ix = (F.col("first_row") + F.col("chunk")).alias("row_ix")
+    return whole.join(numbers, ["doc_id", "text_hash"]).select("segment_id", row_ix, "doc_id", "source_id", "chunk", "body")
 
 
 def row_terms(rows: DataFrame, max_token: int = T.MAX_TOKEN, phonetic: bool = False) -> DataFrame:
@@ -142,29 +161,3 @@ def list_hash(rows: DataFrame, value: str) -> DataFrame:
     """Count, first, last and hash of a short sorted list of strings."""
     v = F.col(value)
     return rows.agg(F.count(v).alias("n"), F.min(v).alias("first"), F.max(v).alias("last"), F.sha2(F.array_join(F.array_sort(F.collect_list(v)), ""), 256).alias("list_hash"))
-
-
-def signatures(postings: DataFrame, size: int = SIGNATURE_BYTES, hashes: int = SIGNATURE_HASHES) -> DataFrame:
-    """(segment_id, bits): the distinct set bit numbers of each segment's Bloom signature.
-
-    Double hashing h1 + i * h2 over 8 * size bits; native, and exact pruning can use ``postings`` itself.
-    """
-    bits = 8 * size
-    each = postings.select("segment_id", "term").distinct()
-    at = F.array(*[bit_of("term", i, bits) for i in range(hashes)])
-    return each.select("segment_id", F.explode(at).alias("bit")).distinct()
-
-
-def bit_of(term: str, i: int, bits: int):
-    h1 = T.numeric_id(F.concat(F.lit("h1:"), F.col(term)))
-    h2 = T.numeric_id(F.concat(F.lit("h2:"), F.col(term)))
-    return F.pmod(F.pmod(h1, F.lit(bits)) + i * F.pmod(h2, F.lit(bits)), F.lit(bits))
-
-
-def maybe_segments(sig: DataFrame, query_terms: DataFrame, size: int = SIGNATURE_BYTES, hashes: int = SIGNATURE_HASHES) -> DataFrame:
-    """(query_id, term, segment_id) whose signature has all bits of the term: no false negatives."""
-    bits = 8 * size
-    want = query_terms.select("query_id", "term", F.explode(F.array_distinct(F.array(*[bit_of("term", i, bits) for i in range(hashes)]))).alias("bit"))
-    need = want.groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("need"))
-    got = want.join(sig, "bit").groupBy("query_id", "term", "segment_id").agg(F.count(F.lit(1)).alias("got"))
-    return got.join(need, ["query_id", "term"]).where("got = need").select("query_id", "term", "segment_id")

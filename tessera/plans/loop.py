@@ -7,7 +7,11 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.operators import evidence, expand, index, planner, pragmatics, retrieve
+from tessera.operators import evidence, expand, gating, index, planner, pragmatics, retrieve
+
+
+#: Segments whose postings share a folder; folders that one search lists at most.
+PACK_SEGMENTS, MAX_PACKS = 4096, 10_000
 
 
 @dataclass
@@ -15,6 +19,10 @@ class Index:
     rows: DataFrame
     postings: DataFrame
     segments: DataFrame
+    #: Of a stored index: what bounds each segment's scores, the signatures, and which of these a segment is listed with.
+    peaks: DataFrame | None = None
+    signatures: DataFrame | None = None
+    signature_map: DataFrame | None = None
 
     @staticmethod
     def build(docs: DataFrame, phonetic: bool = False, **how) -> Index:
@@ -24,16 +32,51 @@ class Index:
     def persisted(self) -> Index:
         return Index(self.rows, self.postings.persist(), self.segments.persist())
 
-    def write(self, path: str) -> None:
-        """Files of ranges, sorted: rows by segment and row, postings by term and segment, so that row groups
-        of other segments or terms are skipped by their statistics and no segment needs a folder."""
+    def write(self, path: str, pack_segments: int = PACK_SEGMENTS) -> None:
+        """Sorted files: rows by segment and row, postings by segment and term in a folder for each ``pack_segments``
+        segments, so that what a gate rules out is not opened; peaks by term; a version of each segment's dictionary."""
+        spark = self.rows.sparkSession
+        pack = F.floor(F.col("segment_id") / pack_segments).cast("bigint")
         self.rows.repartitionByRange("segment_id", "row_ix").sortWithinPartitions("segment_id", "row_ix").write.mode("overwrite").parquet(f"{path}/rows")
-        self.postings.repartitionByRange("term", "segment_id").sortWithinPartitions("term", "segment_id", "row_ix").write.mode("overwrite").parquet(f"{path}/postings")
-        self.segments.write.mode("overwrite").parquet(f"{path}/segments")
+        packed = self.postings.withColumn("pack", pack)
+        packed.repartitionByRange("pack", "segment_id", "term").sortWithinPartitions("pack", "segment_id", "term", "row_ix").write.partitionBy("pack").mode("overwrite").parquet(f"{path}/postings")
+        gating.maxima(spark.read.parquet(f"{path}/postings")).repartitionByRange("term", "segment_id").sortWithinPartitions("term", "segment_id").write.mode("overwrite").parquet(f"{path}/peaks")
+        peaks = spark.read.parquet(f"{path}/peaks")
+        self.segments.withColumn("pack", pack).join(gating.versions(peaks), "segment_id", "left").write.mode("overwrite").parquet(f"{path}/segments")
+        gating.signatures(peaks).write.mode("overwrite").parquet(f"{path}/signatures")
+        gating.signature_map(spark.read.parquet(f"{path}/signatures")).write.mode("overwrite").parquet(f"{path}/signature_map")
 
     @staticmethod
     def read(spark, path: str) -> Index:
-        return Index(*(spark.read.parquet(f"{path}/{t}").withColumn("segment_id", F.col("segment_id").cast("bigint")) for t in ("rows", "postings", "segments")))
+        def table(name: str) -> DataFrame:
+            return spark.read.parquet(f"{path}/{name}").withColumn("segment_id", F.col("segment_id").cast("bigint"))
+
+        return Index(*map(table, ("rows", "postings", "segments", "peaks", "signatures", "signature_map")))
+
+    def postings_of(self, some: DataFrame) -> DataFrame:
+        """A stored index's postings of the packs of some segments (segment_id, more), without those of others where these
+        are at most MAX_PACKS."""
+        packs = self.segments.join(some.select("segment_id").distinct(), "segment_id", "left_semi").select("pack").distinct()
+        found = [r["pack"] for r in packs.limit(MAX_PACKS + 1).collect()]
+        return self.postings if len(found) > MAX_PACKS else self.postings.where(F.col("pack").isin(found))
+
+    def status(self) -> DataFrame:
+        """Each segment with the state of its signature."""
+        return gating.status(self.segments, self.signature_map, self.signatures)
+
+
+def gated(ix: Index, terms: DataFrame, policy: retrieve.Policy = retrieve.Policy()) -> DataFrame:
+    """Hits over a stored index, of which only packs are read that hold a segment which a query opens."""
+    terms = retrieve.first_terms(terms, policy.max_query_terms)
+    told = ix.status()
+    some = gating.opened(told, terms).select("segment_id").unionByName(told.where("status <> 'sound'").select("segment_id"))
+    return retrieve.search(ix.postings_of(some), ix.segments, terms, policy, told)
+
+
+def bounded(ix: Index, terms: DataFrame, policy: retrieve.Policy = retrieve.Policy()) -> tuple[DataFrame, DataFrame]:
+    """(hits, scored (query_id, segment_id) pairs) over a stored index, of which only packs are read that hold a segment
+    whose bound reaches a query's list."""
+    return retrieve.bounded_search(ix.postings_of, ix.peaks, ix.segments, terms, policy)
 
 
 def search(ix: Index, queries: DataFrame, policy: retrieve.Policy = retrieve.Policy(), lemmas: DataFrame | None = None, edges: DataFrame | None = None, anchors: DataFrame | None = None, budget: expand.Budget = expand.Budget(), phonetic: bool = False) -> DataFrame:

@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.functions import text as T
-from tessera.operators import conversation, evidence, exemplar, expand, graph, index, lexicon, ngram, planner, pragmatics, retrieve
+from tessera.operators import conversation, evidence, exemplar, expand, gating, graph, index, lexicon, ngram, planner, pragmatics, retrieve
 from tessera.operators.retrieve import Policy
+from tessera.plans import loop
 from tessera.plans.loop import Index
 from tessera.sources import store, wiki
 
@@ -17,7 +19,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 ORACLE: dict[str, str] = {}
 
-ROW, SEG = index.ROW_CHARS, index.SEG_DOCS
+ROW, SEG = index.ROW_BYTES, index.SEG_DOCS
 MESSAGES, MESSAGE_CHARS, TOTAL_CHARS = conversation.MAX_MESSAGES, conversation.MESSAGE_CHARS, conversation.TOTAL_CHARS
 TOKENS = T.TOKEN.replace("'", "''")
 
@@ -27,9 +29,13 @@ def terms_sql(text: str) -> str:
 
 
 KEY = "substr(sha256({0}), 1, 16)"
+#: The last place up to ROW bytes after a piece's begin where a character begins.
+_CUT = "CASE " + " ".join(f"WHEN substr(h, 2 * (acc[-1] + {ROW - k}) + 1, 2) NOT BETWEEN '80' AND 'BF' THEN acc[-1] + {ROW - k}" for k in range(3)) + f" ELSE acc[-1] + {ROW - 3} END"
 #: The tables that most queries share, as SQL.
 CTES = {
-    "frames": f"SELECT doc_id // {SEG} AS segment_id, row_number() OVER (PARTITION BY doc_id // {SEG} ORDER BY doc_id, chunk) - 1 AS row_ix, doc_id, source_id, chunk, substr(whole, chunk * {ROW} + 1, {ROW}) AS body FROM (SELECT doc_id, source AS source_id, text AS whole, unnest(range(greatest(1, (length(text) + {ROW - 1}) // {ROW}))) AS chunk FROM documents WHERE text IS NOT NULL)",
+    "cut": f"SELECT doc_id, source AS source_id, h, n, list_reduce(list_prepend([0], list_transform(range(n // {ROW - 3} + 1), lambda i: [i])), lambda acc, x: CASE WHEN acc[-1] + {ROW} >= n THEN acc ELSE list_append(acc, {_CUT}) END) AS starts FROM (SELECT doc_id, source, hex(encode(text)) AS h, strlen(text) AS n FROM documents WHERE text <> '')",
+    "bodies": "SELECT doc_id, source_id, chunk, decode(unhex(substr(h, 2 * starts[chunk + 1] + 1, 2 * (coalesce(starts[chunk + 2], n) - starts[chunk + 1])))) AS body FROM (SELECT *, unnest(range(len(starts))) AS chunk FROM cut)",
+    "frames": f"SELECT doc_id // {SEG} AS segment_id, row_number() OVER (PARTITION BY doc_id // {SEG} ORDER BY doc_id, chunk) - 1 AS row_ix, doc_id, source_id, chunk, body FROM bodies",
     "postings": f"SELECT segment_id, row_ix, doc_id, term, count(*)::BIGINT AS tf FROM (SELECT segment_id, row_ix, doc_id, unnest({terms_sql('body')}) AS term FROM frames) GROUP BY ALL",
     "segs": "SELECT segment_id, count(*)::BIGINT AS row_count FROM frames GROUP BY 1",
     "stats": "SELECT segment_id, term, count(*)::BIGINT AS df, sum(tf)::BIGINT AS tf_sum FROM postings GROUP BY 1, 2",
@@ -47,8 +53,6 @@ CTES = {
 
 def with_ctes(sql: str, shared: dict[str, str] | None = None) -> str:
     """``sql`` with the shared tables that it names, and those that these name."""
-    import re
-
     shared = CTES if shared is None else shared
     needed: list[str] = []
 
@@ -94,6 +98,10 @@ def scored(spark: SparkSession, d: str) -> DataFrame:
     return retrieve.scores(ix.postings, ix.segments, bench_terms(spark, d))
 
 
+def signs_of(ix: Index) -> DataFrame:
+    return gating.signatures(index.term_stats(ix.postings))
+
+
 HIT = ["query_id", "segment_id", "row_ix", "doc_id", "score", "rank"]
 
 
@@ -116,9 +124,9 @@ def doc_len(spark, d):
     return index.doc_lengths(index_of(spark, d).rows)
 
 
-@query("SELECT segment_id, row_ix, doc_id, source_id, chunk, length(body)::BIGINT AS n_chars, md5(body) AS body_md5 FROM frames")
+@query("SELECT segment_id, row_ix, doc_id, source_id, chunk, length(body)::BIGINT AS n_chars, strlen(body)::BIGINT AS n_bytes, md5(body) AS body_md5 FROM frames")
 def row_chunks(spark, d):
-    return index_of(spark, d).rows.select("segment_id", "row_ix", "doc_id", "source_id", "chunk", F.length("body").cast("bigint").alias("n_chars"), F.md5("body").alias("body_md5"))
+    return index_of(spark, d).rows.select("segment_id", "row_ix", "doc_id", "source_id", "chunk", F.length("body").cast("bigint").alias("n_chars"), F.octet_length("body").cast("bigint").alias("n_bytes"), F.md5("body").alias("body_md5"))
 
 
 @query("SELECT segment_id, term, df, tf_sum FROM stats")
@@ -234,12 +242,6 @@ def gate_or(spark, d):
     return retrieve.gate(index_of(spark, d).postings, bench_terms(spark, d), False)
 
 
-@query("SELECT query_id, q.n_query_terms, n_segments, coalesce(decoded, 0) AS decoded, n_segments - coalesce(decoded, 0) AS skipped, coalesce(decoded_all, 0) AS decoded_all FROM (SELECT query_id, count(*)::BIGINT AS n_query_terms FROM asked GROUP BY 1) q LEFT JOIN (SELECT query_id, count(*)::BIGINT AS decoded, sum((n = m)::BIGINT)::BIGINT AS decoded_all FROM (SELECT query_id, segment_id, count(DISTINCT term) AS n, any_value((SELECT count(*) FROM asked b WHERE b.query_id = a.query_id)) AS m FROM asked a JOIN stats USING (term) GROUP BY 1, 2) GROUP BY 1) g USING (query_id) CROSS JOIN (SELECT count(*)::BIGINT AS n_segments FROM segs)")
-def gate_stats(spark, d):
-    ix = index_of(spark, d)
-    return retrieve.gate_stats(ix.postings, ix.segments, bench_terms(spark, d))
-
-
 @query("SELECT query_id, segment_id, count(*)::BIGINT AS n_hits, max((query_id, segment_id) IN (SELECT (a.query_id, s.segment_id) FROM asked a JOIN stats s USING (term)))::BOOLEAN AS open FROM scored GROUP BY 1, 2")
 def gated_equals_plain(spark, d):
     """Hits of plain search in each segment, and whether the any-gate opens it; a segment opened in vain has no hits."""
@@ -254,7 +256,7 @@ def gated_equals_plain(spark, d):
 def signature_hits(spark, d):
     """Bloom signatures let every true (term, segment) through; false ones are cut by the postings."""
     ix, terms = index_of(spark, d), bench_terms(spark, d)
-    maybe = index.maybe_segments(index.signatures(ix.postings), terms)
+    maybe = gating.maybe_segments(signs_of(ix), terms)
     return maybe.join(ix.postings.select("segment_id", "term").distinct(), ["segment_id", "term"], "left_semi").select("query_id", "term", "segment_id")
 
 
@@ -705,12 +707,12 @@ def lineage(spark, d):
 
 
 def _bit(i: int) -> str:
-    bits = 8 * index.SIGNATURE_BYTES
+    bits = 8 * gating.SIGNATURE_BYTES
     h = lambda name: f"('0x' || substr(sha256('{name}:' || term), 1, 15))::BIGINT % {bits}"
     return f"({h('h1')} + {i} * ({h('h2')})) % {bits}"
 
 
-_BITS = "SELECT {0}, unnest([" + ", ".join(_bit(i) for i in range(index.SIGNATURE_HASHES)) + "]) AS bit FROM {1}"
+_BITS = "SELECT {0}, unnest([" + ", ".join(_bit(i) for i in range(gating.SIGNATURE_HASHES)) + "]) AS bit FROM {1}"
 CTES["sigbits"] = f"SELECT DISTINCT segment_id, bit FROM ({_BITS.format('segment_id', 'stats')})"
 CTES["wantbits"] = f"SELECT DISTINCT query_id, term, bit FROM ({_BITS.format('query_id, term', 'asked')})"
 CTES["maybe"] = "SELECT query_id, term, segment_id FROM wantbits w JOIN sigbits s USING (bit) GROUP BY 1, 2, 3 HAVING count(*) = (SELECT count(*) FROM wantbits x WHERE x.query_id = w.query_id AND x.term = w.term)"
@@ -720,22 +722,95 @@ CTES["maybe"] = "SELECT query_id, term, segment_id FROM wantbits w JOIN sigbits
 def signature_maybe(spark, d):
     """What the signatures alone answer, false positives included."""
     ix = index_of(spark, d)
-    return index.maybe_segments(index.signatures(ix.postings), bench_terms(spark, d))
+    return gating.maybe_segments(signs_of(ix), bench_terms(spark, d))
 
 
 @query("SELECT count(*)::BIGINT AS n_maybe, count(*) FILTER (s.segment_id IS NULL)::BIGINT AS n_false FROM maybe m LEFT JOIN stats s ON s.segment_id = m.segment_id AND s.term = m.term")
 def signature_false_positives(spark, d):
     ix = index_of(spark, d)
-    maybe = index.maybe_segments(index.signatures(ix.postings), bench_terms(spark, d))
+    maybe = gating.maybe_segments(signs_of(ix), bench_terms(spark, d))
     held = ix.postings.select("segment_id", "term").distinct().withColumn("held", F.lit(True))
     return maybe.join(held, ["segment_id", "term"], "left").agg(F.count(F.lit(1)).alias("n_maybe"), F.count_if(F.col("held").isNull()).alias("n_false"))
 
 
-@query("SELECT query_id, segment_id, row_ix, doc_id, score, rank FROM hits")
+#: Few documents a segment, so that there are segments to skip.
+FEW = 16
+for _name in ("frames", "postings", "segs", "stats", "scored", "hits"):
+    _own = re.sub(r"\b(frames|postings|segs|stats|scored)\b", r"few_\1", CTES[_name]).replace(f"// {SEG}", f"// {FEW}")
+    CTES[f"few_{_name}"] = _own
+CTES["few_peaks"] = "SELECT segment_id, term, count(*)::BIGINT AS df, max(tf) AS max_tf FROM few_postings GROUP BY 1, 2"
+#: The state of a segment's signature in the queries below: a third are unlisted, missing or stale.
+_STATE = "CASE segment_id % 9 WHEN 1 THEN 'unlisted' WHEN 4 THEN 'missing' WHEN 7 THEN 'stale' ELSE 'sound' END"
+_HAS = " AND ".join(f"list_contains(s.bits, {_bit(i)})" for i in range(gating.SIGNATURE_HASHES))
+CTES["few_sigs"] = "SELECT segment_id, list(DISTINCT bit) AS bits FROM (" + _BITS.format("segment_id", "few_stats") + ") GROUP BY 1"
+CTES["few_maybe"] = f"SELECT a.query_id, a.term, a.place, a.n_terms, s.segment_id, row_number() OVER (PARTITION BY a.query_id, s.segment_id ORDER BY a.place) AS n FROM (SELECT query_id, term, row_number() OVER (PARTITION BY query_id ORDER BY {KEY.format('term')}, term) AS place, count(*) OVER (PARTITION BY query_id) AS n_terms FROM asked) a JOIN few_sigs s ON {_HAS} WHERE {_STATE.replace('segment_id', 's.segment_id')} = 'sound'"
+
+
+def few_index(spark, d) -> Index:
+    return Index.build(docs_of(spark, d), seg_docs=FEW)
+
+
+def damaged(stats: DataFrame) -> DataFrame:
+    """The signature state of segments of which a third lost their signature: not listed, not there, or of an older version."""
+    signs = gating.signatures(stats)
+    listed = gating.signature_map(signs).where("segment_id % 9 <> 1")
+    kept = signs.where("segment_id % 9 <> 4").withColumn("version", F.when(F.col("segment_id") % 9 == 7, F.col("version") + 1).otherwise(F.col("version")))
+    return gating.status(gating.versions(stats), listed, kept)
+
+
+def _gate_sql(through: str, maybe: str, miss: str) -> str:
+    return f"""
+SELECT query_id, query_terms_total, entries_total, sig_map_miss, sig_missing, sig_mismatch, (sound - {through})::BIGINT AS entries_skipped_sig, ({through} + entries_total - sound)::BIGINT AS entries_decoded, (entries_total - sound)::BIGINT AS entries_missing_sig,
+  ({maybe} + {miss})::BIGINT AS bloom_probes_total, ({miss})::BIGINT AS bloom_definite_miss, ({maybe})::BIGINT AS bloom_maybe
+FROM (SELECT query_id, count(*)::BIGINT AS query_terms_total FROM asked GROUP BY 1)
+CROSS JOIN (SELECT count(*)::BIGINT AS entries_total, count(*) FILTER ({_STATE} = 'unlisted')::BIGINT AS sig_map_miss, count(*) FILTER ({_STATE} = 'missing')::BIGINT AS sig_missing, count(*) FILTER ({_STATE} = 'stale')::BIGINT AS sig_mismatch, count(*) FILTER ({_STATE} = 'sound')::BIGINT AS sound FROM few_sigs)
+LEFT JOIN (SELECT query_id, count(*) AS held, sum(first) AS firsts, sum(run) AS runs, count(*) FILTER (run = n_terms) AS whole FROM (SELECT query_id, segment_id, any_value(n_terms) AS n_terms, min(place) AS first, count(*) FILTER (n = place) AS run FROM few_maybe GROUP BY 1, 2) GROUP BY 1) USING (query_id)"""
+
+
+@query(_gate_sql("coalesce(held, 0)", "coalesce(held, 0)", "coalesce(firsts - held, 0) + (sound - coalesce(held, 0)) * query_terms_total"))
+def gate_stats(spark, d):
+    """Eleven counters of the gate that any term opens; a third of the signatures is unlisted, missing or stale."""
+    return gating.gate_counts(damaged(index.term_stats(few_index(spark, d).postings)), bench_terms(spark, d))
+
+
+@query(_gate_sql("coalesce(whole, 0)", "coalesce(runs, 0)", "sound - coalesce(whole, 0)"))
+def gate_stats_all(spark, d):
+    """The same of the gate that only all terms open."""
+    return gating.gate_counts(damaged(index.term_stats(few_index(spark, d).postings)), bench_terms(spark, d), every=True)
+
+
+@query("SELECT query_id, segment_id, row_ix, doc_id, score, rank FROM few_hits")
 def gated_search(spark, d):
-    """Search that reads only the segments that the signatures let through: the hits of plain search."""
-    ix = index_of(spark, d)
-    return retrieve.search(ix.postings, ix.segments, bench_terms(spark, d, 128), signatures=index.signatures(ix.postings)).select(*HIT)
+    """Search that reads only what the signatures let through, a third of them lost: the hits of plain search."""
+    ix = few_index(spark, d)
+    return retrieve.search(ix.postings, ix.segments, bench_terms(spark, d, 128), told=damaged(index.term_stats(ix.postings))).select(*HIT)
+
+
+@query("SELECT query_id, segment_id, row_ix, doc_id, score, rank FROM few_hits")
+def gated_stored_search(spark, d):
+    """The same over a stored index, of which only folders with an opened segment are read."""
+    path = store.shared_folder(spark)
+    few_index(spark, d).write(path, pack_segments=2)
+    return loop.gated(Index.read(spark, path), bench_terms(spark, d, 128)).select(*HIT)
+
+
+@query("""
+SELECT h.query_id, h.segment_id, h.row_ix, h.doc_id, h.score, h.rank, r.n_read, r.n_matching, t.n_segments FROM few_hits h
+JOIN (WITH a AS (SELECT q.query_id, p.segment_id, sum(q.qtf * p.max_tf * (((s.row_count + 1) * 256) // (p.df + 1))) AS bound, max(p.df) AS sure FROM few_peaks p JOIN asked q USING (term) JOIN few_segs s ON s.segment_id = p.segment_id GROUP BY 1, 2),
+  b AS (SELECT *, row_number() OVER w AS n, coalesce(sum(sure) OVER (PARTITION BY query_id ORDER BY bound DESC, segment_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM a WINDOW w AS (PARTITION BY query_id ORDER BY bound DESC, segment_id)),
+  l AS (SELECT query_id, score AS least FROM (SELECT s.query_id, s.score, row_number() OVER (PARTITION BY s.query_id ORDER BY s.score DESC) AS n FROM few_scored s JOIN b ON b.query_id = s.query_id AND b.segment_id = s.segment_id WHERE b.n <= 10 AND b.before < 10) WHERE n = 10)
+  SELECT a.query_id, count(*) FILTER (l.least IS NULL OR a.bound >= l.least)::BIGINT AS n_read, count(*)::BIGINT AS n_matching FROM a LEFT JOIN l USING (query_id) GROUP BY 1) r USING (query_id)
+CROSS JOIN (SELECT count(*)::BIGINT AS n_segments FROM few_segs) t""")
+def bounded_search(spark, d):
+    """The hits of plain search, read from those segments of a stored index that can hold them; how many these are."""
+    path = store.shared_folder(spark)
+    few_index(spark, d).write(path, pack_segments=2)
+    ix, terms = Index.read(spark, path), bench_terms(spark, d, 128)
+    hits, pairs = loop.bounded(ix, terms)
+    read = pairs.groupBy("query_id").agg(F.count(F.lit(1)).alias("n_read"))
+    matching = ix.peaks.join(retrieve.first_terms(terms, 32).select("query_id", "term"), "term").groupBy("query_id").agg(F.count_distinct("segment_id").alias("n_matching"))
+    total = ix.segments.agg(F.count(F.lit(1)).alias("n_segments"))
+    return hits.select(*HIT).join(read, "query_id").join(matching, "query_id").crossJoin(F.broadcast(total))  # one row
 
 
 @query("SELECT query_id, segment_id, row_ix, doc_id, score, rank FROM hits")
@@ -747,8 +822,8 @@ def compacted_search(spark, d):
     return retrieve.search(postings, ix.segments, bench_terms(spark, d, 128)).select(*HIT)
 
 
-CTES["hashed"] = "SELECT ('0x' || substr(sha256('page:' || doc_id::VARCHAR), 1, 15))::BIGINT AS doc_id, text FROM documents WHERE doc_id IS NOT NULL"
-CTES["dense"] = "SELECT doc_id, row_number() OVER (ORDER BY doc_id) - 1 AS doc_number FROM (SELECT DISTINCT doc_id FROM hashed)"
+CTES["hashed"] = "SELECT ('0x' || substr(sha256('page:' || doc_id::VARCHAR), 1, 15))::BIGINT AS doc_id, len(starts) AS n_rows FROM cut WHERE doc_id IS NOT NULL"
+CTES["dense"] = "SELECT doc_id, row_number() OVER (ORDER BY doc_id) - 1 AS doc_number FROM (SELECT DISTINCT ('0x' || substr(sha256('page:' || doc_id::VARCHAR), 1, 15))::BIGINT AS doc_id FROM documents WHERE doc_id IS NOT NULL)"
 
 
 def hashed_docs(spark, d) -> DataFrame:
@@ -761,7 +836,7 @@ def dense_numbers(spark, d):
     return index.dense_numbers(hashed_docs(spark, d))
 
 
-@query(f"SELECT doc_number // {SEG} AS segment_id, sum(greatest(1, ceil(length(text) / {ROW})))::BIGINT AS row_count, count(DISTINCT doc_id)::BIGINT AS doc_count FROM hashed JOIN dense USING (doc_id) WHERE text IS NOT NULL GROUP BY 1")
+@query(f"SELECT doc_number // {SEG} AS segment_id, sum(n_rows)::BIGINT AS row_count, count(DISTINCT doc_id)::BIGINT AS doc_count FROM hashed JOIN dense USING (doc_id) GROUP BY 1")
 def hashed_segments(spark, d):
     """Segments of an index over hashed ids: as full as those over dense ones."""
     docs = hashed_docs(spark, d)

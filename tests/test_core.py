@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 from tessera.functions import phonetic
 from tessera.functions import text as T
-from tessera.operators import evidence, expand, graph, index, lexicon, lineage, ngram, planner, pragmatics, retrieve, solver
+from tessera.operators import evidence, expand, gating, graph, index, lexicon, lineage, ngram, planner, pragmatics, retrieve, solver
 from tessera.operators.retrieve import Policy
 from tessera.plans.loop import Index, answer, search
 from tessera.sources import store, wiki
@@ -64,7 +64,7 @@ def test_gates_lose_nothing(spark):
     hits = retrieve.scores(ix.postings, ix.segments, terms)
     assert hits.join(retrieve.gate(ix.postings, terms, False), ["query_id", "segment_id"], "left_anti").count() == 0
     true = terms.join(ix.postings, "term").select("query_id", "term", "segment_id").distinct()
-    maybe = index.maybe_segments(index.signatures(ix.postings, 64), terms, 64)
+    maybe = gating.maybe_segments(gating.signatures(index.term_stats(ix.postings), 64), terms, 64)
     assert true.join(maybe, ["query_id", "term", "segment_id"], "left_anti").count() == 0
 
 
@@ -298,8 +298,10 @@ def test_lexicon_pages_of_one_title_are_told_and_merged_alike(spark):
 def test_gate_of_all_terms_reads_less(spark):
     ix = Index.build(docs(spark, ["banana apple", "banana", "apple", "carrot"]), seg_docs=1)
     terms = retrieve.query_terms(ask(spark, "banana apple"))
-    signs = index.signatures(ix.postings)
-    read = lambda every: {r["segment_id"] for r in retrieve.gated_postings(ix.postings, signs, terms, every).collect()}
+    stats = index.term_stats(ix.postings)
+    signs = gating.signatures(stats)
+    told = gating.status(gating.versions(stats), gating.signature_map(signs), signs)
+    read = lambda every: {r["segment_id"] for r in gating.gated_postings(ix.postings, told, terms, every).collect()}
     assert read(False) == {0, 1, 2} and read(True) == {0}
 
 
