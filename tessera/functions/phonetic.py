@@ -1,85 +1,121 @@
-"""Phonetic codes by an ordered list of rewriting rules.
+"""Phonetic codes by an ordered list of rewriting rules, as one expression.
 
-Codes are made for distinct terms only and joined back, so the Python rules run once a term.
+The rules become the alternatives of one pattern, each of which finds its sound in a list of sounds that stands behind
+the word; what an alternative matches is replaced by what it found. Codes are made for distinct terms only and joined back.
 """
 
 from __future__ import annotations
 
-import pandas as pd
-import regex
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessera.functions import text as T
+
 MAX_LETTERS = 64
 MAX_CODE = 12
 QUERY_CODE = 8
-V = "[aeiouy]"
-#: What each piece of a word sounds like; the first rule that matches at a place counts.
+V, NO_V = "[aeiouy]", "[b-df-hj-np-tv-xz]"
+#: What stands before a piece, the piece, what stands behind it (``^`` and ``$``: begin and end of the word),
+#: and what the piece sounds like; the first rule that matches at a place counts.
 RULES = [
-    ("^(?:k(?=n)|g(?=n)|p(?=n)|a(?=e)|w(?=r))", ""),
-    (r"([abd-z])(?<=\1\1)", ""),
-    ("^" + V, "A"),
-    (V, ""),
-    ("(?<=m)b$", ""),
-    ("b", "B"),
-    ("(?<=s)ch", "K"),
-    ("ch", "X"),
-    ("c(?=[eiy])", "S"),
-    ("c", "K"),
-    ("dg(?=[eiy])", "J"),
-    ("d", "T"),
-    ("f", "F"),
-    ("(?<=[ao]u)gh", "F"),
-    ("gh", ""),
-    ("g(?=ne?$)", ""),
-    ("g(?=n[eiy])", "J"),
-    ("g(?=n)", "K"),
-    ("g(?=[eiy])", "J"),
-    ("g", "K"),
-    (f"(?<!{V})h(?={V})", "H"),
-    ("h", ""),
-    ("j", "J"),
-    ("(?<=c)k", ""),
-    ("k", "K"),
-    ("l", "L"),
-    ("m", "M"),
-    ("n", "N"),
-    ("ph", "F"),
-    ("p", "P"),
-    ("q", "K"),
-    ("r", "R"),
-    ("sh", "X"),
-    ("si(?=[oa])[oa]", "X"),
-    ("s", "S"),
-    ("th", "0"),
-    ("ti(?=[oa])[oa]", "X"),
-    ("t(?=ch)", ""),
-    ("t", "T"),
-    ("v", "F"),
-    (f"w(?={V})", "W"),
-    ("w", ""),
-    ("x", "KS"),
-    ("z", "S"),
+    ("^", "k", "n", ""),
+    ("^", "g", "n", ""),
+    ("^", "p", "n", ""),
+    ("^", "a", "e", ""),
+    ("^", "w", "r", ""),
+    ("=", "[abd-z]", "", ""),
+    ("^", V, "", "A"),
+    ("", V, "", ""),
+    ("m", "b", "$", ""),
+    ("", "b", "", "B"),
+    ("s", "ch", "", "K"),
+    ("", "ch", "", "X"),
+    ("", "c", "[eiy]", "S"),
+    ("", "c", "", "K"),
+    ("", "dg", "[eiy]", "J"),
+    ("", "d", "", "T"),
+    ("", "f", "", "F"),
+    ("[ao]u", "gh", "", "F"),
+    ("", "gh", "", ""),
+    ("", "g", "ne?$", ""),
+    ("", "g", "n[eiy]", "J"),
+    ("", "g", "n", "K"),
+    ("", "g", "[eiy]", "J"),
+    ("", "g", "", "K"),
+    ("^", "h", V, "H"),
+    (NO_V, "h", V, "H"),
+    ("", "h", "", ""),
+    ("", "j", "", "J"),
+    ("c", "k", "", ""),
+    ("", "k", "", "K"),
+    ("", "l", "", "L"),
+    ("", "m", "", "M"),
+    ("", "n", "", "N"),
+    ("", "ph", "", "F"),
+    ("", "p", "", "P"),
+    ("", "q", "", "K"),
+    ("", "r", "", "R"),
+    ("", "sh", "", "X"),
+    ("", "si[oa]", "", "X"),
+    ("", "s", "", "S"),
+    ("", "th", "", "0"),
+    ("", "ti[oa]", "", "X"),
+    ("", "t", "ch", ""),
+    ("", "t", "", "T"),
+    ("", "v", "", "F"),
+    ("", "w", V, "W"),
+    ("", "w", "", ""),
+    ("", "x", "", "KS"),
+    ("", "z", "", "S"),
 ]
-_RULE = regex.compile("|".join(f"(?P<r{k}>{pattern.replace(chr(92) + '1', f'(?P=d{k})').replace('([abd-z])', f'(?P<d{k}>[abd-z])')})" for k, (pattern, _) in enumerate(RULES)))
-_SOUND = {f"r{k}": sound for k, (_, sound) in enumerate(RULES)}
+#: Stands between a word and the sounds, which it has in the order of this string.
+END, SOUNDS = "#", "".join(sorted({c for *_, sound in RULES for c in sound}))
 
 
-def phonetic_code(token: str, max_code: int = MAX_CODE) -> str:
-    """Code of a token's ASCII letters; empty if there are none."""
-    word = "".join(c for c in token if c.isascii() and c.isalpha())[:MAX_LETTERS].lower()
-    if word.startswith("x"):
-        word = "s" + word[1:]
-    sounds = (_SOUND[m.lastgroup] for m in _RULE.finditer(word))  # the outer group closes last
-    return regex.sub(r"(.)\1+", r"\1", "".join(sounds))[: min(max_code, MAX_CODE)]
+def transducer() -> tuple[str, str]:
+    """(pattern, replacement) of all rules: every group holds a sound or nothing. A doubled letter, the rule of ``=``, is
+    one that a group before it holds."""
+    parts, kept, n = [], [], 0
+    for before, piece, behind, sound in RULES:
+        if before == "=":
+            n += 1
+            parts.append(rf"(?<=({piece}))\{n}")
+            continue
+        look = {"": "", "^": "^"}.get(before, f"(?<={before})")
+        ahead = f"(?={behind.replace('$', END)})" if behind else ""
+        found = "".join(f"(?=[^{END}]*{END}[^{c}]*({c}))" for c in sound)
+        kept += range(n + 1, n + 1 + len(sound))
+        n += len(sound)
+        parts.append(f"{look}{piece}{ahead}{found}")
+    return "|".join(parts), "".join(f"${k}" for k in kept)
 
 
 def code_column(term: Column, max_code: int = MAX_CODE) -> Column:
-    @F.pandas_udf("string")
-    def code(words: pd.Series) -> pd.Series:
-        return words.map(lambda w: None if w is None else phonetic_code(w, max_code) or None)
+    """The code of a term's ASCII letters; null if there are none, or none that sounds."""
+    pattern, found = transducer()
+    word = T.ascii_lower(F.substring(F.regexp_replace(term, "[^A-Za-z]", ""), 1, MAX_LETTERS))
+    word = F.regexp_replace(word, "^x", "s")
+    told = F.substring_index(F.regexp_replace(F.concat(word, F.lit(END + SOUNDS)), pattern, found), END, 1)
+    code = F.substring(F.regexp_replace(told, r"(.)\1+", "$1"), 1, min(max_code, MAX_CODE))
+    return F.when(code != "", code)
+
 
-    return code(term)
+def rules_sql(word: str, at: str) -> tuple[str, str]:
+    """(sound, length of the piece) at place ``at`` of a word, as CASE expressions for engines without look-around."""
+    before, here = f"substr({word}, 1, {at} - 1)", f"substr({word}, {at})"
+    sounds, sizes = [], []
+    for look, piece, behind, sound in RULES:
+        if look == "=":
+            test = f"{at} > 1 AND substr({word}, {at}, 1) = substr({word}, {at} - 1, 1) AND regexp_matches({here}, '^{piece}')"
+        else:
+            test = f"regexp_matches({here}, '^{piece}{f'({behind})' if behind else ''}')"
+            if look:
+                test = f"{at} = 1 AND {test}" if look == "^" else f"regexp_matches({before}, '{look}$') AND {test}"
+        sounds.append(f"WHEN {test} THEN '{sound}'")
+        sizes.append(f"WHEN {test} THEN {len(re.sub(r'\[[^]]*\]', '_', piece))}")
+    return f"CASE {' '.join(sounds)} ELSE '' END", f"CASE {' '.join(sizes)} ELSE 1 END"
 
 
 def with_codes(rows: DataFrame, term: str = "term", max_code: int = MAX_CODE) -> DataFrame:

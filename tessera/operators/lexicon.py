@@ -11,7 +11,7 @@ from tessera.functions import text as T
 from tessera.functions.phonetic import code_column
 
 #: Parts of speech as bits, and relation types.
-POS = {"noun": 1, "verb": 2, "adjective": 4, "adverb": 8, "proper noun": 16, "pronoun": 32, "preposition": 64, "conjunction": 128, "interjection": 256, "determiner": 512, "numeral": 1024}
+POS = {"noun": 1, "verb": 2, "adjective": 4, "adverb": 8, "proper noun": 16, "pronoun": 32, "determiner": 64, "preposition": 128, "conjunction": 256, "interjection": 512, "numeral": 1024, "particle": 2048}
 CONTENT = POS["noun"] | POS["verb"] | POS["adjective"] | POS["adverb"] | POS["proper noun"]
 RELATIONS = ["synonyms", "antonyms", "hypernyms", "hyponyms", "derived terms", "related terms", "coordinate terms", "holonyms", "meronyms"]
 WALKED = [r for r in RELATIONS if r != "antonyms"]
@@ -26,11 +26,12 @@ def lemma_key(c):
 
 
 def tables(pages: DataFrame) -> dict[str, DataFrame]:
-    """The four tables from parsed pages (title, pos_mask, glosses, relations array of (type, target), ipa).
+    """The four tables from parsed pages (title, pos_mask, glosses, relations array of (type, target), ipa); pages without a
+    part of speech are no lemmas.
 
     Of pages with one title the least (by all columns) stands, whatever the partitions; ``duplicates`` names them.
     """
-    own = pages.groupBy("title").agg(F.min(F.struct("pos_mask", "glosses", "relations", "ipa")).alias("page")).select("title", "page.*")
+    own = pages.where("pos_mask <> 0").groupBy("title").agg(F.min(F.struct("pos_mask", "glosses", "relations", "ipa")).alias("page")).select("title", "page.*")
     lemmas = own.select(F.col("title").alias("lemma"), lemma_key("title").alias("lemma_key"), F.col("pos_mask").cast("bigint").alias("pos_mask"))
     senses = own.select(F.col("title").alias("lemma"), F.posexplode("glosses").alias("sense_rank", "gloss")).withColumn("sense_rank", F.col("sense_rank").cast("bigint"))
     relations = own.select(F.lit("lemma").alias("from_kind"), F.col("title").alias("from_id"), F.explode("relations").alias("r")).select("from_kind", "from_id", F.col("r.type").alias("rel_type"), F.col("r.target").alias("to_lemma")).distinct()

@@ -8,6 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tessera.functions import phonetic
 from tessera.functions import text as T
 from tessera.operators import conversation, evidence, exemplar, expand, gating, graph, index, lexicon, ngram, planner, pragmatics, retrieve
 from tessera.operators.retrieve import Policy
@@ -64,7 +65,7 @@ def with_ctes(sql: str, shared: dict[str, str] | None = None) -> str:
 
     need(sql)
     parts = [f"{n} AS ({shared[n]})" for n in shared if n in needed]
-    return (f"WITH {', '.join(parts)} " if parts else "") + sql
+    return (f"WITH RECURSIVE {', '.join(parts)} " if parts else "") + sql
 
 
 def query(sql: str | None = None, raw: bool = False):
@@ -654,10 +655,17 @@ def answer_text(spark, d):
     return loop.answer(index_of(spark, d), asked)
 
 
-@query()
-def metaphone(spark, d):
-    from tessera.functions import phonetic
+#: Codes of distinct words: a word, what is left of it, and its sounds so far, until nothing is left.
+_SOUND, _SIZE = phonetic.rules_sql("word", "pos")
+CTES["spelled"] = f"SELECT DISTINCT term, regexp_replace(translate(substr(regexp_replace(term, '[^A-Za-z]', '', 'g'), 1, {phonetic.MAX_LETTERS}), '{T.UPPER}', '{T.LOWER}'), '^x', 's') AS word FROM (SELECT unnest({terms_sql('text')}) AS term FROM documents UNION SELECT unnest({terms_sql('body')}) FROM bodies UNION SELECT unnest({terms_sql('text')}) FROM benchmark)"
+CTES["voiced"] = f"SELECT term, word, 1 AS pos, '' AS told FROM spelled UNION ALL SELECT term, word, pos + {_SIZE}, told || {_SOUND} FROM voiced WHERE pos <= length(word)"
+#: RE2 has no back references: a sound is kept where the one before it differs.
+CTES["codes"] = f"SELECT term, nullif(substr(array_to_string(list_filter(string_split(told, ''), lambda c, i: i = 1 OR c <> string_split(told, '')[i - 1]), ''), 1, {phonetic.MAX_CODE}), '') AS code FROM voiced WHERE pos > length(word)"
+
 
+@query(f"SELECT term, n, code FROM (SELECT term, count(*)::BIGINT AS n FROM (SELECT unnest({terms_sql('text')}) AS term FROM documents) GROUP BY 1) JOIN codes USING (term)")
+def metaphone(spark, d):
+    """Words, how often they stand in the documents, and what they sound like."""
     words = table(spark, d, "documents").select(F.explode(T.terms("text")).alias("term"))
     return words.groupBy("term").agg(F.count(F.lit(1)).alias("n")).withColumn("code", phonetic.code_column(F.col("term")))
 
@@ -690,9 +698,17 @@ def golden_pack(spark, d):
     return spark.createDataFrame(regression.run(spark, regression.PACKS["golden"]), "stage string, n_rows long, content_id string")
 
 
-@query("SELECT page_id, sha256(replace(replace(replace(replace(replace(html, '&lt;', '<'), '&gt;', '>'), '&quot;', chr(34)), '&apos;', chr(39)), '&amp;', '&')) AS body_sha256 FROM pages")
+#: Entities that each page is given: named, numeric, of no character, and unknown.
+_ODD = "&#65;&#x20ac;&#X1F600;&#0;&#xD800;&#1114112;&#99999999999;&nope;&amp;lt; & &;"
+_PART = "regexp_extract(p, '^(#[0-9]+|#[xX][0-9a-fA-F]+|[a-z]+);', 1)"
+_HEX = f"('0x' || lpad(substr({_PART}, 3), 9, '0'))::BIGINT"
+_CODE = f"CASE WHEN regexp_matches({_PART}, '^#[xX]') THEN CASE WHEN length({_PART}) < 11 THEN {_HEX} ELSE -1 END WHEN starts_with({_PART}, '#') THEN substr({_PART}, 2)::HUGEINT END"
+_SIGN = f"CASE {_PART} " + " ".join(f"WHEN '{n}' THEN chr({ord(c)})" for n, c in wiki.NAMED.items()) + f" ELSE CASE WHEN {_CODE} > 0 AND {_CODE} < 1114112 AND NOT {_CODE} BETWEEN 55296 AND 57343 THEN chr(({_CODE})::INTEGER) WHEN {_CODE} IS NOT NULL THEN chr(65533) END END"
+
+
+@query(f"SELECT page_id, sha256(list_aggregate(list_transform(string_split(html || '{_ODD}', '&'), lambda p, i: CASE WHEN i = 1 THEN p ELSE coalesce({_SIGN} || substr(p, length({_PART}) + 2), '&' || p) END), 'string_agg', '')) AS body_sha256 FROM pages")
 def page_entities(spark, d):
-    return table(spark, d, "pages").select("page_id", F.sha2(wiki.decoded("html"), 256).alias("body_sha256"))
+    return table(spark, d, "pages").select("page_id", F.sha2(wiki.decoded(F.concat("html", F.lit(_ODD))), 256).alias("body_sha256"))
 
 
 @query("WITH RECURSIVE log(source, target) AS (VALUES ('documents', 'frames'), ('frames', 'postings'), ('frames', 'segments'), ('segments', 'hits'), ('postings', 'hits'), ('benchmark', 'hits')), back AS (SELECT 'hits' AS artifact_id, 0 AS depth UNION SELECT source, depth + 1 FROM back JOIN log ON target = artifact_id WHERE depth < 3) SELECT DISTINCT artifact_id FROM back", raw=True)
@@ -1048,18 +1064,17 @@ def tsv_scan(spark, d):
 
 
 def _dump(spark, d, **how: str) -> DataFrame:
-    """Benchmark texts written as XML pages, every fifth in another namespace, and read as a dump."""
+    """Benchmark texts written as XML pages into one file, every fifth in another namespace, and read as a dump."""
     escaped = F.replace(F.replace(F.replace(F.concat("text", F.lit(" & <b>\"'")), F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
-    page = F.concat(F.lit("<page><title>item "), F.col("item_id").cast("string"), F.lit("</title><ns>"), F.when(F.col("item_id") % 5 == 0, "1").otherwise("0"), F.lit('</ns><revision><text xml:space="preserve">'), escaped, F.lit("</text></revision></page>"))
+    page = F.concat(F.lit("<page>\n<title>item "), F.col("item_id").cast("string"), F.lit("</title><ns>"), F.when(F.col("item_id") % 5 == 0, "1").otherwise("0"), F.lit('</ns><revision><text xml:space="preserve">'), escaped, F.lit("</text></revision></page>"))
     path = store.shared_folder(spark)
-    pages = table(spark, d, "benchmark").where("text is not null").select((F.col("item_id") % 8).alias("part"), F.lit(1).alias("at"), page.alias("value"))
-    ends = F.inline(F.array(*[F.struct(F.lit(at).alias("at"), F.lit(tag).alias("value")) for at, tag in ((0, "<mediawiki>"), (2, "</mediawiki>"))]))
-    whole = pages.unionByName(pages.select("part").distinct().select("part", ends))
-    whole.repartition("part").sortWithinPartitions("part", "at").drop("at").write.partitionBy("part").options(**how).text(path)
-    return wiki.read_xml(spark, path).select("title", F.sha2(F.trim("text"), 256).alias("text_sha256"))
+    pages = table(spark, d, "benchmark").where("text is not null").select(F.lit(1).alias("at"), page.alias("value"))
+    ends = spark.createDataFrame([(0, "<mediawiki>"), (0, "<siteinfo><sitename>a page</sitename></siteinfo>"), (2, "</mediawiki>"), (2, "<mediawiki>"), (3, "</mediawiki>")], "at int, value string")
+    pages.unionByName(ends).coalesce(1).sortWithinPartitions("at").select("value").write.options(**how).text(path)
+    return wiki.read_xml(spark, path).select("title", F.sha2("text", 256).alias("text_sha256"))
 
 
-_DUMPED = "SELECT 'item ' || item_id::VARCHAR AS title, sha256(trim(text || ' & <b>\"''')) AS text_sha256 FROM benchmark WHERE text IS NOT NULL AND item_id % 5 <> 0"
+_DUMPED = "SELECT 'item ' || item_id::VARCHAR AS title, sha256(text || ' & <b>\"''') AS text_sha256 FROM benchmark WHERE text IS NOT NULL AND item_id % 5 <> 0"
 
 
 @query(_DUMPED)
@@ -1075,7 +1090,7 @@ def xml_bz2_scan(spark, d):
 CTES["entries"] = f"SELECT item_id, w FROM (SELECT item_id, {terms_sql('text')} AS w FROM benchmark) WHERE len(w) > 1 AND item_id % 4 <> 0"
 
 
-@query("SELECT 'word ' || item_id::VARCHAR AS title, (CASE item_id % 3 WHEN 0 THEN 1 WHEN 1 THEN 2 ELSE 4 END)::BIGINT AS pos_mask, array_to_string(w, ' ') AS glosses, 'synonyms:' || w[1] || ' antonyms:' || w[2] AS relations, '/' || w[1] || '/' AS ipa FROM entries")
+@query("SELECT 'word ' || item_id::VARCHAR AS title, (CASE item_id % 3 WHEN 0 THEN 1 WHEN 1 THEN 2 ELSE 4 END)::BIGINT AS pos_mask, array_to_string(w, ' ') AS glosses, 'synonyms:' || w[1] || '#Noun antonyms:' || w[2] AS relations, '/' || w[1] || '/' AS ipa FROM entries")
 def dictionary_pages(spark, d):
     """Dictionary pages made of benchmark words, parsed; every fourth has no English section."""
     words = table(spark, d, "benchmark").select("item_id", T.terms("text").alias("w")).where(F.size("w") > 1)
@@ -1086,6 +1101,31 @@ def dictionary_pages(spark, d):
     return out.select("title", "pos_mask", F.array_join("glosses", "\n").alias("glosses"), F.array_join(told, " ").alias("relations"), F.array_join("ipa", " ").alias("ipa"))
 
 
+def dictionary_of(spark, d) -> DataFrame:
+    """Dictionary pages made of benchmark words, one title for each two items, and one page without a part of speech."""
+    words = table(spark, d, "benchmark").select("item_id", T.terms("text").alias("w")).where(F.size("w") > 3)
+    text = F.concat(F.lit("==English==\n===Noun===\n# "), F.col("w")[0], F.lit("\n# "), F.col("w")[1], F.lit("\n====Hypernyms====\n* [["), F.col("w")[2], F.lit("]] [["), F.col("w")[2], F.lit("]]\n====Pronunciation====\n* {{IPA|en|"), F.col("w")[3], F.lit("}}"))
+    title = F.concat(F.lit("Word "), F.floor(F.col("item_id") / 2).cast("string"))
+    return words.select(title.alias("title"), text.alias("text")).unionByName(words.select(F.lit("soundless").alias("title"), F.lit("==English==\n===Etymology===\n").alias("text")))
+
+
+CTES["leafed"] = f"SELECT title, g, w FROM (SELECT 'Word ' || (item_id // 2)::VARCHAR AS title, w, [w[1], w[2]] AS g, row_number() OVER (PARTITION BY item_id // 2 ORDER BY w[1], w[2], w[3], w[4]) AS n FROM (SELECT item_id, {terms_sql('text')} AS w FROM benchmark) WHERE len(w) > 3) WHERE n = 1"
+
+
+@query("SELECT 'lemma' AS kind, title AS lemma, lower(title) AS told, 1::BIGINT AS number FROM leafed UNION ALL SELECT 'sense', title, g[k], (k - 1)::BIGINT FROM leafed, (SELECT unnest([1, 2]) AS k) UNION ALL SELECT 'relation', title, 'hypernyms ' || w[3], NULL FROM leafed UNION ALL SELECT 'pronunciation', title, w[4], NULL FROM leafed")
+def lexicon_tables(spark, d):
+    """The four tables of a dictionary; of pages with one title the least stands."""
+    t = lexicon.tables(wiki.parse_dictionary(dictionary_of(spark, d)))
+
+    def told(table: DataFrame, kind: str, lemma: str, text, number) -> DataFrame:
+        return table.select(F.lit(kind).alias("kind"), F.col(lemma).alias("lemma"), text.alias("told"), number.cast("bigint").alias("number"))
+
+    none = F.lit(None)
+    out = told(t["lemmas"], "lemma", "lemma", F.col("lemma_key"), F.col("pos_mask")).unionByName(told(t["senses"], "sense", "lemma", F.col("gloss"), F.col("sense_rank")))
+    out = out.unionByName(told(t["relations"], "relation", "from_id", F.concat_ws(" ", "rel_type", "to_lemma"), none))
+    return out.unionByName(told(t["pronunciations"], "pronunciation", "lemma", F.col("ipa"), none))
+
+
 # ---- ids, prefixes, sounds -----------------------------------------------------------------------
 
 _U64 = "18446744073709551616"
@@ -1107,10 +1147,13 @@ def byte_prefixes(spark, d):
     return docs.select("doc_id", F.inline(cuts))
 
 
-@query()
+_CODED = "SELECT {0}, '~' || code AS term, sum({1})::BIGINT AS {1} FROM {2} JOIN codes USING (term) WHERE code IS NOT NULL GROUP BY ALL"
+CTES["heard"] = "SELECT segment_id, row_ix, doc_id, term, tf FROM postings UNION ALL " + _CODED.format("segment_id, row_ix, doc_id", "tf", "postings")
+CTES["listened"] = f"SELECT query_id, term, qtf FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY {KEY.format('term')}, term) AS n FROM (SELECT query_id, term, qtf FROM counted UNION ALL {_CODED.format('query_id', 'qtf', 'counted')})) WHERE n <= 128"
+
+
+@query("SELECT query_id, segment_id, row_ix, doc_id, score, rank FROM (SELECT *, rank() OVER (PARTITION BY query_id ORDER BY score DESC) AS top, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, segment_id, row_ix) AS rank FROM (SELECT a.query_id, p.segment_id, p.row_ix, p.doc_id, sum(a.qtf * p.tf * (((s.row_count + 1) * 256) // (d.df + 1)))::BIGINT AS score FROM heard p JOIN listened a USING (term) JOIN (SELECT segment_id, term, count(*) AS df FROM heard GROUP BY 1, 2) d ON d.segment_id = p.segment_id AND d.term = p.term JOIN segs s ON s.segment_id = p.segment_id GROUP BY ALL)) WHERE top <= 10")
 def phonetic_search(spark, d):
     """Search by terms and by their sounds, over an index that has both."""
-    from tessera.plans import loop
-
     asked = table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), "text")
     return loop.search(Index.build(docs_of(spark, d), phonetic=True), asked, Policy(max_query_terms=128), phonetic=True).select(*HIT)

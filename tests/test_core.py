@@ -1,6 +1,8 @@
 """Core operators on tiny fixtures with expected values, and properties that must hold."""
 
 import itertools
+import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -101,8 +103,31 @@ def test_saturation(spark):
     assert tuple(row) == (2**63 - 1, 0, 0, 32768)
 
 
-def test_phonetic_codes():
-    assert [phonetic.phonetic_code(w) for w in ("Smith", "Schmidt", "Knight", "Phone", "Xavier", "café", "12")] == ["SM0", "SKMT", "NT", "FN", "SFR", "KF", ""]
+def phonetic_code(token):
+    """The rules, one place after another."""
+    word = "".join(c for c in token if c.isascii() and c.isalpha())[: phonetic.MAX_LETTERS].lower()
+    word = "s" + word[1:] if word.startswith("x") else word
+    out, at = "", 0
+    while at < len(word):
+        for before, piece, behind, sound in phonetic.RULES:
+            ok = {"": True, "^": at == 0, "=": at > 0 and word[at] == word[at - 1]}.get(before)
+            ok = bool(re.search(f"(?:{before})$", word[:at])) if ok is None else ok
+            m = re.match(f"({piece})(?={behind})", word[at:]) if ok else None
+            if m:
+                out, at = out + sound, at + len(m[1])
+                break
+        else:
+            at += 1
+    return re.sub(r"(.)\1+", r"\1", out)[: phonetic.MAX_CODE] or None
+
+
+def test_phonetic_codes(spark):
+    rng = random.Random(6)
+    words = ["Smith", "Schmidt", "Knight", "Phone", "Xavier", "café", "12", "", "mm", "bbb", "lamb", "signed", "sign", "gnome", "judge", "nation", "mission", "laugh", "match", "whale", "ahead", "accept", "xx", "aa", "é", "a" * 100]
+    words += ["".join(rng.choice("aeiouybcdghkmnpstwxz") for _ in range(rng.randrange(1, 12))) for _ in range(3000)]
+    got = spark.createDataFrame([(w,) for w in words], "w string").select("w", phonetic.code_column(F.col("w"))).collect()
+    assert [r[1] for r in got[:7]] == ["SM0", "SKMT", "NT", "FN", "SFR", "KF", None]
+    assert [(r[0], r[1]) for r in got] == [(w, phonetic_code(w)) for w in words]
 
 
 def test_morphology_and_expansion(spark):
@@ -224,8 +249,8 @@ ENTRY = "==English==\n===Noun===\n# A [[time|dark time]].\n====Pronunciation====
 
 def test_dictionary(spark):
     pages = spark.createDataFrame([("night", ENTRY), ("rien", "==French==\n===Noun===\n# x")], "title string, text string")
-    entry = wiki.parse_entry(ENTRY)
-    assert entry["pos_mask"] == 1 and entry["glosses"] == ["A dark time."] and entry["ipa"] == ["/naɪt/"]
+    entry = wiki.parse_dictionary(pages).first()
+    assert entry["pos_mask"] == 1 and entry["glosses"] == ["A [[time|dark time]]."] and entry["ipa"] == ["/naɪt/"]
     assert [(r["type"], r["target"]) for r in entry["relations"]] == [("synonyms", "evening"), ("derived terms", "nightly"), ("derived terms", "nightfall")]
     t = lexicon.tables(wiki.parse_dictionary(pages))
     assert t["lemmas"].count() == 1 and t["relations"].count() == 3 and t["pronunciations"].first()["meta_codes"][0] == "NT"
@@ -326,8 +351,9 @@ def test_packs_repeat(spark):
         regression.same(spark, regression.PACKS["turn_pairs"], pack[::-1])
 
 
-def test_entities():
-    assert wiki.unescape("a &amp; b &lt;&#65;&#x42;&nope; &#xD800;&amp") == "a & b <AB&nope; \ufffd&amp"
+def test_entities(spark):
+    pages = spark.createDataFrame([("a &amp; b &lt;&#65;&#x42;&nope; &#xD800;&amp",), ("&#x1F600;&amp;amp;&#0065;&#0;&#x110000;&;&&gt;",), ("",), (None,)], "text string")
+    assert [r[0] for r in pages.select(wiki.decoded()).collect()] == ["a & b <AB&nope; \ufffd&amp", "\U0001f600&amp;A\ufffd\ufffd&;&>", "", None]
 
 
 def test_control_ids():
@@ -354,7 +380,6 @@ def test_mix64_and_prefixes(spark):
 
 
 def test_phonetic_search_equals_brute_force(spark):
-    from tessera.functions.phonetic import phonetic_code
     from tessera.plans import loop
 
     docs = spark.createDataFrame([(1, "a knight rides"), (2, "the nite falls, nite"), (3, "123 _"), (4, None)], "doc_id long, text string")
