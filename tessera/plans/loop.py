@@ -12,6 +12,14 @@ from tessera.operators import evidence, expand, gating, index, planner, pragmati
 
 #: Segments whose postings share a folder; folders that one search lists at most.
 PACK_SEGMENTS, MAX_PACKS = 4096, 10_000
+#: Documents of a table that counts as small.
+SPREAD_DOCS = 100_000
+
+
+def spread(docs: DataFrame) -> DataFrame:
+    """A small table dealt over all cores: its file may be a single piece, which one task would read. Others are as they are."""
+    small = docs.count() <= SPREAD_DOCS
+    return docs.repartition(docs.sparkSession.sparkContext.defaultParallelism) if small else docs
 
 
 @dataclass
@@ -26,7 +34,7 @@ class Index:
 
     @staticmethod
     def build(docs: DataFrame, phonetic: bool = False, **how) -> Index:
-        rows = index.frames(docs, **how)
+        rows = index.frames(spread(docs), **how)
         return Index(rows, index.row_terms(rows, phonetic=phonetic), index.segments(rows))
 
     def persisted(self) -> Index:

@@ -666,7 +666,7 @@ CTES["codes"] = f"SELECT term, nullif(substr(array_to_string(list_filter(string_
 @query(f"SELECT term, n, code FROM (SELECT term, count(*)::BIGINT AS n FROM (SELECT unnest({terms_sql('text')}) AS term FROM documents) GROUP BY 1) JOIN codes USING (term)")
 def metaphone(spark, d):
     """Words, how often they stand in the documents, and what they sound like."""
-    words = table(spark, d, "documents").select(F.explode(T.terms("text")).alias("term"))
+    words = loop.spread(table(spark, d, "documents").select("text")).select(F.explode(T.terms("text")).alias("term"))
     return words.groupBy("term").agg(F.count(F.lit(1)).alias("n")).withColumn("code", phonetic.code_column(F.col("term")))
 
 
