@@ -127,36 +127,6 @@ def reduced(parts: list[DataFrame], keys: list[str]) -> DataFrame:
     return union.withColumn("_n", versions).where(F.when(F.col("_n") > 1, bad).otherwise(F.lit(True))).drop("_n")
 
 
-def even_groups(sizes: DataFrame, groups: int, order_col: str = "segment_id") -> DataFrame:
-    """Segments dealt into ``groups`` runs whose counts differ by at most one; one row a segment goes in."""
-    return sizes.withColumn("group_id", (F.ntile(groups).over(Window.orderBy(order_col)) - 1).cast("bigint"))
-
-
-def greedy_groups(sizes: DataFrame, target: int, max_out: int = 8, order_col: str = "segment_id", size_col: str = "bytes") -> DataFrame:
-    """Segments packed in order into groups of at most ``target`` bytes (a larger segment stands alone);
-    an even deal into ``max_out`` groups if that needs more. The input is the segment table, not rows."""
-    listed = sizes.agg(F.array_sort(F.collect_list(F.struct(F.col(order_col).alias("s"), F.col(size_col).alias("b")))).alias("all"))
-    start = F.struct(F.lit(-1).cast("bigint").alias("g"), F.lit(0).cast("bigint").alias("used"), F.array().cast("array<struct<s:bigint,g:bigint>>").alias("out"))
-
-    def step(acc, x):
-        new = (acc["g"] < 0) | (acc["used"] + x["b"] > target)
-        g = F.when(new, acc["g"] + 1).otherwise(acc["g"])
-        used = F.when(new, x["b"]).otherwise(acc["used"] + x["b"]).cast("bigint")
-        return F.struct(g.alias("g"), used.alias("used"), F.concat(acc["out"], F.array(F.struct(x["s"].cast("bigint").alias("s"), g.alias("g")))).alias("out"))
-
-    packed = listed.select(F.explode(F.aggregate("all", start, step)["out"]).alias("x")).select(F.col("x.s").alias(order_col), F.col("x.g").alias("packed"))
-    out = sizes.join(packed, order_col)
-    n_groups = F.max("packed").over(Window.partitionBy()) + 1
-    even = (F.ntile(max_out).over(Window.orderBy(order_col)) - 1).cast("bigint")
-    return out.select(*sizes.columns, F.when(n_groups > max_out, even).otherwise(F.col("packed")).alias("group_id"))
-
-
-def compact(rows: DataFrame, groups: DataFrame, order: list[str] = ["segment_id"]) -> DataFrame:
-    """Rows of an index table with the group their segment goes to, dealt for one file a group and sorted in
-    it. Segments stay as they are, so statistics and scores do too."""
-    return rows.join(groups.select("segment_id", "group_id"), "segment_id").repartition("group_id").sortWithinPartitions("group_id", *order)
-
-
 def list_hash(rows: DataFrame, value: str) -> DataFrame:
     """Count, first, last and hash of a short sorted list of strings."""
     v = F.col(value)

@@ -40,17 +40,18 @@ class Index:
     def persisted(self) -> Index:
         return Index(self.rows, self.postings.persist(), self.segments.persist())
 
-    def write(self, path: str, pack_segments: int = PACK_SEGMENTS) -> None:
+    def write(self, path: str, pack_segments: int = PACK_SEGMENTS, packs: DataFrame | None = None) -> None:
         """Sorted files: rows by segment and row, postings by segment and term in a folder for each ``pack_segments``
-        segments, so that what a gate rules out is not opened; peaks by term; a version of each segment's dictionary."""
+        segments, or each of ``packs`` (segment_id, pack), so that what a gate rules out is not opened; peaks by term; a
+        version of each segment's dictionary."""
         spark = self.rows.sparkSession
         pack = F.floor(F.col("segment_id") / pack_segments).cast("bigint")
+        packed = lambda rows: rows.withColumn("pack", pack) if packs is None else rows.join(packs, "segment_id")
         self.rows.repartitionByRange("segment_id", "row_ix").sortWithinPartitions("segment_id", "row_ix").write.mode("overwrite").parquet(f"{path}/rows")
-        packed = self.postings.withColumn("pack", pack)
-        packed.repartitionByRange("pack", "segment_id", "term").sortWithinPartitions("pack", "segment_id", "term", "row_ix").write.partitionBy("pack").mode("overwrite").parquet(f"{path}/postings")
+        packed(self.postings).repartitionByRange("pack", "segment_id", "term").sortWithinPartitions("pack", "segment_id", "term", "row_ix").write.partitionBy("pack").mode("overwrite").parquet(f"{path}/postings")
         gating.maxima(spark.read.parquet(f"{path}/postings")).repartitionByRange("term", "segment_id").sortWithinPartitions("term", "segment_id").write.mode("overwrite").parquet(f"{path}/peaks")
         peaks = spark.read.parquet(f"{path}/peaks")
-        self.segments.withColumn("pack", pack).join(gating.versions(peaks), "segment_id", "left").write.mode("overwrite").parquet(f"{path}/segments")
+        packed(self.segments).join(gating.versions(peaks), "segment_id", "left").write.mode("overwrite").parquet(f"{path}/segments")
         gating.signatures(peaks).write.mode("overwrite").parquet(f"{path}/signatures")
         gating.signature_map(spark.read.parquet(f"{path}/signatures")).write.mode("overwrite").parquet(f"{path}/signature_map")
 

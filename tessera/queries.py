@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import phonetic
 from tessera.functions import text as T
-from tessera.operators import conversation, evidence, exemplar, expand, gating, graph, index, lexicon, ngram, planner, pragmatics, retrieve
+from tessera.operators import compaction, conversation, evidence, exemplar, expand, gating, graph, index, lexicon, ngram, planner, pragmatics, retrieve
 from tessera.operators.retrieve import Policy
 from tessera.plans import loop
 from tessera.plans.loop import Index
@@ -174,12 +174,12 @@ _SIZES = "(SELECT doc_id // 64 AS segment_id, sum(strlen(text))::BIGINT AS bytes
 
 @query(f"SELECT segment_id, bytes, ntile(8) OVER (ORDER BY segment_id) - 1 AS group_id FROM {_SIZES}")
 def compaction_even(spark, d):
-    return index.even_groups(source_sizes(spark, d), 8)
+    return compaction.even_groups(source_sizes(spark, d), 8)
 
 
 @query(f"WITH RECURSIVE s AS (SELECT *, row_number() OVER (ORDER BY segment_id) AS n FROM {_SIZES}), g AS (SELECT n, segment_id, bytes, bytes AS used, 0::BIGINT AS packed FROM s WHERE n = 1 UNION ALL SELECT s.n, s.segment_id, s.bytes, CASE WHEN g.used + s.bytes > 400000 THEN s.bytes ELSE g.used + s.bytes END, CASE WHEN g.used + s.bytes > 400000 THEN g.packed + 1 ELSE g.packed END FROM g JOIN s ON s.n = g.n + 1) SELECT segment_id, bytes, CASE WHEN max(packed) OVER () + 1 > 12 THEN ntile(12) OVER (ORDER BY segment_id) - 1 ELSE packed END AS group_id FROM g", raw=True)
 def compaction_greedy(spark, d):
-    return index.greedy_groups(source_sizes(spark, d), 400_000, 12)
+    return compaction.greedy_groups(source_sizes(spark, d), 400_000, 12)
 
 
 @query("SELECT count(*)::BIGINT AS n, min(source) AS first, max(source) AS last, sha256(string_agg(source, '' ORDER BY source)) AS list_hash FROM (SELECT DISTINCT source FROM documents)")
@@ -833,11 +833,33 @@ def bounded_search(spark, d):
 def compacted_search(spark, d):
     """Search over an index whose segments were packed into groups: the hits of plain search."""
     ix = index_of(spark, d)
-    groups = index.even_groups(ix.segments, 8)
-    postings = index.compact(ix.postings, groups, ["term", "segment_id", "row_ix"])
+    groups = compaction.even_groups(ix.segments, 8, size_col="row_count")
+    postings = compaction.compact(ix.postings, groups, ["term", "segment_id", "row_ix"])
     return retrieve.search(postings, ix.segments, bench_terms(spark, d, 128)).select(*HIT)
 
 
+CTES["few_groups"] = f"WITH RECURSIVE s AS (SELECT *, row_number() OVER (ORDER BY segment_id) AS n FROM (SELECT segment_id, sum(strlen(body))::BIGINT AS bytes FROM few_frames GROUP BY 1)), g AS (SELECT n, segment_id, bytes, bytes AS used, 0::BIGINT AS packed FROM s WHERE n = 1 UNION ALL SELECT s.n, s.segment_id, s.bytes, CASE WHEN g.used + s.bytes > 200000 THEN s.bytes ELSE g.used + s.bytes END, CASE WHEN g.used + s.bytes > 200000 THEN g.packed + 1 ELSE g.packed END FROM g JOIN s ON s.n = g.n + 1) SELECT segment_id, bytes, CASE WHEN max(packed) OVER () + 1 > 40 THEN ntile(40) OVER (ORDER BY segment_id) - 1 ELSE packed END AS group_id FROM g"
+
+
+def compacted_index(spark, d) -> tuple[DataFrame, Index]:
+    path, out = store.shared_folder(spark), store.shared_folder(spark)
+    few_index(spark, d).write(path, pack_segments=1)
+    report = compaction.compact_stored(spark, path, out, 200_000, 40)
+    return report, Index.read(spark, out)
+
+
+@query("SELECT group_id, min(segment_id) AS first_segment, max(segment_id) AS last_segment, count(*)::BIGINT AS n_segments, sum(bytes)::BIGINT AS bytes, coalesce(sum(n), 0)::BIGINT AS n_postings FROM few_groups LEFT JOIN (SELECT segment_id, count(*) AS n FROM few_postings GROUP BY 1) USING (segment_id) GROUP BY 1")
+def compaction_report(spark, d):
+    """A stored index of a folder a segment, written anew in folders of up to 200,000 bytes of text."""
+    return compacted_index(spark, d)[0]
+
+
+@query("SELECT query_id, segment_id, row_ix, doc_id, score, rank FROM few_hits")
+def compacted_stored_search(spark, d):
+    """Gated search over the index that compaction wrote: the hits of plain search."""
+    return loop.gated(compacted_index(spark, d)[1], bench_terms(spark, d, 128)).select(*HIT)
+
+
 CTES["hashed"] = "SELECT ('0x' || substr(sha256('page:' || doc_id::VARCHAR), 1, 15))::BIGINT AS doc_id, len(starts) AS n_rows FROM cut WHERE doc_id IS NOT NULL"
 CTES["dense"] = "SELECT doc_id, row_number() OVER (ORDER BY doc_id) - 1 AS doc_number FROM (SELECT DISTINCT ('0x' || substr(sha256('page:' || doc_id::VARCHAR), 1, 15))::BIGINT AS doc_id FROM documents WHERE doc_id IS NOT NULL)"
 

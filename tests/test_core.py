@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 from tessera.functions import phonetic
 from tessera.functions import text as T
-from tessera.operators import evidence, expand, gating, graph, index, lexicon, lineage, ngram, planner, pragmatics, retrieve, solver
+from tessera.operators import compaction, evidence, expand, gating, graph, index, lexicon, lineage, ngram, planner, pragmatics, retrieve, solver
 from tessera.operators.retrieve import Policy
 from tessera.plans.loop import Index, answer, search
 from tessera.sources import store, wiki
@@ -76,9 +76,9 @@ def test_compaction_and_files_keep_scores(spark, tmp_path):
     want = sorted(map(tuple, search(ix, q).collect()))
     ix.write(str(tmp_path / "ix"))
     assert sorted(map(tuple, search(Index.read(spark, str(tmp_path / "ix")), q).select(search(ix, q).columns).collect())) == want
-    groups = index.even_groups(ix.segments, 3)
+    groups = compaction.even_groups(ix.segments, 3, size_col="row_count")
     assert [r["n"] for r in groups.groupBy("group_id").agg(F.count("*").alias("n")).orderBy("group_id").collect()] == [2, 1, 1]
-    assert index.compact(ix.rows, groups).count() == 4
+    assert compaction.compact(ix.rows, groups).count() == 4
 
 
 def test_reduce_rejects_conflicts(spark):

@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 from tessera.functions import text as T
-from tessera.operators import gating, index, retrieve
+from tessera.operators import compaction, gating, index, retrieve
 from tessera.operators.retrieve import Policy
 from tessera.plans import loop
 from tessera.plans.loop import Index
@@ -123,3 +123,48 @@ def test_bounds_change_no_result(spark, policy):
     if policy == Policy(max_hits=2):
         matching = retrieve.scores(ix.postings, ix.segments, terms).select("query_id", "segment_id").distinct().count()
         assert pairs.count() < 0.7 * matching
+
+
+def next_fit(sizes, target, most):
+    out, group, used = [], -1, None
+    for segment, size in sizes:
+        if used is None or used + size > target:
+            group, used = group + 1, 0
+        used += size
+        out.append((segment, size, group))
+    if group + 1 > most:
+        small, more = divmod(len(sizes), most)
+        ends = [k for g in range(most) for k in [g] * (small + (g < more))]
+        out = [(s, b, g) for (s, b), g in zip(sizes, ends)]
+    return out
+
+
+@pytest.mark.parametrize(("target", "most"), [(1, 500), (20, 500), (50, 500), (50, 4), (10**6, 3)])
+def test_groups_are_next_fit(spark, target, most):
+    rng = random.Random(target)
+    sizes = [(s * 7 - 300 + (s > 90) * 10**12, rng.choice([0, 1, 5, 9, 30, 70])) for s in range(120)]
+    df = spark.createDataFrame(sizes, "segment_id long, bytes long").repartition(3)
+    got = sorted((r["segment_id"], r["bytes"], r["group_id"]) for r in compaction.greedy_groups(df, target, most).collect())
+    assert got == next_fit(sizes, target, most)
+
+
+def test_even_groups_of_few(spark):
+    df = spark.createDataFrame([(s, 1) for s in range(5)], "segment_id long, bytes long")
+    for groups, want in ((1, [0] * 5), (2, [0, 0, 0, 1, 1]), (5, [0, 1, 2, 3, 4]), (9, [0, 1, 2, 3, 4])):
+        assert [r["group_id"] for r in compaction.even_groups(df, groups).orderBy("segment_id").collect()] == want
+    assert compaction.greedy_groups(df.where("false"), 10).count() == 0
+
+
+def test_compaction_of_a_stored_index(spark, tmp_path):
+    """New files answer as the old ones do, which stay; a folder that is not whole has no report."""
+    rng = random.Random(12)
+    Index.build(docs(spark, [words(rng, 20, 100) for _ in range(40)]), seg_docs=2).write(str(tmp_path / "old"), pack_segments=1)
+    old = sorted(str(p.relative_to(tmp_path)) for p in (tmp_path / "old").rglob("*.parquet"))
+    report = compaction.compact_stored(spark, str(tmp_path / "old"), str(tmp_path / "new"), 500, 50).collect()
+    assert sorted(str(p.relative_to(tmp_path)) for p in (tmp_path / "old").rglob("*.parquet")) == old
+    before, after = Index.read(spark, str(tmp_path / "old")), Index.read(spark, str(tmp_path / "new"))
+    assert sum(r["n_segments"] for r in report) == 20 and sum(r["n_postings"] for r in report) == before.postings.count()
+    assert {r["pack"] for r in after.postings.select("pack").distinct().collect()} == {r["group_id"] for r in report} and 1 < len(report) < 20
+    terms = retrieve.query_terms(spark.createDataFrame([(1, "w1 w2"), (2, "w30")], "query_id long, text string"))
+    for find in (loop.gated, lambda ix, t: loop.bounded(ix, t)[0]):
+        assert sorted(map(tuple, find(after, terms).collect())) == sorted(map(tuple, find(before, terms).collect()))
