@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.operators import wording
 from tessera.operators.pragmatics import flag
 
 MAX_ITEMS, STRENGTH = 64, 500
@@ -139,9 +140,10 @@ def clarifying_question(rows: DataFrame) -> DataFrame:
 SECTIONS = {"summary": "In short", "step": "Steps", "bullet": "Details", "caveat": "Please note"}
 
 
-def rendered(plan: DataFrame, texts: DataFrame, directives: DataFrame, questions: DataFrame | None = None, variants: DataFrame | None = None) -> DataFrame:
+def rendered(plan: DataFrame, texts: DataFrame, directives: DataFrame, questions: DataFrame | None = None, chosen: DataFrame | None = None) -> DataFrame:
     """(id, answer): plan items as text by section; texts is (id, ref, text), directives has tone, style
-    and format_flags. ``variants`` (id, kind) picks the second wording of the kinds it names."""
+    and format_flags. ``chosen`` (id, site, choice) picks the phrases that are used (``wording.choices``); what is said
+    stays the same."""
     kinds = F.create_map(*[F.lit(x) for k, v in SECTIONS.items() for x in (k, v)])
     order = F.array(*map(F.lit, SECTIONS))
     rows = plan.join(texts, ["id", "ref"], "left").join(directives.select("id", "tone", "style", "format_flags"), "id")
@@ -154,14 +156,14 @@ def rendered(plan: DataFrame, texts: DataFrame, directives: DataFrame, questions
     rows = rows.withColumn("line", F.concat(lead, F.coalesce("text", F.lit("(no text)"))))
     body = rows.groupBy("id", "section", "kind").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("item_ix", "line"))), lambda x: x["line"]), "\n").alias("body"))
     heading = kinds[F.col("kind")]
-    if variants is not None:
-        body = body.join(variants.withColumn("_second", F.lit(True)), ["id", "kind"], "left")
-        heading = F.when(F.coalesce("_second", F.lit(False)), F.concat(heading, F.lit(", briefly"))).otherwise(heading)
+    words = wording.phrases(directives, chosen)
+    body = body.join(words.select("id", "transition", "closer"), "id", "left")
+    heading = F.when(F.col("kind") == "bullet", F.col("transition")).when(F.col("kind") == "caveat", F.col("closer")).otherwise(heading)
     out = body.withColumn("part", F.concat(heading, F.lit(":\n"), F.col("body"))).groupBy("id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("section", "part"))), lambda x: x["part"]), "\n\n").alias("answer"))
-    preface = directives.select("id", F.when(F.col("tone") == "Supportive", "That sounds hard; here is what I found.").when(F.col("tone") == "Cautious", "Please treat this with care.").alias("preface"))
-    out = directives.select("id").join(out, "id", "left").join(preface, "id", "left")
+    opened = directives.select("id", "max_preface").join(words.select("id", "opener", "other"), "id")
+    out = opened.select("id", F.when(F.col("max_preface") > 0, F.col("opener")).alias("preface"), "other").join(out, "id", "left")
     if questions is not None:
-        out = out.join(questions, "id", "left")
+        out = out.join(questions, "id", "left").withColumn("question", F.concat("other", F.lit(" "), "question"))
     else:
         out = out.withColumn("question", F.lit(None).cast("string"))
     return out.select("id", F.concat_ws("\n\n", "preface", "answer", "question").alias("answer"))

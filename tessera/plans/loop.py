@@ -105,12 +105,13 @@ def search(ix: Index, queries: DataFrame, policy: retrieve.Policy = retrieve.Pol
     return retrieve.search(ix.postings, ix.segments, terms, policy)
 
 
-def answer(ix: Index, queries: DataFrame, policy: retrieve.Policy = retrieve.Policy(), excerpt: int = 120, **more) -> DataFrame:
-    """(id, answer) of (query_id, text): search, bundle, features, plan, text."""
+def answer(ix: Index, queries: DataFrame, policy: retrieve.Policy = retrieve.Policy(), excerpt: int = 120, chosen: DataFrame | None = None, **more) -> DataFrame:
+    """(id, answer) of (query_id, text): search, bundle, features, plan, text; ``chosen`` has the phrases to use
+    (``wording.choices``)."""
     items = evidence.bundle(search(ix, queries, policy, **more))
     counts = items.groupBy("query_id").agg(F.count(F.lit(1)).alias("n_items"), F.count_distinct("segment_id").alias("n_segments"))
     zero = lambda c: F.coalesce(c, F.lit(0)).alias(c)
     asked = queries.join(counts, "query_id", "left").select(F.col("query_id").alias("id"), "text", zero("n_items"), zero("n_segments"))
     told = pragmatics.directives(pragmatics.features(asked))
     texts = items.join(ix.rows, ["segment_id", "row_ix"]).select(F.col("query_id").alias("id"), F.col("item_ix").alias("ref"), F.substring("body", 1, excerpt).alias("text"))
-    return planner.rendered(planner.guided_plan(told), texts, told, planner.clarifying_question(told))
+    return planner.rendered(planner.guided_plan(told), texts, told, planner.clarifying_question(told), chosen)

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import phonetic
 from tessera.functions import text as T
-from tessera.operators import compaction, conversation, evidence, exemplar, expand, gating, graph, index, lexicon, ngram, planner, pragmatics, retrieve
+from tessera.operators import compaction, conversation, evidence, exemplar, expand, gating, graph, index, lexicon, ngram, planner, pragmatics, retrieve, wording
 from tessera.operators.retrieve import Policy
 from tessera.plans import loop
 from tessera.plans.loop import Index
@@ -655,6 +655,37 @@ def answer_text(spark, d):
     return loop.answer(index_of(spark, d), asked)
 
 
+CTES["replied"] = "SELECT conv_id, turn, text, (SELECT arg_max(d.tone, d.turn) FROM directed d WHERE d.conv_id = m.conv_id AND d.turn < m.turn) AS tone FROM conversations m WHERE role = 'assistant' AND text IS NOT NULL"
+_K = f"CASE WHEN length(text) < {wording.BRIEF} THEN '1' ELSE '0' END"
+CTES["worded"] = f"SELECT conv_id, turn, place, token FROM (SELECT conv_id, turn, unnest(range(4)) AS place, unnest(['opener:' || tone || ':' || {_K}, 'transition:details:' || {_K}, CASE WHEN tone = 'Cautious' THEN 'closer:caveat:' || {_K} END, CASE WHEN contains(text, '?') THEN 'other:question:' || {_K} END]) AS token FROM replied WHERE tone IS NOT NULL)  WHERE token IS NOT NULL"
+CTES["backed"] = "SELECT conv_id, turn, place, token, list(token) OVER (PARTITION BY conv_id ORDER BY turn, place ROWS BETWEEN 3 PRECEDING AND 1 PRECEDING) AS back FROM worded"
+CTES["phrased"] = "SELECT array_to_string(back[len(back) - k + 1:], ' ') AS context, k::BIGINT AS ctx_len, token AS next, count(*)::BIGINT AS cnt FROM (SELECT token, coalesce(back, []) AS back FROM backed), (SELECT unnest(range(4)) AS k) WHERE k <= len(back) GROUP BY 1, 2, 3"
+CTES["pending"] = "SELECT conv_id AS id, tone, coalesce(back, []) AS back FROM (SELECT conv_id, arg_max(tone, turn) AS tone FROM directed GROUP BY 1) LEFT JOIN (SELECT conv_id, list(token ORDER BY turn, place)[-3:] AS back FROM worded GROUP BY 1) USING (conv_id)"
+
+
+def replied(spark, d) -> DataFrame:
+    """(stream, turn, tone, text): the conversations' replies, each in the tone that the last message before it asks for."""
+    rows = table(spark, d, "conversations")
+    told = pragmatics.directives(pragmatics.features(message_table(spark, d))).select("conv_id", "turn", "tone")
+    before = F.last("tone", ignorenulls=True).over(Window.partitionBy("conv_id").orderBy("turn").rowsBetween(Window.unboundedPreceding, -1))
+    return rows.join(told, ["conv_id", "turn"], "left").withColumn("tone", before).where("role = 'assistant' and tone is not null").select(F.col("conv_id").alias("stream"), "turn", "tone", "text")
+
+
+def pending(spark, d, tokens: DataFrame) -> DataFrame:
+    """(id, tone, back): each conversation's next answer: the tone its last message asks for, and its last tokens."""
+    told = pragmatics.directives(pragmatics.features(message_table(spark, d))).groupBy(F.col("conv_id").alias("id")).agg(F.max_by("tone", "turn").alias("tone"))
+    listed = tokens.groupBy(F.col("stream").alias("id")).agg(F.array_sort(F.collect_list(F.struct("turn", "place", "token"))).alias("all"))
+    last = F.transform(F.slice("all", F.greatest(F.size("all") - wording.ORDER + 2, F.lit(1)), wording.ORDER - 1), lambda x: x["token"])
+    return told.join(listed.select("id", last.alias("back")), "id", "left").withColumn("back", F.coalesce("back", F.array().cast("array<string>")))
+
+
+@query("SELECT id, site, next AS choice, cnt, ctx_len FROM (SELECT *, row_number() OVER (PARTITION BY id, site ORDER BY cnt DESC, next) AS n FROM (SELECT p.id, p.tone, g.next, g.cnt, g.ctx_len, split_part(g.next, ':', 1) AS site, max(g.ctx_len) OVER (PARTITION BY p.id) AS most FROM pending p JOIN phrased g ON g.ctx_len <= len(p.back) AND g.context = array_to_string(p.back[len(p.back) - g.ctx_len + 1:], ' ')) WHERE ctx_len = most AND (site <> 'opener' OR split_part(next, ':', 2) = tone)) WHERE n = 1")
+def wording_choices(spark, d):
+    """The phrases of each conversation's next answer, by a model of the phrases that its replies stand for."""
+    tokens = wording.observed(replied(spark, d))
+    return wording.choices(wording.trained(tokens), pending(spark, d, tokens))
+
+
 #: Codes of distinct words: a word, what is left of it, and its sounds so far, until nothing is left.
 _SOUND, _SIZE = phonetic.rules_sql("word", "pos")
 CTES["spelled"] = f"SELECT DISTINCT term, regexp_replace(translate(substr(regexp_replace(term, '[^A-Za-z]', '', 'g'), 1, {phonetic.MAX_LETTERS}), '{T.UPPER}', '{T.LOWER}'), '^x', 's') AS word FROM (SELECT unnest({terms_sql('text')}) AS term FROM documents UNION SELECT unnest({terms_sql('body')}) FROM bodies UNION SELECT unnest({terms_sql('text')}) FROM benchmark)"
