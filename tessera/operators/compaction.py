@@ -11,19 +11,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tessera.sources.store import shared_folder
+from tessera.sources.store import kept
 
 #: Ranges of ids whose sums are made apart.
 RANGES = 1 << 16
 
 
-def kept(df: DataFrame) -> DataFrame:
-    """df cut from its lineage: written to a shared folder, and read."""
-    path = shared_folder(df.sparkSession)
-    df.write.parquet(path)
-    return df.sparkSession.read.parquet(path)
-
-
 def running(sizes: DataFrame, order_col: str, size_col: str) -> DataFrame:
     """(order_col, size_col, at, before, n): each segment's place (0 ..), the bytes before it, and how many there are."""
     own = sizes.select(F.col(order_col).cast("bigint").alias(order_col), F.col(size_col).cast("bigint").alias(size_col))

@@ -7,7 +7,8 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.operators import evidence, expand, gating, index, planner, pragmatics, retrieve
+from tessera.operators import evidence, expand, gating, index, lineage, planner, pragmatics, retrieve
+from tessera.sources import store
 
 
 #: Segments whose postings share a folder; folders that one search lists at most.
@@ -88,6 +89,36 @@ def bounded(ix: Index, terms: DataFrame, policy: retrieve.Policy = retrieve.Poli
     return retrieve.bounded_search(ix.postings_of, ix.peaks, ix.segments, terms, policy)
 
 
+def store_index(ix: Index, docs: DataFrame, to: store.Store, log_path: str) -> dict[str, str]:
+    """Puts an index's tables and the documents into a store and appends what was made of what to the log; returns the
+    artifact ids (``kind:content id``) by kind. Tables that are there already are not written, so a run can be repeated."""
+    spark, ids = docs.sparkSession, {}
+
+    def put(kind: str, table: DataFrame, *of: str) -> DataFrame:
+        key = to.put(kind, table)
+        ids[kind] = f"{kind}:{key}"
+        if of:
+            lineage.append(log_path, lineage.steps(spark, [(kind, [ids[k] for k in of], [ids[kind]])]))
+        return to.get(kind, key)
+
+    put("documents", docs)
+    put("rows", ix.rows, "documents")
+    postings = put("postings", ix.postings, "rows")
+    put("segments", ix.segments, "rows")
+    peaks = put("peaks", gating.maxima(postings), "postings")
+    put("signatures", gating.signatures(peaks), "peaks")
+    return ids
+
+
+def sync(source: store.Store, target: store.Store, roots: list[str], log_path: str) -> DataFrame:
+    """(artifact_id, depth, copied): the closure of some artifacts in a target store, each checked before and after it is
+    copied; those that it has are left. The closure names tables, a handful each step, which the driver goes through."""
+    spark = source.spark
+    wanted = lineage.closure(spark.createDataFrame([(r,) for r in roots], "artifact_id string"), spark.read.parquet(log_path))
+    told = [(r["artifact_id"], r["depth"], source.copy(*r["artifact_id"].split(":", 1), target)) for r in wanted.orderBy("depth", "artifact_id").toLocalIterator()]
+    return spark.createDataFrame(told, "artifact_id string, depth long, copied boolean")
+
+
 def search(ix: Index, queries: DataFrame, policy: retrieve.Policy = retrieve.Policy(), lemmas: DataFrame | None = None, edges: DataFrame | None = None, anchors: DataFrame | None = None, budget: expand.Budget = expand.Budget(), phonetic: bool = False) -> DataFrame:
     """Hits of (query_id, text), expanded by a lexicon and a graph if there are any, with anchors merged;
     ``phonetic`` asks for codes too, of an index that has them."""

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -15,6 +16,7 @@ from tessera.operators.retrieve import Policy
 from tessera.plans import loop
 from tessera.plans.loop import Index
 from tessera.sources import store, wiki
+from tessera.streaming import conversations
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -742,12 +744,39 @@ def page_entities(spark, d):
     return table(spark, d, "pages").select("page_id", F.sha2(wiki.decoded(F.concat("html", F.lit(_ODD))), 256).alias("body_sha256"))
 
 
-@query("WITH RECURSIVE log(source, target) AS (VALUES ('documents', 'frames'), ('frames', 'postings'), ('frames', 'segments'), ('segments', 'hits'), ('postings', 'hits'), ('benchmark', 'hits')), back AS (SELECT 'hits' AS artifact_id, 0 AS depth UNION SELECT source, depth + 1 FROM back JOIN log ON target = artifact_id WHERE depth < 3) SELECT DISTINCT artifact_id FROM back", raw=True)
+_MADE = "SELECT * FROM (SELECT 'documents' AS kind, count(*)::BIGINT AS n_rows, 4::BIGINT AS depth FROM documents UNION ALL SELECT 'rows', count(*), 3 FROM frames UNION ALL SELECT 'postings', count(*), 2 FROM postings UNION ALL SELECT 'peaks', count(*), 1 FROM stats UNION ALL SELECT 'signatures', count(*), 0 FROM segs)"
+
+
+def stored_index(spark, d) -> tuple[store.Store, str, dict[str, str]]:
+    to, log_path = store.Store(spark, store.shared_folder(spark)), store.shared_folder(spark)
+    return to, log_path, loop.store_index(index_of(spark, d), docs_of(spark, d), to, log_path)
+
+
+def sizes_of(held: store.Store, rows: list) -> DataFrame:
+    """(kind, n_rows) of stored tables (artifact ids)."""
+    each = [held.get(*r.split(":", 1)).agg(F.lit(r.split(":")[0]).alias("kind"), F.count(F.lit(1)).alias("n_rows")) for r in rows]
+    return reduce(DataFrame.unionByName, each)
+
+
+@query(_MADE)
 def lineage(spark, d):
+    """From the log of an index that was stored: what the signatures were made of, how many steps back, with each table's rows."""
     from tessera.operators import lineage as log
 
-    rows = log.steps(spark, [("ingest", ["documents"], ["frames"]), ("index", ["frames"], ["postings", "segments"]), ("search", ["segments", "postings", "benchmark"], ["hits"])])
-    return log.closure(spark.createDataFrame([("hits",)], "artifact_id string"), rows, 3)
+    held, log_path, ids = stored_index(spark, d)
+    back = log.closure(spark.createDataFrame([(ids["signatures"],)], "artifact_id string"), spark.read.parquet(log_path))
+    return back.select(F.substring_index("artifact_id", ":", 1).alias("kind"), "depth").join(sizes_of(held, list(ids.values())), "kind").select("kind", "n_rows", "depth")
+
+
+@query(f"SELECT kind, n_rows, depth, kind <> 'documents' AS copied FROM ({_MADE}) WHERE kind NOT IN ('peaks', 'signatures')".replace("depth,", "depth - 2 AS depth,"))
+def copied_artifacts(spark, d):
+    """The closure of the postings copied to a second store, which has the documents already."""
+    held, log_path, ids = stored_index(spark, d)
+    other = store.Store(spark, store.shared_folder(spark))
+    other.put("documents", docs_of(spark, d))
+    out = loop.sync(held, other, [ids["postings"]], log_path)
+    sizes = sizes_of(other, [ids[k] for k in ("documents", "rows", "postings")])
+    return out.select(F.substring_index("artifact_id", ":", 1).alias("kind"), "depth", "copied").join(sizes, "kind").select("kind", "n_rows", "depth", "copied")
 
 
 # ---- gates, compaction and numbering ----------------------------------------------------------
@@ -990,6 +1019,21 @@ def conversation_packs(spark, d):
     return conversation.packs(rows, sticky, max_messages=MESSAGES, message_chars=MESSAGE_CHARS, total_chars=TOTAL_CHARS)
 
 
+@query("SELECT m.*, 'snapshot-' || (conv_id % 3)::VARCHAR AS snapshot_id, n_seen FROM (" + ORACLE["message_window"] + ") m JOIN (SELECT conv_id, count(*)::BIGINT AS n_seen FROM conversations WHERE conv_id IS NOT NULL AND turn IS NOT NULL GROUP BY 1) USING (conv_id)", raw=True)
+def streamed_packs(spark, d):
+    """Conversations that arrive as a stream of files and whose query is stopped and started again: packs as of one batch.
+    Only a conversation's first message tells its snapshot, which then stays."""
+    rows = table(spark, d, "conversations").where("conv_id is not null and turn is not null")
+    first = F.row_number().over(Window.partitionBy("conv_id").orderBy("turn")) == 1
+    told = rows.select("conv_id", "turn", "role", "text", F.when(first, F.concat(F.lit("snapshot-"), (F.col("conv_id") % 3).cast("string"))).alias("snapshot_id"))
+    told = store.kept(told)
+    source, target, checkpoint = (store.shared_folder(spark) for _ in range(3))
+    for early in (True, False):
+        told.where((F.col("turn") < 3) == early).repartition(2, "turn").write.mode("append").parquet(source)
+        conversations.follow(spark, source, target, checkpoint, files=1, max_messages=MESSAGES, message_chars=MESSAGE_CHARS, total_chars=TOTAL_CHARS).awaitTermination()
+    return conversations.latest(spark, target)
+
+
 @query("SELECT artifact_id FROM (SELECT DISTINCT term AS artifact_id FROM asked) WHERE artifact_id NOT IN (SELECT term FROM stats)")
 def missing_artifacts(spark, d):
     """Terms asked for that the index does not hold, as what a replica lacks."""

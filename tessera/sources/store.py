@@ -40,6 +40,13 @@ def shared_folder(spark: SparkSession) -> str:
     return f"{root.rstrip('/')}/{uuid.uuid4().hex}"
 
 
+def kept(df: DataFrame) -> DataFrame:
+    """df cut from its lineage: written to a shared folder, and read."""
+    path = shared_folder(df.sparkSession)
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
 class Store:
     """Tables under root/kind/aa/bb/<id>; putting what is there already does nothing."""
 
@@ -63,6 +70,26 @@ class Store:
     def get(self, kind: str, key: str) -> DataFrame:
         return self.spark.read.parquet(self.path(kind, key))
 
+    def copy(self, kind: str, key: str, to: Store) -> bool:
+        """Copies a table to another store, unless it is there; false if it was. What is read and what was written
+        must have the content that the id names; a copy that did not end has no mark, and is made again."""
+        if to.has(kind, key):
+            return False
+        rows = self.get(kind, key)
+        if content_id(rows) != key:
+            raise ValueError(f"{kind} {key} is not what its id names")
+        path, part = to.path(kind, key), f"{to.path(kind, key)}.part"
+        rows.write.mode("overwrite").parquet(part)
+        if content_id(self.spark.read.parquet(part)) != key:
+            raise ValueError(f"{kind} {key} was not copied whole")
+        jvm = self.spark.sparkContext._jvm
+        old, new = jvm.org.apache.hadoop.fs.Path(part), jvm.org.apache.hadoop.fs.Path(path)
+        fs = new.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+        fs.delete(new, True)  # what a failed write left
+        if not fs.rename(old, new):
+            raise OSError(f"{part} could not be renamed")
+        return True
+
 
 @dataclass(frozen=True)
 class Workspace:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
 
-from tessera.operators import index
+from tessera.operators import gating, index
 
 
 #: Segments that a batch can have.
@@ -18,7 +18,7 @@ def follow(spark: SparkSession, source: str, schema: StructType, target: str, ch
     """Index the Parquet files that appear in a folder; a batch that is redone replaces what it wrote.
 
     A batch numbers its documents and has segments of its own, whose ids begin with the batch's number, so
-    (segment, row) is unique over batches; ``target`` can be read as an ``Index``.
+    (segment, row) is unique over batches; ``target`` can be read as an ``Index``, of which a batch is a pack.
     """
     docs = spark.readStream.schema(schema).parquet(source)
 
@@ -27,8 +27,14 @@ def follow(spark: SparkSession, source: str, schema: StructType, target: str, ch
         rows = index.frames(numbered, number_col="doc_number").withColumn("segment_id", F.lit(number * BATCH_SEGMENTS) + F.col("segment_id"))
         rows.write.mode("overwrite").parquet(f"{target}/rows/batch={number}")
         written = batch.sparkSession.read.parquet(f"{target}/rows/batch={number}")
-        index.row_terms(written).write.mode("overwrite").parquet(f"{target}/postings/batch={number}")
-        index.segments(written).write.mode("overwrite").parquet(f"{target}/segments/batch={number}")
+        index.row_terms(written).write.mode("overwrite").parquet(f"{target}/postings/pack={number}")
+        gating.maxima(batch.sparkSession.read.parquet(f"{target}/postings/pack={number}")).write.mode("overwrite").parquet(f"{target}/peaks/batch={number}")
+        peaks = batch.sparkSession.read.parquet(f"{target}/peaks/batch={number}")
+        told = index.segments(written).withColumn("pack", F.lit(number).cast("bigint")).join(gating.versions(peaks), "segment_id", "left")
+        told.write.mode("overwrite").parquet(f"{target}/segments/batch={number}")
+        gating.signatures(peaks).write.mode("overwrite").parquet(f"{target}/signatures/batch={number}")
+        signs = batch.sparkSession.read.parquet(f"{target}/signatures/batch={number}")
+        gating.signature_map(signs).write.mode("overwrite").parquet(f"{target}/signature_map/batch={number}")
 
     return docs.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 

@@ -278,6 +278,10 @@ def test_lineage(spark, tmp_path):
     lineage.append(str(tmp_path / "log"), log)
     back = spark.read.parquet(str(tmp_path / "log"))
     assert {r[0] for r in lineage.closure(spark.createDataFrame([("z",)], "artifact_id string"), back, 2).collect()} == {"x", "y", "z"}
+    loops = lineage.steps(spark, [("a", ["x"], ["y"]), ("b", ["y"], ["x", "z"]), ("c", ["q"], ["r"])])
+    found = lineage.closure(spark.createDataFrame([("z",)], "artifact_id string"), loops)
+    assert {tuple(r) for r in found.collect()} == {("z", 0), ("y", 1), ("x", 2)}
+    assert {tuple(r) for r in lineage.closure(spark.createDataFrame([("z",)], "artifact_id string"), loops, 1).collect()} == {("z", 0), ("y", 1)}
 
 
 def test_streaming_ingest(spark, tmp_path):
