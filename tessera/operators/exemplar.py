@@ -18,8 +18,13 @@ FLAG_WORTH = 10
 def described(messages: DataFrame) -> DataFrame:
     """Each conversation's last user message with mode, style, tone and the flags that exemplars keep."""
     last = messages.join(last_user_turns(messages), "conv_id").where((F.col("role") == "user") & (F.col("turn") == F.col("query_turn")))
+    return keyed(directives(features(last)))
+
+
+def keyed(told: DataFrame) -> DataFrame:
+    """What exemplars are matched by, of rows of ``pragmatics.directives``."""
     bits = sum(1 << FLAGS.index(f) for f in MATCHED_FLAGS)
-    return directives(features(last)).select("conv_id", "turn", "mode", "style", "tone", F.col("flags").bitwiseAND(F.lit(bits)).alias("flags"))
+    return told.select("conv_id", "turn", "mode", "style", "tone", F.col("flags").bitwiseAND(F.lit(bits)).alias("flags"))
 
 
 def mined(messages: DataFrame) -> DataFrame:

@@ -93,6 +93,18 @@ def segments(rows: DataFrame) -> DataFrame:
     return rows.groupBy("segment_id").agg(F.count(F.lit(1)).alias("row_count"), F.count_distinct("doc_id").alias("doc_count"))
 
 
+def mixed_sources(rows: DataFrame) -> DataFrame:
+    """(segment_id, n_sources) of the segments whose rows have more than one source."""
+    return rows.groupBy("segment_id").agg(F.count_distinct("source_id").alias("n_sources")).where("n_sources > 1")
+
+
+def of_one_source(rows: DataFrame) -> DataFrame:
+    """``rows`` as they are; the run fails at a row whose segment has rows of another source."""
+    by = Window.partitionBy("segment_id")
+    bad = F.raise_error(F.concat(F.lit("rows of different sources in segment "), F.col("segment_id").cast("string"))).cast("boolean")
+    return rows.withColumns({"_low": F.min("source_id").over(by), "_high": F.max("source_id").over(by)}).where(F.when(F.col("_low") < F.col("_high"), bad).otherwise(F.lit(True))).drop("_low", "_high")
+
+
 def snapshot(rows: DataFrame, postings: DataFrame) -> DataFrame:
     """One row a segment: rows, terms, postings, and a hash of its sorted dictionary."""
     stats = term_stats(postings).groupBy("segment_id").agg(F.count(F.lit(1)).alias("term_count"), F.sum("df").alias("posting_count"), F.sum("tf_sum").alias("token_count"))

@@ -40,6 +40,11 @@ def tables(pages: DataFrame) -> dict[str, DataFrame]:
     return {"lemmas": lemmas, "senses": senses, "relations": relations, "pronunciations": pronunciations}
 
 
+def sense_id(lemma, rank):
+    """The id of a lemma's sense."""
+    return T.numeric_id(F.concat(F.lit("sense:"), T.col(lemma), F.lit("#"), T.col(rank).cast("string")))
+
+
 def duplicates(rows: DataFrame, key: str = "lemma") -> DataFrame:
     """Keys that stand more than once in a table, which a segment build is to reject."""
     return rows.groupBy(key).agg(F.count(F.lit(1)).alias("n_rows")).where("n_rows > 1")

@@ -21,6 +21,11 @@ def context_text(context: Column) -> Column:
     return F.array_join(context, " ")
 
 
+def state_id(context: Column) -> Column:
+    """The id of a model's state, by its context."""
+    return F.sha2(F.concat(F.lit("state "), context), 256)
+
+
 def counts(history: DataFrame) -> DataFrame:
     """(context, ctx_len, next, cnt) over all context lengths; the context is its tokens joined by blanks."""
     n = F.size("back")

@@ -7,12 +7,14 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.operators import evidence, expand, gating, index, lineage, planner, pragmatics, retrieve
+from tessera.operators import evidence, exemplar, expand, gating, index, lineage, planner, pragmatics, retrieve
 from tessera.sources import store
 
 
 #: Segments whose postings share a folder; folders that one search lists at most.
 PACK_SEGMENTS, MAX_PACKS = 4096, 10_000
+#: Items of evidence that an answer rests on.
+MAX_ITEMS = 16
 #: Documents of a table that counts as small.
 SPREAD_DOCS = 100_000
 
@@ -136,13 +138,17 @@ def search(ix: Index, queries: DataFrame, policy: retrieve.Policy = retrieve.Pol
     return retrieve.search(ix.postings, ix.segments, terms, policy)
 
 
-def answer(ix: Index, queries: DataFrame, policy: retrieve.Policy = retrieve.Policy(), excerpt: int = 120, chosen: DataFrame | None = None, **more) -> DataFrame:
+def answer(ix: Index, queries: DataFrame, policy: retrieve.Policy = retrieve.Policy(), excerpt: int = 120, chosen: DataFrame | None = None, exemplars: DataFrame | None = None, **more) -> DataFrame:
     """(id, answer) of (query_id, text): search, bundle, features, plan, text; ``chosen`` has the phrases to use
-    (``wording.choices``)."""
-    items = evidence.bundle(search(ix, queries, policy, **more))
+    (``wording.choices``), ``exemplars`` (``exemplar.mined``) the kinds of answers whose style the plan takes on. A
+    question ends the text where clarifying is called for, as far as the directives allow one."""
+    items = evidence.bundle(search(ix, queries, policy, **more), MAX_ITEMS)
     counts = items.groupBy("query_id").agg(F.count(F.lit(1)).alias("n_items"), F.count_distinct("segment_id").alias("n_segments"))
     zero = lambda c: F.coalesce(c, F.lit(0)).alias(c)
     asked = queries.join(counts, "query_id", "left").select(F.col("query_id").alias("id"), "text", zero("n_items"), zero("n_segments"))
     told = pragmatics.directives(pragmatics.features(asked))
     texts = items.join(ix.rows, ["segment_id", "row_ix"]).select(F.col("query_id").alias("id"), F.col("item_ix").alias("ref"), F.substring("body", 1, excerpt).alias("text"))
-    return planner.rendered(planner.guided_plan(told), texts, told, planner.clarifying_question(told), chosen)
+    plan = planner.guided_plan(told)
+    if exemplars is not None:
+        plan = exemplar.applied(plan, exemplar.best_match(exemplar.keyed(told.withColumns({"conv_id": F.col("id"), "turn": F.lit(0)})), exemplars))
+    return planner.rendered(plan, texts, told, planner.clarifying_question(told), chosen)

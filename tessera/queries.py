@@ -649,14 +649,6 @@ def message_window(spark, d):
     return conversation.message_window(table(spark, d, "conversations"), MESSAGES, MESSAGE_CHARS, TOTAL_CHARS)
 
 
-@query()
-def answer_text(spark, d):
-    from tessera.plans import loop
-
-    asked = table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), "text")
-    return loop.answer(index_of(spark, d), asked)
-
-
 CTES["replied"] = "SELECT conv_id, turn, text, (SELECT arg_max(d.tone, d.turn) FROM directed d WHERE d.conv_id = m.conv_id AND d.turn < m.turn) AS tone FROM conversations m WHERE role = 'assistant' AND text IS NOT NULL"
 _K = f"CASE WHEN length(text) < {wording.BRIEF} THEN '1' ELSE '0' END"
 CTES["worded"] = f"SELECT conv_id, turn, place, token FROM (SELECT conv_id, turn, unnest(range(4)) AS place, unnest(['opener:' || tone || ':' || {_K}, 'transition:details:' || {_K}, CASE WHEN tone = 'Cautious' THEN 'closer:caveat:' || {_K} END, CASE WHEN contains(text, '?') THEN 'other:question:' || {_K} END]) AS token FROM replied WHERE tone IS NOT NULL)  WHERE token IS NOT NULL"
@@ -1088,6 +1080,32 @@ def clarifying_questions(spark, d):
     return planner.clarifying_question(planned(spark, d))
 
 
+_ON = "(d.format_flags & {}) <> 0"
+_SHOWN = f"CASE p.kind WHEN 'summary' THEN {_ON.format(4)} OR d.style IN ('Default', 'Debug') WHEN 'step' THEN {_ON.format(8)} OR d.style IN ('Checklist', 'StepByStep', 'Debug') WHEN 'bullet' THEN {_ON.format(32)} OR d.style IN ('Default', 'Debug') ELSE {_ON.format(16)} OR d.tone = 'Cautious' OR d.style = 'Debug' END"
+_FIRST = {site: next(iter(each.values()))[0] for site, each in wording.PHRASES.items()}
+_HEADS = f"CASE kind WHEN 'bullet' THEN '{_FIRST['transition']}' WHEN 'caveat' THEN '{_FIRST['closer']}' WHEN 'summary' THEN '{planner.SECTIONS['summary']}' ELSE '{planner.SECTIONS['step']}' END"
+_OPENERS = "CASE d.tone " + " ".join(f"WHEN '{tone}' THEN '{texts[0]}'" for tone, texts in wording.PHRASES["opener"].items()) + " END"
+
+
+@query(_over_evidence(f"""
+SELECT d.conv_id AS id, concat_ws(chr(10) || chr(10), CASE WHEN d.max_preface > 0 THEN {_OPENERS} END, a.answer, '{_FIRST['other']} ' || q.question) AS answer
+FROM directed d
+LEFT JOIN (
+  SELECT id, string_agg(part, chr(10) || chr(10) ORDER BY section) AS answer FROM (
+    SELECT id, section, {_HEADS} || ':' || chr(10) || string_agg(CASE WHEN numbered THEN number || '. ' ELSE '- ' END || body, chr(10) ORDER BY item_ix) AS part FROM (
+      SELECT p.id, p.item_ix, p.kind, {_ON.format(2)} AS numbered, list_position(['summary', 'step', 'bullet', 'caveat'], p.kind) AS section, coalesce(substr(f.body, 1, 120), '(no text)') AS body, row_number() OVER (PARTITION BY p.id, p.kind ORDER BY p.item_ix) AS number
+      FROM ({ORACLE["guided_plan"][ORACLE["guided_plan"].index("SELECT id, item_ix, x.kind, x.ref FROM"):]}) p
+      JOIN directed d ON d.conv_id = p.id
+      LEFT JOIN (SELECT query_id, rank - 1 AS ref, segment_id, row_ix FROM hits WHERE rank <= 16) h ON h.query_id = p.id AND h.ref = p.ref
+      LEFT JOIN frames f ON f.segment_id = h.segment_id AND f.row_ix = h.row_ix
+      WHERE {_SHOWN}) GROUP BY id, section, kind) GROUP BY id) a ON a.id = d.conv_id
+LEFT JOIN ({ORACLE["clarifying_questions"][ORACLE["clarifying_questions"].rindex("SELECT id, CASE WHEN"):]}) q ON q.id = d.conv_id"""), raw=True)
+def answer_text(spark, d):
+    """Answers to the benchmark's texts, from search to wording."""
+    asked = table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), "text")
+    return loop.answer(index_of(spark, d), asked)
+
+
 @query("SELECT bundle_id, claim_id, segment_id, row_ix, row_number() OVER (PARTITION BY bundle_id, claim_id ORDER BY segment_id, row_ix) - 1 AS ref_ix FROM (SELECT query_id AS bundle_id, doc_id % 3 AS claim_id, segment_id, row_ix FROM hits WHERE rank <= 10)")
 def evidence_canonical(spark, d):
     """References that are told twice stand once, in their order."""
@@ -1254,3 +1272,76 @@ def phonetic_search(spark, d):
     """Search by terms and by their sounds, over an index that has both."""
     asked = table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), "text")
     return loop.search(Index.build(docs_of(spark, d), phonetic=True), asked, Policy(max_query_terms=128), phonetic=True).select(*HIT)
+
+
+# ---- what operators give beside hits --------------------------------------------------------------
+
+
+@query("SELECT conv_id AS prompt_id, sha256('retrieval-control' || chr(0) || '1' || chr(0) || conv_id::VARCHAR || chr(0) || string_agg(conv_id::VARCHAR || '-' || turn::VARCHAR, chr(0) ORDER BY turn)) AS control_id FROM conversations GROUP BY 1")
+def control_ids(spark, d):
+    """What controls each conversation's retrieval: its messages, in their order."""
+    rows = table(spark, d, "conversations")
+    return retrieve.control_ids(rows.select(F.col("conv_id").alias("prompt_id"), F.col("turn").alias("place"), F.concat_ws("-", F.col("conv_id").cast("string"), F.col("turn").cast("string")).alias("frame_id")))
+
+
+@query("SELECT 'by_kind' AS view, source AS name, count(*)::BIGINT AS n, coalesce(sum(strlen(text)), 0)::BIGINT AS bytes FROM documents GROUP BY 2 UNION ALL (SELECT 'smallest_ids', doc_id::VARCHAR, 1, strlen(text)::BIGINT FROM documents ORDER BY doc_id LIMIT 10) UNION ALL (SELECT 'largest', doc_id::VARCHAR, 1, strlen(text)::BIGINT FROM documents ORDER BY strlen(text) DESC, doc_id LIMIT 10)")
+def size_report(spark, d):
+    """The three views of a debug bundle, over the documents as artifacts."""
+    views = store.size_report(docs_of(spark, d).select(F.col("doc_id").alias("artifact_id"), F.col("source").alias("kind"), F.octet_length("text").cast("bigint").alias("bytes")))
+    told = lambda name, n: views[name].select(F.lit(name).alias("view"), F.col("kind" if name == "by_kind" else "artifact_id").cast("string").alias("name"), n.cast("bigint").alias("n"), F.coalesce("bytes", F.lit(0)).alias("bytes"))
+    return told("by_kind", F.col("n")).unionByName(told("smallest_ids", F.lit(1))).unionByName(told("largest", F.lit(1)))
+
+
+@query("SELECT query_id, count(*)::BIGINT AS n_terms, greatest(0, least(8, 16 - count(*)))::BIGINT AS room FROM asked GROUP BY 1")
+def expansion_room(spark, d):
+    """How many terms each query may be given by expansion."""
+    counted = bench_terms(spark, d).groupBy("query_id").agg(F.count(F.lit(1)).alias("n_terms"))
+    return counted.withColumn("room", expand.room(F.col("n_terms")))
+
+
+@query("SELECT title AS lemma, (k - 1)::BIGINT AS sense_rank, ('0x' || substr(sha256('sense:' || title || '#' || (k - 1)::VARCHAR), 1, 15))::BIGINT AS sense_id FROM leafed, (SELECT unnest([1, 2]) AS k)")
+def sense_ids(spark, d):
+    senses = lexicon.tables(wiki.parse_dictionary(dictionary_of(spark, d)))["senses"]
+    return senses.select("lemma", "sense_rank", lexicon.sense_id("lemma", "sense_rank").alias("sense_id"))
+
+
+@query("SELECT segment_id, count(DISTINCT source_id)::BIGINT AS n_sources FROM frames GROUP BY 1 HAVING count(DISTINCT source_id) > 1")
+def mixed_segments(spark, d):
+    """Segments that an index of one source would reject."""
+    return index.mixed_sources(index_of(spark, d).rows)
+
+
+@query("SELECT context, ctx_len, sha256('state ' || context) AS state_id, count(*)::BIGINT AS n_next FROM cutgrams GROUP BY 1, 2")
+def ngram_states(spark, d):
+    """The states of a sequence model, by their ids."""
+    model = ngram.pruned(ngram.counts(event_history(spark, d)))
+    return model.groupBy("context", "ctx_len").agg(F.count(F.lit(1)).alias("n_next")).withColumn("state_id", ngram.state_id(F.col("context")))
+
+
+CTES["kinds"] = "SELECT segment_id, row_ix, 'term' AS kind, term AS node FROM nodes UNION ALL SELECT segment_id, row_ix, 'entity', source_id FROM frames WHERE source_id IS NOT NULL UNION ALL SELECT segment_id, row_ix, 'verb', v FROM (SELECT segment_id, row_ix, regexp_extract(body, '^[a-z]+') AS v FROM frames) WHERE v <> ''"
+_PAIR = "CASE least(a.kind, b.kind) || ' ' || greatest(a.kind, b.kind) " + " ".join(f"WHEN '{' '.join(sorted(k))}' THEN {w}" for k, w in graph.WEIGHTS.items()) + " END"
+
+
+@query(f"SELECT seed_kind, target_kind, count(*)::BIGINT AS n_edges, sum(weight)::BIGINT AS weight, max(weight)::BIGINT AS heaviest FROM (SELECT a.kind AS seed_kind, a.node AS seed, b.kind AS target_kind, b.node AS target, least(sum({_PAIR}), {graph.MOST}) AS weight FROM kinds a JOIN kinds b USING (segment_id, row_ix) WHERE (a.kind, a.node) <> (b.kind, b.node) AND {_PAIR} IS NOT NULL GROUP BY 1, 2, 3, 4) GROUP BY 1, 2")
+def graph_kinds(spark, d):
+    """The co-occurrence graph of terms, a row's source as an entity and its first word as a verb, summed up by kinds."""
+    ix = index_of(spark, d)
+    entities = ix.rows.where("source_id is not null").select("segment_id", "row_ix", F.col("source_id").alias("node"))
+    verbs = ix.rows.select("segment_id", "row_ix", F.regexp_extract("body", "^[a-z]+", 0).alias("node")).where("node <> ''")
+    edges = graph.cooccurrence(graph.row_nodes(ix.postings, entities, verbs))
+    return edges.groupBy("seed_kind", "target_kind").agg(F.count(F.lit(1)).alias("n_edges"), F.sum("weight").alias("weight"), F.max("weight").alias("heaviest"))
+
+
+@query("SELECT * FROM (SELECT 'documents' AS kind, count(*)::BIGINT AS n_rows FROM documents UNION ALL SELECT 'lemmas', count(*) FROM leafed UNION ALL SELECT 'senses', 2 * count(*) FROM leafed UNION ALL SELECT 'relations', count(*) FROM leafed UNION ALL SELECT 'model', count(*) FROM cutgrams UNION ALL SELECT 'evidence', count(*) FROM hits WHERE rank <= 16), (SELECT true AS same)")
+def stored_tables(spark, d):
+    """Tables put into a store by content and got back; putting them again, dealt otherwise, gives the same ids."""
+    held = store.Store(spark, store.shared_folder(spark))
+    lex = lexicon.tables(wiki.parse_dictionary(dictionary_of(spark, d)))
+    some = {"documents": docs_of(spark, d), "lemmas": lex["lemmas"], "senses": lex["senses"], "relations": lex["relations"], "model": ngram.pruned(ngram.counts(event_history(spark, d))), "evidence": evidence.bundle(retrieve.top_k(scored(spark, d), 10, ties=True), 16)}
+    out = []
+    for kind, rows in some.items():
+        key = held.put(kind, rows)
+        back = held.get(kind, key)
+        same = held.put(kind, back.repartition(3)) == key and store.content_id(back) == key
+        out.append(back.agg(F.lit(kind).alias("kind"), F.count(F.lit(1)).alias("n_rows"), F.lit(same).alias("same")))
+    return reduce(DataFrame.unionByName, out)
