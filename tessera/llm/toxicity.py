@@ -22,11 +22,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_chunks, utf8
+from .common import give_back, text_chunks, utf8
 
 SIZES = (4, 6, 8)
 BUCKETS = 1 << 22
 PIECE = 1 << 20
+#: Present features that one step of the fit looks at together.
+BLOCK = 1 << 17
 MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 SPACES = bytes.maketrans(b"\t\n\r\x0b\x0c", b"     ")
 
@@ -79,29 +81,58 @@ def counted(sample: DataFrame) -> DataFrame:
     return parts.groupBy("bucket").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
 
 
+class Presence:
+    """Which features each row holds, looked at a block of rows at a time: what a step needs besides is bounded by
+    ``BLOCK`` of them (or one row's), however many the sample has."""
+
+    def __init__(self, column: np.ndarray, counts: np.ndarray, r: np.ndarray) -> None:
+        self.column, self.r, self.ends = column, r, np.concatenate([[0], np.cumsum(counts, dtype=np.int64)])
+        self.cuts = [0]
+        while self.cuts[-1] < len(counts):
+            at = int(np.searchsorted(self.ends, self.ends[self.cuts[-1]] + BLOCK, "right")) - 1
+            self.cuts.append(max(at, self.cuts[-1] + 1))
+
+    def blocks(self):
+        for first, last in zip(self.cuts, self.cuts[1:]):
+            yield slice(first, last), self.column[self.ends[first] : self.ends[last]], self.ends[first : last + 1] - self.ends[first]
+
+    def forth(self, v: np.ndarray) -> np.ndarray:
+        """X v."""
+        weights, out = self.r * v, np.empty(len(self.ends) - 1)
+        for rows, column, ends in self.blocks():
+            sums = np.concatenate([[0.0], np.cumsum(weights[column])])
+            out[rows] = sums[ends[1:]] - sums[ends[:-1]]
+        return out
+
+    def back(self, u: np.ndarray) -> np.ndarray:
+        """X' u."""
+        out = np.zeros(len(self.r))
+        for rows, column, ends in self.blocks():
+            out += np.bincount(column, np.repeat(u[rows], np.diff(ends)), len(out))
+        return out * self.r
+
+
 def fitted(column: np.ndarray, counts: np.ndarray, y: np.ndarray, r: np.ndarray, penalty: float, steps: int) -> tuple[np.ndarray, float]:
     """Weights and intercept of an L2-penalised logistic regression on r * presence (Nesterov steps).
 
     ``column`` has the present features of all rows, ``counts`` how many are each row's. Both labels
     weigh the same in total, so 0.5 is the balanced decision.
     """
-    n, d = len(y), len(r)
-    row = np.repeat(np.arange(n, dtype=np.int32), counts)
-    value = r.astype(np.float32)[column]
+    n, d, x = len(y), len(r), Presence(column, counts, r)
     weight = np.where(y > 0, n / (2 * max(1.0, y.sum())), n / (2 * max(1.0, (1 - y).sum())))
     power = np.ones(d) / np.sqrt(d)
     top = 1.0
     for _ in range(15):  # largest eigenvalue of X'X
-        power = np.bincount(column, value * np.bincount(row, value * power.astype(np.float32)[column], n).astype(np.float32)[row], d)
+        power = x.back(x.forth(power))
         top = float(np.linalg.norm(power)) or 1.0
         power /= top
     rate = 1 / (0.25 * float(weight.max()) * (top + n) / n + penalty)
     w = v = np.zeros(d)
     b = c = 0.0
     for k in range(steps):
-        p = 1 / (1 + np.exp(-np.clip(np.bincount(row, value * v.astype(np.float32)[column], n) + c, -40, 40)))
+        p = 1 / (1 + np.exp(-np.clip(x.forth(v) + c, -40, 40)))
         off = weight * (p - y)
-        w_new = v - rate * (np.bincount(column, value * off.astype(np.float32)[row], d) / n + penalty * v)
+        w_new = v - rate * (x.back(off) / n + penalty * v)
         b_new = c - rate * float(off.mean())
         m = k / (k + 3)
         v, c = w_new + m * (w_new - w), b_new + m * (b_new - b)
@@ -171,7 +202,10 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = 4000, features: i
     finally:
         sample.unpersist()
     w, intercept = fitted(column, counts, y, r, penalty, steps)
-    return Model(model.buckets, w * r, intercept)
+    out = Model(model.buckets, w * r, intercept)
+    del rows, slots, column, counts, model
+    give_back()
+    return out
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
