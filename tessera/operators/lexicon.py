@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions import text as T
 from tessera.functions.phonetic import code_column
+from tessera.sources.store import kept
 
 #: Parts of speech as bits, and relation types.
 POS = {"noun": 1, "verb": 2, "adjective": 4, "adverb": 8, "proper noun": 16, "pronoun": 32, "determiner": 64, "preposition": 128, "conjunction": 256, "interjection": 512, "numeral": 1024, "particle": 2048}
@@ -91,11 +90,14 @@ def related(lemmas: DataFrame, relations: DataFrame, types: list[str], cap: int
 
 def neighbourhood(seeds: DataFrame, relations: DataFrame, depth: int = 2, per_node: int = 64, cap: int = 4096) -> DataFrame:
     """(lemma, depth): lemmas reached from the seeds in up to ``depth`` relation steps, at the least
-    depth; the ``cap`` of least depth and key. Each step is one join."""
+    depth; the ``cap`` of least depth and key. Each step goes on from what the last one found anew, which is written."""
     edges = relations.where(F.col("rel_type").isin(WALKED)).select(F.col("from_id").alias("lemma"), "to_lemma").distinct()
-    edges = edges.withColumn("_n", F.row_number().over(Window.partitionBy("lemma").orderBy(T.order_key("to_lemma"), "to_lemma"))).where(F.col("_n") <= per_node).drop("_n")
-    levels = [seeds.select("lemma").distinct().withColumn("depth", F.lit(0).cast("bigint"))]
+    edges = kept(edges.withColumn("_n", F.row_number().over(Window.partitionBy("lemma").orderBy(T.order_key("to_lemma"), "to_lemma"))).where(F.col("_n") <= per_node).drop("_n"))
+    seen = fresh = kept(seeds.select("lemma").distinct().withColumn("depth", F.lit(0).cast("bigint")))
     for d in range(1, depth + 1):
-        levels.append(levels[-1].select("lemma").join(edges, "lemma").select(F.col("to_lemma").alias("lemma")).distinct().withColumn("depth", F.lit(d).cast("bigint")))
-    least = reduce(DataFrame.unionByName, levels).groupBy("lemma").agg(F.min("depth").alias("depth"))
-    return least.orderBy("depth", T.order_key("lemma"), "lemma").limit(cap)
+        found = fresh.select("lemma").join(edges, "lemma").select(F.col("to_lemma").alias("lemma")).distinct()
+        fresh = kept(found.join(seen, "lemma", "left_anti").withColumn("depth", F.lit(d).cast("bigint")))
+        if fresh.isEmpty():
+            break
+        seen = seen.unionByName(fresh)
+    return seen.orderBy("depth", T.order_key("lemma"), "lemma").limit(cap)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -13,6 +14,8 @@ from tessera.sources import store
 
 #: Segments whose postings share a folder; folders that one search lists at most.
 PACK_SEGMENTS, MAX_PACKS = 4096, 10_000
+#: The tables of a stored index.
+TABLES = ("rows", "postings", "segments", "peaks", "signatures", "signature_map")
 #: Items of evidence that an answer rests on.
 MAX_ITEMS = 16
 #: Documents of a table that counts as small.
@@ -63,7 +66,32 @@ class Index:
         def table(name: str) -> DataFrame:
             return spark.read.parquet(f"{path}/{name}").withColumn("segment_id", F.col("segment_id").cast("bigint"))
 
-        return Index(*map(table, ("rows", "postings", "segments", "peaks", "signatures", "signature_map")))
+        return Index(*map(table, TABLES))
+
+    @staticmethod
+    def merge(spark, parts: list[str], out: str, pack_segments: int = PACK_SEGMENTS) -> Index:
+        """Stored indexes of shards as one, written to ``out``. A part without any table is an empty shard; one with some of
+        its tables is an error, as is a segment that two parts have in different versions. A segment that several have
+        alike is taken once, from the first."""
+        whole = []
+        for path in parts:
+            there = [t for t in TABLES if store.is_whole(spark, f"{path}/{t}")]
+            if there and len(there) < len(TABLES):
+                raise ValueError(f"{path} is incomplete: it has {', '.join(there)} only")
+            whole += [path] if there else []
+        if not whole:
+            raise ValueError("no part has an index")
+        indexes = [Index.read(spark, path) for path in whole]
+        told = reduce(DataFrame.unionByName, [ix.segments.drop("pack").withColumn("part", F.lit(k)) for k, ix in enumerate(indexes)])
+        others = [c for c in told.columns if c not in ("segment_id", "part")]
+        owner = store.kept(told.groupBy("segment_id").agg(F.min("part").alias("part"), F.count_distinct(F.struct(*others)).alias("versions")))
+        if (bad := owner.where("versions > 1").first()) is not None:
+            raise ValueError(f"segment {bad['segment_id']} has two versions")
+        own = lambda k: owner.where(F.col("part") == k).select("segment_id")
+        union = lambda pick: reduce(DataFrame.unionByName, [pick(ix).join(own(k), "segment_id", "left_semi") for k, ix in enumerate(indexes)])
+        merged = Index(union(lambda ix: ix.rows), union(lambda ix: ix.postings.drop("pack")), union(lambda ix: ix.segments.drop("pack", "version")))
+        merged.write(out, pack_segments)
+        return Index.read(spark, out)
 
     def postings_of(self, some: DataFrame) -> DataFrame:
         """A stored index's postings of the packs of some segments (segment_id, more), without those of others where these

@@ -893,6 +893,23 @@ def compacted_search(spark, d):
 CTES["few_groups"] = f"WITH RECURSIVE s AS (SELECT *, row_number() OVER (ORDER BY segment_id) AS n FROM (SELECT segment_id, sum(strlen(body))::BIGINT AS bytes FROM few_frames GROUP BY 1)), g AS (SELECT n, segment_id, bytes, bytes AS used, 0::BIGINT AS packed FROM s WHERE n = 1 UNION ALL SELECT s.n, s.segment_id, s.bytes, CASE WHEN g.used + s.bytes > 200000 THEN s.bytes ELSE g.used + s.bytes END, CASE WHEN g.used + s.bytes > 200000 THEN g.packed + 1 ELSE g.packed END FROM g JOIN s ON s.n = g.n + 1) SELECT segment_id, bytes, CASE WHEN max(packed) OVER () + 1 > 40 THEN ntile(40) OVER (ORDER BY segment_id) - 1 ELSE packed END AS group_id FROM g"
 
 
+_PARTED = f"({_SHARD}::BIGINT * 4294967296 + doc_id // {SEG})"
+for _name in ("frames", "postings", "segs", "stats", "scored", "hits"):
+    CTES[f"part_{_name}"] = re.sub(r"\b(frames|postings|segs|stats|scored)\b", r"part_\1", CTES[_name]).replace(f"doc_id // {SEG}", _PARTED)
+
+
+@query("SELECT h.query_id, h.segment_id, h.row_ix, h.doc_id, h.score, h.rank, n_segments FROM part_hits h, (SELECT count(*)::BIGINT AS n_segments FROM part_segs)")
+def merged_search(spark, d):
+    """Search over an index merged of the stored indexes of two halves of four shards, one told twice, and a part without one."""
+    docs = docs_of(spark, d).withColumn("shard", index.shard_of("doc_id", 4)).withColumn("number", F.col("shard") * (SEG << 32) + F.col("doc_id"))
+    root = store.shared_folder(spark)
+    for k, own in enumerate(("shard < 2", "shard >= 2")):
+        Index.build(docs.where(own), number_col="number").write(f"{root}/{k}")
+    ix = Index.merge(spark, [f"{root}/{k}" for k in (0, 1, 1, 2)], f"{root}/all")
+    n = ix.segments.agg(F.count(F.lit(1)).alias("n_segments"))
+    return loop.gated(ix, bench_terms(spark, d, 128)).select(*HIT).crossJoin(F.broadcast(n))  # one row
+
+
 def compacted_index(spark, d) -> tuple[DataFrame, Index]:
     path, out = store.shared_folder(spark), store.shared_folder(spark)
     few_index(spark, d).write(path, pack_segments=1)

@@ -47,6 +47,12 @@ def kept(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.parquet(path)
 
 
+def is_whole(spark: SparkSession, path: str) -> bool:
+    """Whether a table was written to its end."""
+    mark = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
+    return mark.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(mark)
+
+
 class Store:
     """Tables under root/kind/aa/bb/<id>; putting what is there already does nothing."""
 
@@ -57,9 +63,7 @@ class Store:
         return f"{self.root}/{kind}/{key[:2]}/{key[2:4]}/{key}"
 
     def has(self, kind: str, key: str) -> bool:
-        jvm = self.spark.sparkContext._jvm
-        path = jvm.org.apache.hadoop.fs.Path(f"{self.path(kind, key)}/_SUCCESS")
-        return path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).exists(path)
+        return is_whole(self.spark, self.path(kind, key))
 
     def put(self, kind: str, df: DataFrame) -> str:
         key = content_id(df)

@@ -168,3 +168,24 @@ def test_compaction_of_a_stored_index(spark, tmp_path):
     terms = retrieve.query_terms(spark.createDataFrame([(1, "w1 w2"), (2, "w30")], "query_id long, text string"))
     for find in (loop.gated, lambda ix, t: loop.bounded(ix, t)[0]):
         assert sorted(map(tuple, find(after, terms).collect())) == sorted(map(tuple, find(before, terms).collect()))
+
+
+def test_merge_of_parts(spark, tmp_path):
+    """Alike segments count once; two versions of one, or a part that is half there, are errors; empty parts are not."""
+    at = lambda name: str(tmp_path / name)
+    d = docs(spark, ["banana apple", "banana", "carrot", "apple"])
+    Index.build(d.where("doc_id < 3"), seg_docs=1).write(at("a"))
+    Index.build(d.where("doc_id > 1"), seg_docs=1).write(at("b"))
+    Index.build(d.where("doc_id = 3").withColumn("text", F.lit("plum")), seg_docs=1).write(at("other"))
+    merged = Index.merge(spark, [at("a"), at("b"), at("none")], at("out"))
+    asked = retrieve.query_terms(spark.createDataFrame([(1, "apple carrot")], "query_id long, text string"))
+    plain = Index.build(d, seg_docs=1)
+    assert sorted(map(tuple, loop.gated(merged, asked).collect())) == sorted(map(tuple, retrieve.search(plain.postings, plain.segments, asked).collect()))
+    assert merged.segments.count() == 4 and merged.rows.count() == 4
+    with pytest.raises(ValueError, match="two versions"):
+        Index.merge(spark, [at("b"), at("other")], at("bad"))
+    (tmp_path / "b" / "peaks" / "_SUCCESS").unlink()
+    with pytest.raises(ValueError, match="incomplete"):
+        Index.merge(spark, [at("a"), at("b")], at("bad"))
+    with pytest.raises(ValueError, match="no part"):
+        Index.merge(spark, [at("none")], at("bad"))
