@@ -146,7 +146,8 @@ def rendered(plan: DataFrame, texts: DataFrame, directives: DataFrame, questions
     stays the same."""
     kinds = F.create_map(*[F.lit(x) for k, v in SECTIONS.items() for x in (k, v)])
     order = F.array(*map(F.lit, SECTIONS))
-    rows = plan.join(texts, ["id", "ref"], "left").join(directives.select("id", "tone", "style", "format_flags"), "id")
+    words = wording.phrased(directives.select("id", "tone", "style", "format_flags", "max_preface"), chosen)
+    rows = plan.join(texts, ["id", "ref"], "left").join(words.select("id", "tone", "style", "format_flags", "transition", "closer"), "id")
     on = lambda bit: F.col("format_flags").bitwiseAND(F.lit(1 << bit)) != 0
     debug = F.col("style") == "Debug"
     shown = F.when(F.col("kind") == "summary", on(2) | F.col("style").isin("Default", "Debug")).when(F.col("kind") == "step", on(3) | F.col("style").isin("Checklist", "StepByStep", "Debug")).when(F.col("kind") == "bullet", on(5) | F.col("style").isin("Default", "Debug")).otherwise(on(4) | (F.col("tone") == "Cautious") | debug)
@@ -154,14 +155,11 @@ def rendered(plan: DataFrame, texts: DataFrame, directives: DataFrame, questions
     number = F.row_number().over(Window.partitionBy("id", "section").orderBy("item_ix")).cast("string")
     lead = F.when(on(1), F.concat(number, F.lit(". "))).otherwise(F.lit("- "))
     rows = rows.withColumn("line", F.concat(lead, F.coalesce("text", F.lit("(no text)"))))
-    body = rows.groupBy("id", "section", "kind").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("item_ix", "line"))), lambda x: x["line"]), "\n").alias("body"))
+    body = rows.groupBy("id", "section", "kind").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("item_ix", "line"))), lambda x: x["line"]), "\n").alias("body"), *[F.first(c).alias(c) for c in ("transition", "closer")])
     heading = kinds[F.col("kind")]
-    words = wording.phrases(directives, chosen)
-    body = body.join(words.select("id", "transition", "closer"), "id", "left")
     heading = F.when(F.col("kind") == "bullet", F.col("transition")).when(F.col("kind") == "caveat", F.col("closer")).otherwise(heading)
     out = body.withColumn("part", F.concat(heading, F.lit(":\n"), F.col("body"))).groupBy("id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("section", "part"))), lambda x: x["part"]), "\n\n").alias("answer"))
-    opened = directives.select("id", "max_preface").join(words.select("id", "opener", "other"), "id")
-    out = opened.select("id", F.when(F.col("max_preface") > 0, F.col("opener")).alias("preface"), "other").join(out, "id", "left")
+    out = words.select("id", F.when(F.col("max_preface") > 0, F.col("opener")).alias("preface"), "other").join(out, "id", "left")
     if questions is not None:
         out = out.join(questions, "id", "left").withColumn("question", F.concat("other", F.lit(" "), "question"))
     else:

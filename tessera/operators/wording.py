@@ -69,13 +69,13 @@ def choices(model: DataFrame, asked: DataFrame) -> DataFrame:
     return fit.withColumn("_n", best).where("_n = 1").select(F.col("stream").alias("id"), "site", F.col("next").alias("choice"), "cnt", "ctx_len")
 
 
-def phrases(told: DataFrame, chosen: DataFrame | None = None) -> DataFrame:
-    """(id, opener, transition, closer, other): the texts that each answer (id, tone) uses."""
+def phrased(told: DataFrame, chosen: DataFrame | None = None) -> DataFrame:
+    """``told`` (id, tone, more) with opener, transition, closer and other: the texts that each answer uses."""
     texts = F.create_map(*[F.lit(x) for site, each in PHRASES.items() for what, some in each.items() for k, text in enumerate(some) for x in (token(site, what, k), text)])
     first = {"opener": F.concat(F.lit("opener:"), F.col("tone"), F.lit(":0")), **{site: F.lit(token(site, next(iter(PHRASES[site])), 0)) for site in SITES[1:]}}
-    out = told.select("id", "tone")
+    out = told
     if chosen is not None:
         named = chosen.groupBy("id").agg(*[F.max(F.when(F.col("site") == site, F.col("choice"))).alias(f"_{site}") for site in SITES])
         out = out.join(named, "id", "left")
         first = {site: F.coalesce(F.col(f"_{site}"), c) for site, c in first.items()}
-    return out.select("id", *[F.try_element_at(texts, c).alias(site) for site, c in first.items()])
+    return out.select(*told.columns, *[F.try_element_at(texts, c).alias(site) for site, c in first.items()])

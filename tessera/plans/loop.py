@@ -170,11 +170,11 @@ def answer(ix: Index, queries: DataFrame, policy: retrieve.Policy = retrieve.Pol
     """(id, answer) of (query_id, text): search, bundle, features, plan, text; ``chosen`` has the phrases to use
     (``wording.choices``), ``exemplars`` (``exemplar.mined``) the kinds of answers whose style the plan takes on. A
     question ends the text where clarifying is called for, as far as the directives allow one."""
-    items = evidence.bundle(search(ix, queries, policy, **more), MAX_ITEMS)
+    items = store.kept(evidence.bundle(search(ix, queries, policy, **more), MAX_ITEMS))  # what follows looks at it often
     counts = items.groupBy("query_id").agg(F.count(F.lit(1)).alias("n_items"), F.count_distinct("segment_id").alias("n_segments"))
     zero = lambda c: F.coalesce(c, F.lit(0)).alias(c)
     asked = queries.join(counts, "query_id", "left").select(F.col("query_id").alias("id"), "text", zero("n_items"), zero("n_segments"))
-    told = pragmatics.directives(pragmatics.features(asked))
+    told = store.kept(pragmatics.directives(pragmatics.features(asked)))
     texts = items.join(ix.rows, ["segment_id", "row_ix"]).select(F.col("query_id").alias("id"), F.col("item_ix").alias("ref"), F.substring("body", 1, excerpt).alias("text"))
     plan = planner.guided_plan(told)
     if exemplars is not None:
