@@ -1,15 +1,86 @@
 """Plans whose cost must not grow faster than the tables: what moves, and what is worked out twice."""
 
+import random
+from collections import Counter
+
+import pytest
+from pyspark.sql import functions as F
 from tessera import queries as core
+from tessera.functions import text as T
+from tessera.operators import gating, index, retrieve
+from tessera.plans.loop import Index
+
+
+def docs(spark, texts):
+    return spark.createDataFrame([(i, t, "s") for i, t in enumerate(texts)], "doc_id long, text string, source string").repartition(3)
 
 
 def optimized(df):
     return df._jdf.queryExecution().optimizedPlan().toString()
 
 
+def physical(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+TEXTS = ["banana apple banana", "Apple x" + "y" * 100, None, "", "  ", "carrot é apple carrot carrot"]
+
+
 def test_rationale_is_not_a_condition_of_all_features(spark, tmp_path):
     rows = [(1, 0, "user", "please fix this code"), (1, 1, "assistant", "done")]
     spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").write.parquet(str(tmp_path / "conversations.parquet"))
     df = core.QUERIES["directive_rationale"](spark, str(tmp_path))
     assert "size(" not in "".join(x for x in optimized(df).split("\n") if "Filter" in x)
     assert (1, 0, 13) in [tuple(r) for r in df.collect()]
+
+
+def test_terms_are_counted_where_rows_are(spark):
+    postings = Index.build(docs(spark, TEXTS)).postings
+    plan = optimized(postings)
+    assert plan.count("regexp_extract_all") == 1 and not [x for x in plan.split("\n") if "Aggregate" in x and "term#" in x]
+    got = {(r["doc_id"], r["term"]): r["tf"] for r in postings.collect()}
+    assert got == {(0, "banana"): 2, (0, "apple"): 1, (1, "apple"): 1, (1, "x" + "y" * 63): 1, (5, "carrot"): 3, (5, "é"): 1, (5, "apple"): 1}
+
+
+def test_rows_told_twice_are_summed_up(spark):
+    d = docs(spark, ["banana apple", "plum"])
+    got = Index.build(d.unionByName(d)).postings.collect()
+    assert sorted((r["doc_id"], r["term"], r["tf"]) for r in got) == [(0, "apple", 2), (0, "banana", 2), (1, "plum", 2)]
+
+
+def test_scores_stay_where_the_segment_is(spark):
+    ix = Index.build(docs(spark, TEXTS))
+    terms = retrieve.query_terms(spark.createDataFrame([(7, "apple carrot"), (8, "plum")], "query_id long, text string"))
+    plan = physical(retrieve.scores(ix.postings, ix.segments, terms))
+    assert not [x for x in plan.split("\n") if "hashpartitioning(query_id" in x and "row_ix" in x]
+    assert not [x for x in plan.split("\n") if "hashpartitioning(term" in x and "row_ix" in x]
+
+
+@pytest.mark.parametrize("size", [1, 64, 4096])
+def test_bitmaps_are_those_of_the_aggregate(spark, size):
+    rng = random.Random(size)
+    some = [(s, rng.randrange(8 * size)) for s in range(9) for _ in range(rng.choice([1, 3, 500]))] + [(99, 0), (99, 8 * size - 1)]
+    bits = spark.createDataFrame(some, "segment_id long, bit long").repartition(3)
+    want = {r["segment_id"]: r["b"] for r in bits.groupBy("segment_id").agg(F.bitmap_construct_agg("bit").alias("b")).collect()}
+    assert {r["segment_id"]: r["bitmap"] for r in gating.bitmaps(bits).collect()} == want
+
+
+def test_terms_are_hashed_once_a_segment(spark):
+    """No probe is taken to see whether there is any, and none before a segment's terms are distinct."""
+    plan = optimized(gating.signatures(index.term_stats(Index.build(docs(spark, TEXTS)).postings)))
+    assert not [x for x in plan.split("\n") if "Filter" in x and "sha2" in x]
+
+
+def test_counted(spark):
+    rng = random.Random(5)
+    lists = [[], ["a"], ["b", "a", "b"], *([rng.choice("abcde") for _ in range(rng.randrange(40))] for _ in range(30))]
+    df = spark.createDataFrame([(i, x) for i, x in enumerate(lists)], "id long, w array<string>")
+    got = {r["id"]: {x["term"]: x["tf"] for x in r["c"] or []} for r in df.select("id", T.counted("w").alias("c")).collect()}
+    assert got == {i: dict(Counter(x)) for i, x in enumerate(lists)}
+
+
+def test_a_hit_list_reads_its_hits_once(spark, tmp_path):
+    d = docs(spark, ["banana apple", "banana"]).withColumn("lang", F.lit("en"))
+    d.write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(1, "banana")], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    assert "Union" not in optimized(core.QUERIES["hit_list"](spark, str(tmp_path)))
