@@ -9,6 +9,7 @@ from tessera import queries as core
 from tessera.functions import text as T
 from tessera.operators import gating, index, retrieve
 from tessera.plans.loop import Index
+from tessera.sources import store
 
 
 def docs(spark, texts):
@@ -84,3 +85,32 @@ def test_a_hit_list_reads_its_hits_once(spark, tmp_path):
     d.write.parquet(str(tmp_path / "documents.parquet"))
     spark.createDataFrame([(1, "banana")], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
     assert "Union" not in optimized(core.QUERIES["hit_list"](spark, str(tmp_path)))
+
+
+def test_a_table_is_worked_out_once_when_it_is_stored(spark, tmp_path):
+    told = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for batch in batches:
+            told.add(batch.num_rows)
+            yield batch
+
+    df = spark.range(10).mapInArrow(count, "id long")
+    held = store.Store(spark, str(tmp_path))
+    key = held.put("t", df)
+    assert told.value == 10 and held.has("t", key) and held.put("t", spark.range(10).repartition(3)) == key
+    assert sorted(r["id"] for r in held.get("t", key).collect()) == list(range(10)) and not list(tmp_path.rglob("*.part"))
+
+
+def test_postings_are_worked_out_once_when_they_are_written(spark, tmp_path):
+    told = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for batch in batches:
+            told.add(batch.num_rows)
+            yield batch
+
+    ix = Index.build(docs(spark, TEXTS))
+    counted = ix.postings.mapInArrow(count, ix.postings.schema)
+    Index(ix.rows, counted, ix.segments).write(str(tmp_path / "ix"))
+    assert told.value == ix.postings.count()
