@@ -114,3 +114,9 @@ def test_postings_are_worked_out_once_when_they_are_written(spark, tmp_path):
     counted = ix.postings.mapInArrow(count, ix.postings.schema)
     Index(ix.rows, counted, ix.segments).write(str(tmp_path / "ix"))
     assert told.value == ix.postings.count()
+
+
+@pytest.mark.parametrize("name", ["batch_search"])
+def test_texts_are_dealt_once(spark, name):
+    """Segments are counted where texts are read: no second copy of the texts is shuffled."""
+    assert physical(core.QUERIES[name](spark, "/root/testdata/sf0.001")).count("REPARTITION_BY_NUM") == 1
