@@ -120,3 +120,13 @@ def test_postings_are_worked_out_once_when_they_are_written(spark, tmp_path):
 def test_texts_are_dealt_once(spark, name):
     """Segments are counted where texts are read: no second copy of the texts is shuffled."""
     assert physical(core.QUERIES[name](spark, "/root/testdata/sf0.001")).count("REPARTITION_BY_NUM") == 1
+
+
+def test_sketches_take_the_terms_of_their_rows_alone(spark):
+    ix = Index.build(docs(spark, TEXTS))
+    items = ix.rows.where("doc_id in (1, 5)").select("segment_id", "row_ix")
+    some = ix.postings_in(items.unionByName(items))
+    for df in (some, core.QUERIES["row_sketch"](spark, "/root/testdata/sf0.001")):
+        plan = optimized(df).split("\n")
+        assert next(i for i, x in enumerate(plan) if "regexp_extract_all" in x) < next(i for i, x in enumerate(plan) if "LeftSemi" in x)
+    assert sorted(map(tuple, some.collect())) == sorted(map(tuple, ix.postings.where("doc_id in (1, 5)").collect()))
