@@ -116,7 +116,7 @@ def test_postings_are_worked_out_once_when_they_are_written(spark, tmp_path):
     assert told.value == ix.postings.count()
 
 
-@pytest.mark.parametrize("name", ["batch_search", "cap_doc"])
+@pytest.mark.parametrize("name", ["batch_search", "cap_doc", "evidence_hints"])
 def test_texts_are_dealt_once(spark, name):
     """Segments are counted where texts are read: no second copy of the texts is shuffled."""
     assert physical(core.QUERIES[name](spark, "/root/testdata/sf0.001")).count("REPARTITION_BY_NUM") == 1
