@@ -128,5 +128,6 @@ def test_sketches_take_the_terms_of_their_rows_alone(spark):
     some = ix.postings_in(items.unionByName(items))
     for df in (some, core.QUERIES["row_sketch"](spark, "/root/testdata/sf0.001")):
         plan = optimized(df).split("\n")
-        assert next(i for i, x in enumerate(plan) if "regexp_extract_all" in x) < next(i for i, x in enumerate(plan) if "LeftSemi" in x)
+        taken = next(i for i, x in enumerate(plan) if "regexp_extract_all" in x)
+        assert [x for x in plan[taken:] if "LeftSemi" in x] and not [x for x in plan if "MapInArrow" in x]
     assert sorted(map(tuple, some.collect())) == sorted(map(tuple, ix.postings.where("doc_id in (1, 5)").collect()))
