@@ -3,11 +3,12 @@
 import random
 from collections import Counter
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 from tessera import queries as core
 from tessera.functions import text as T
-from tessera.operators import gating, index, retrieve
+from tessera.operators import gating, index, retrieve, scoring
 from tessera.plans.loop import Index
 from tessera.sources import store
 
@@ -131,3 +132,27 @@ def test_sketches_take_the_terms_of_their_rows_alone(spark):
         taken = next(i for i, x in enumerate(plan) if "regexp_extract_all" in x)
         assert [x for x in plan[taken:] if "LeftSemi" in x] and not [x for x in plan if "MapInArrow" in x]
     assert sorted(map(tuple, some.collect())) == sorted(map(tuple, ix.postings.where("doc_id in (1, 5)").collect()))
+
+
+@pytest.mark.parametrize("name", ["cap_doc", "evidence_hints"])
+def test_terms_that_are_not_asked_for_are_not_counted(spark, name):
+    """Words meet the asked terms before any is counted, and postings are sorted once, by segment alone."""
+    plan = physical(core.QUERIES[name](spark, "/root/testdata/sf0.001")).split("\n")
+    scan = next(i for i, x in enumerate(plan) if "REPARTITION_BY_NUM" in x)
+    spot = next(i for i, x in enumerate(plan) if "LeftSemi" in x and i < scan)
+    assert not [x for x in plan if "inline" in x] and [x for x in plan[spot:scan] if "explode" in x]
+    assert not [x for x in plan[:scan] if "SortMergeJoin [segment_id" in x]
+
+
+def test_asked_postings_are_those_of_the_index(spark):
+    df = docs(spark, TEXTS)
+    few = spark.createDataFrame([(1, "apple"), (2, "carrot"), (2, "nowhere"), (3, "apple")], "query_id long, term string")
+    for phonetic in (False, True):
+        ix = Index.build(df, phonetic=phonetic)
+        some = ix.asked(few).where("term in ('apple', 'carrot')").select("segment_id", "row_ix", "doc_id", "term", "tf")
+        assert sorted(map(tuple, some.collect())) == sorted(map(tuple, ix.postings.where("term in ('apple', 'carrot')").collect())) != []
+
+
+def test_rows_are_numbered_whatever_their_order():
+    row, doc, place = scoring.row_places(np.array([3, 0, 3, 0, 3]), np.array([9, 5, 8, 5, 9]))
+    assert row.tolist() == [0, 3, 3] and doc.tolist() == [5, 8, 9] and place.tolist() == [2, 0, 1, 0, 2]
