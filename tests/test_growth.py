@@ -156,3 +156,8 @@ def test_asked_postings_are_those_of_the_index(spark):
 def test_rows_are_numbered_whatever_their_order():
     row, doc, place = scoring.row_places(np.array([3, 0, 3, 0, 3]), np.array([9, 5, 8, 5, 9]))
     assert row.tolist() == [0, 3, 3] and doc.tolist() == [5, 8, 9] and place.tolist() == [2, 0, 1, 0, 2]
+
+
+def test_no_threads_of_numpy_beside_the_tasks(spark):
+    core.QUERIES["evidence_hints"](spark, "/root/testdata/sf0.001")
+    assert spark.sparkContext.environment["OPENBLAS_NUM_THREADS"] == "1"
