@@ -6,6 +6,7 @@ import random
 from collections import Counter
 
 import numpy as np
+from pyspark.sql import functions as F
 from tessera.llm import chat, quality, toxicity
 
 
@@ -108,6 +109,26 @@ def test_quality_keeps_prose_and_drops_noise(spark, docs_of):
     assert quality.judge(rows.where("doc_id < 0"), labels).count() == 0
 
 
+def test_quality_leaves_no_shuffle_files(spark, docs_of):
+    """Each pass's files go with it, without a collection of garbage, and the setting is as it was."""
+    labels = spark.createDataFrame([(i, 1, 0) for i in range(6)], "doc_id long, quality int, toxic int")
+    before, held = spark.conf.get(quality.DROPPED, None), spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    files = lambda: {f.getName() for f in spark.sparkContext._jvm.scala.jdk.javaapi.CollectionConverters.asJava(held.getAllFiles()) if f.getName().startswith("shuffle_")}
+    old = files()
+    quality.perplexities_kept(docs_of(["the river runs", "old hills", None, "the river"] * 3), labels.select(F.col("doc_id").alias("id")))
+    assert not files() - old and spark.conf.get(quality.DROPPED, None) == before
+
+
+def test_spans_are_the_words(spark):
+    texts = ["Old été x", "", "a\ue000b 12,5 " + "z" * 3000, "\n \t"]
+    value, row, joined, start, end = quality.spans(texts)
+    own, rows, spelt, number = quality.words(texts)
+    assert (value == own).all() and (row == rows).all() and row.max() == 3
+    assert [spelt[n] for n in number] == [joined[s:e].replace(quality.EDGE_MARK, "") for s, e in zip(start, end)]
+    alone = [quality.spans([t])[0].tolist() for t in texts]
+    assert sum(alone, []) == value.tolist() and len(quality.powers(quality.BASE, 5)) == 5
+
+
 def test_toxicity_on_held_out_rows(spark, docs_of):
     rng = random.Random(3)
     texts = [prose(rng, 80) + (" you dreadful grumblewort" if i % 4 == 0 else "") for i in range(240)] + [None, ""]
