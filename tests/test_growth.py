@@ -7,6 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 from tessera import queries as core
+from tessera.functions import phonetic
 from tessera.functions import text as T
 from tessera.operators import gating, index, retrieve, scoring
 from tessera.plans.loop import Index
@@ -161,3 +162,16 @@ def test_rows_are_numbered_whatever_their_order():
 def test_no_threads_of_numpy_beside_the_tasks(spark):
     core.QUERIES["evidence_hints"](spark, "/root/testdata/sf0.001")
     assert spark.sparkContext.environment["OPENBLAS_NUM_THREADS"] == "1"
+
+
+def test_codes_are_asked_by_their_words(spark, monkeypatch):
+    """Words that sound like an asked code go to the rows: no postings are told by their codes, and codes are made in many tasks."""
+    ix = Index.build(docs(spark, ["a knight rides", "the nite falls, nite", "123 _", "night and day"]), phonetic=True)
+    few = spark.createDataFrame([(1, "~NT"), (1, "knight"), (2, "~XX"), (2, "nowhere")], "query_id long, term string")
+    some = ix.asked(few)
+    want = sorted(map(tuple, ix.postings.where("term in ('~NT', 'knight')").collect()))
+    assert sorted(map(tuple, some.select("segment_id", "row_ix", "doc_id", "term", "tf").collect())) == want and len(want) == 4
+    assert "inline" not in optimized(some) and "regexp_replace" not in optimized(some)
+    assert phonetic.codes_of(few).rdd.getNumPartitions() >= 4 * spark.sparkContext.defaultParallelism
+    monkeypatch.setattr(index, "BROADCAST_HEARD", 1)
+    assert sorted(map(tuple, ix.asked(few).select("segment_id", "row_ix", "doc_id", "term", "tf").collect())) == want
