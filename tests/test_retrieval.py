@@ -189,3 +189,36 @@ def test_merge_of_parts(spark, tmp_path):
         Index.merge(spark, [at("a"), at("b")], at("bad"))
     with pytest.raises(ValueError, match="no part"):
         Index.merge(spark, [at("none")], at("bad"))
+
+
+def test_compaction_makes_no_statistics_anew(spark, tmp_path, monkeypatch):
+    """Packs say where postings lie: peaks, signatures and versions are copied. A posting that is lost on the way is found."""
+    rng = random.Random(4)
+    Index.build(docs(spark, [words(rng, 20, 100) for _ in range(24)]), seg_docs=2).write(str(tmp_path / "old"), pack_segments=1)
+    for name in ("maxima", "signatures", "versions"):
+        monkeypatch.setattr(gating, name, None)
+    compaction.compact_stored(spark, str(tmp_path / "old"), str(tmp_path / "new"), 500, 50)
+    before, after = Index.read(spark, str(tmp_path / "old")), Index.read(spark, str(tmp_path / "new"))
+    for name in ("rows", "peaks", "signatures", "signature_map"):
+        assert sorted(map(tuple, getattr(after, name).collect())) == sorted(map(tuple, getattr(before, name).collect()))
+    assert {r["status"] for r in after.status().collect()} == {"sound"}
+    write = Index.write
+
+    def forgetful(self, path, **how):
+        self.postings = self.postings.where("not (segment_id = 3 and row_ix = 0)")
+        write(self, path, **how)
+
+    monkeypatch.setattr(Index, "write", forgetful)
+    with pytest.raises(ValueError, match="segment 3 was not written whole"):
+        compaction.compact_stored(spark, str(tmp_path / "old"), str(tmp_path / "bad"), 500, 50)
+
+
+def test_a_gate_for_any_term_lists_no_terms(spark):
+    """Postings go by the segments that are opened, without a join by segment and term."""
+    ix = Index.build(docs(spark, ["banana apple", "banana", "plum"]), seg_docs=1)
+    signs = gating.signatures(index.term_stats(ix.postings))
+    told = gating.status(signs.select("segment_id", "version"), gating.signature_map(signs), signs)
+    terms = retrieve.query_terms(spark.createDataFrame([(1, "banana")], "query_id long, text string"))
+    own = gating.gated_postings(ix.postings, told, terms)
+    assert "_through" not in own._jdf.queryExecution().analyzed().toString()
+    assert sorted(r["doc_id"] for r in own.collect()) == [0, 1]
