@@ -222,3 +222,17 @@ def test_a_gate_for_any_term_lists_no_terms(spark):
     own = gating.gated_postings(ix.postings, told, terms)
     assert "_through" not in own._jdf.queryExecution().analyzed().toString()
     assert sorted(r["doc_id"] for r in own.collect()) == [0, 1]
+
+
+def test_a_merge_makes_no_statistics_anew(spark, tmp_path, monkeypatch):
+    """A segment's peaks and signature are its part's; a part whose segments others have is not read on."""
+    d = docs(spark, ["banana apple", "banana", "carrot"])
+    Index.build(d, seg_docs=1).write(str(tmp_path / "a"))
+    for name in ("maxima", "signatures", "versions"):
+        monkeypatch.setattr(gating, name, None)
+    merged = Index.merge(spark, [str(tmp_path / "a")] * 2, str(tmp_path / "out"))
+    one = Index.read(spark, str(tmp_path / "a"))
+    for name in loop.TABLES:
+        want = getattr(one, name)
+        assert sorted(map(str, getattr(merged, name).select(want.columns).collect())) == sorted(map(str, want.collect()))
+    assert {r["status"] for r in merged.status().collect()} == {"sound"}
